@@ -119,52 +119,55 @@ def agglomerate(matrix: DataFrame, linkage: str = "average") -> list[DataFrame]:
     weighted means; Ward's height follows from them and the spread inside clusters.
     """
     ward = linkage == "ward"
-    d = durable(matrix.select("game_id", "a", "b", (F.col("d") * F.col("d") if ward else F.col("d")).alias("m")))
-    size = durable(d.select("game_id", F.col("a").alias("c")).distinct().select("game_id", "c", F.lit(1.0).alias("n"), F.lit(0.0).alias("inner")))
+    start = F.col("d") * F.col("d") if ward else F.col("d")
+    one, zero = F.lit(1.0), F.lit(0.0)
+    # Each unordered pair once: both clusters' ids, sizes and (for Ward) inner spreads.
+    d = durable(
+        matrix.where("a < b").select(
+            "game_id", "a", "b", start.alias("m"), one.alias("na"), one.alias("nb"), zero.alias("ia"), zero.alias("ib")
+        )
+    )
+    n = F.col("na") + F.col("nb")
+    if ward:
+        gap = F.greatest(zero, F.col("m") - F.col("ia") / 2 - F.col("ib") / 2)
+        height = F.sqrt(2 * F.col("na") * F.col("nb") / n * gap)
+    else:
+        height = F.col("m")
+    inner = (
+        F.col("na") * F.col("na") * F.col("ia") + F.col("nb") * F.col("nb") * F.col("ib") + 2 * F.col("na") * F.col("nb") * F.col("m")
+    ) / (n * n)
+    new = {"single": F.min("m"), "complete": F.max("m")}.get(linkage, F.sum(F.col("m") * F.col("w")) / F.sum("w"))
     rounds = []
     while not d.isEmpty():
-        left = size.select("game_id", F.col("c").alias("a"), F.col("n").alias("na"), F.col("inner").alias("ia"))
-        right = size.select("game_id", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("inner").alias("ib"))
-        full = d.join(left, ["game_id", "a"]).join(right, ["game_id", "b"])
-        if ward:
-            gap = F.greatest(F.lit(0.0), F.col("m") - F.col("ia") / 2 - F.col("ib") / 2)
-            height = F.sqrt(2 * F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * gap)
-        else:
-            height = F.col("m")
-        full = durable(full.withColumn("h", height))
-        order = F.struct("h", F.least("a", "b"), F.greatest("a", "b"))
-        near = full.groupBy("game_id", "a").agg(F.min_by(F.struct("b", "h", "m", "na", "nb", "ia", "ib"), order).alias("x")).select("game_id", "a", "x.*")
-        back = near.select("game_id", F.col("a").alias("b"), F.col("b").alias("a"))
-        merges = durable(near.join(back, ["game_id", "a", "b"]).where("a < b"))
+        pair = F.struct("h", "a", "b", "m", "na", "nb", "ia", "ib")
+        near = d.withColumn("h", height).select("game_id", pair.alias("p"), F.explode(F.array("a", "b")).alias("c")).groupBy("game_id", "c").agg(F.min("p").alias("p"))
+        # a pair that is nearest for both of its clusters is chosen twice
+        chosen = near.groupBy("game_id", "p").agg(F.count("*").alias("times")).where("times = 2").select("game_id", "p.*")
+        merges = durable(chosen.select("game_id", "a", "b", "h", n.alias("n"), inner.alias("inner")))
         rounds.append(
             merges.select("game_id", F.col("a").alias("keep"), F.col("b").alias("gone"), F.col("h").alias("height"), F.lit(len(rounds)).alias("round"))
         )
-        to = merges.select("game_id", F.col("b").alias("c"), F.col("a").alias("rep"))
-        joint = merges.select(
-            "game_id",
-            F.col("a").alias("rep"),
-            (F.col("na") + F.col("nb")).alias("n2"),
-            (
-                (F.col("na") * F.col("na") * F.col("ia") + F.col("nb") * F.col("nb") * F.col("ib") + 2 * F.col("na") * F.col("nb") * F.col("m"))
-                / ((F.col("na") + F.col("nb")) * (F.col("na") + F.col("nb")))
-            ).alias("inner2"),
-        )
-        size = durable(
-            size.join(to, ["game_id", "c"], "left_anti")
-            .join(joint.withColumnRenamed("rep", "c"), ["game_id", "c"], "left")
-            .select("game_id", "c", F.coalesce("n2", "n").alias("n"), F.coalesce("inner2", "inner").alias("inner"))
+        to = merges.select("game_id", F.explode(F.array("a", "b")).alias("c"), F.struct(F.col("a").alias("id"), "n", "inner").alias("now"))
+        sides = (
+            d.join(to.withColumnsRenamed({"c": "a", "now": "xa"}), ["game_id", "a"], "left")
+            .join(to.withColumnsRenamed({"c": "b", "now": "xb"}), ["game_id", "b"], "left")
+            .select(
+                "game_id",
+                "m",
+                (F.col("na") * F.col("nb")).alias("w"),
+                F.coalesce("xa", F.struct(F.col("a").alias("id"), F.col("na").alias("n"), F.col("ia").alias("inner"))).alias("xa"),
+                F.coalesce("xb", F.struct(F.col("b").alias("id"), F.col("nb").alias("n"), F.col("ib").alias("inner"))).alias("xb"),
+            )
+            .where("xa.id <> xb.id")
         )
-        ra = to.select("game_id", F.col("c").alias("a"), F.col("rep").alias("ra"))
-        rb = to.select("game_id", F.col("c").alias("b"), F.col("rep").alias("rb"))
-        moved = (
-            full.join(ra, ["game_id", "a"], "left")
-            .join(rb, ["game_id", "b"], "left")
-            .select("game_id", F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "m", (F.col("na") * F.col("nb")).alias("w"))
-            .where("a <> b")
-            .groupBy("game_id", "a", "b")
+        d = durable(
+            sides.groupBy("game_id", F.least("xa", "xb").alias("x"), F.greatest("xa", "xb").alias("y"))
+            .agg(new.alias("m"))
+            .select(
+                "game_id", F.col("x.id").alias("a"), F.col("y.id").alias("b"), "m",
+                F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.inner").alias("ia"), F.col("y.inner").alias("ib"),
+            )
         )
-        new = {"single": F.min("m"), "complete": F.max("m")}.get(linkage, F.sum(F.col("m") * F.col("w")) / F.sum("w"))
-        d = durable(moved.agg(new.alias("m")))
     return rounds
 
 

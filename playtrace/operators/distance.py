@@ -130,10 +130,14 @@ def pairs(rows: DataFrame, measures: tuple[str, ...] = DISSIMILARITIES) -> DataF
     columns = [
         (sequence(F.col("ta"), F.col("tb")) if m == "sequence" else by_name[m](va, vb)).alias(m) for m in measures
     ]
-    return left.join(right, ["game_id", "_salt"]).where("a < b").select("game_id", "a", "b", *columns)
+    # Few bytes but much arithmetic per row: fix the number of tasks, or small inputs end up in one.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (x.repartition(tasks, "game_id", "_salt") for x in (left, right))
+    return left.join(right.hint("shuffle_hash"), ["game_id", "_salt"]).where("a < b").select("game_id", "a", "b", *columns)
 
 
 def matrix(steps: DataFrame, measure: str, cap: int = MATRIX_SESSIONS, seed: int = SAMPLE_SEED) -> DataFrame:
     """The pairwise table of one dissimilarity over a sample, both directions: ``a, b, d``."""
-    half = ordered.durable(pairs(prepared(sampled(steps, cap, seed)), (measure,)).withColumnRenamed(measure, "d"))
+    rows = prepared(ordered.durable(sampled(steps, cap, seed)))
+    half = ordered.durable(pairs(rows, (measure,)).withColumnRenamed(measure, "d"))
     return half.unionByName(half.select("game_id", F.col("b").alias("a"), F.col("a").alias("b"), "d"))

@@ -31,11 +31,11 @@ def split_hot(df: DataFrame, keys: list[str], order: list, hot_rows: int = HOT_R
 
     Returns the frame and the number of parts hot groups were cut into (0: none).
     """
-    hot = durable(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows))
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
     n_keys, n_rows = hot.agg(F.count("*"), F.sum("_n")).first()
     if not n_keys:
         return df.withColumn("_part", F.lit(0)), 0
-    marks = hot.select(*keys, F.lit(True).alias("_hot"))
+    marks = durable(hot.select(*keys, F.lit(True).alias("_hot")))
     if n_keys <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
     marked = _match(df, marks, keys, "left")
