@@ -71,4 +71,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from playtrace.plans import cluster_queries, engagement_queries, import_queries, model_queries, prediction_queries, sequence_queries  # noqa: F401
+    from playtrace.plans import cluster_queries, engagement_queries, import_queries, model_queries, prediction_queries, sequence_queries, streaming_queries  # noqa: F401
