@@ -2,10 +2,9 @@
 
 Every replicate draws as many sessions as there are, with replacement. Sessions with the
 same transitions are interchangeable, so they are grouped into profiles first and a
-replicate draws profile counts. The draw is split over buckets of profiles: how many
-draws fall into each bucket comes from a binary tree of binomial draws that every task
-can repeat from the seed, so no task sees more than one bucket and no draw is shuffled.
-The result is an exact multinomial resample.
+replicate draws profile counts. The draw is split over buckets of profiles: first how
+many draws fall into each bucket, then the profiles inside each. No task sees more than
+one bucket and no single draw is shuffled. The result is an exact multinomial resample.
 """
 
 from __future__ import annotations
@@ -23,7 +22,8 @@ from playtrace.operators.sequences import SESSION
 from playtrace.session import durable
 
 BUCKET_PROFILES = 4_000
-MAX_BUCKETS = 1 << 16
+MAX_BUCKETS = 1 << 14
+BLOCK = 100  # replicates drawn at once
 MIN_SESSIONS = 3
 
 
@@ -43,22 +43,6 @@ def _profiles(transitions: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def _bucket_draws(weights: np.ndarray, bucket: int, total: int, iterations: int, seed: list[int]) -> np.ndarray:
-    """Draws that fall into ``bucket`` in every replicate."""
-    ends = np.concatenate(([0], np.cumsum(weights)))
-    lo, hi = 0, len(weights)
-    left = np.full(iterations, total, dtype=np.int64)
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        share = (ends[mid] - ends[lo]) / max(1, ends[hi] - ends[lo])
-        taken = np.random.default_rng([*seed, lo, hi]).binomial(left, share)
-        if bucket < mid:
-            left, hi = taken, mid
-        else:
-            left, lo = left - taken, mid
-    return left
-
-
 def replicate_counts(transitions: DataFrame, sessions: DataFrame, iterations: int, seed: int = 42) -> DataFrame:
     """Edge counts of every replicate: ``game_id, replicate, src, dst, count`` (non-zero only)."""
     profiles = durable(_profiles(transitions, sessions).withColumn("key", F.xxhash64("game_id", "edges")))
@@ -66,35 +50,37 @@ def replicate_counts(transitions: DataFrame, sessions: DataFrame, iterations: in
     buckets = min(MAX_BUCKETS, max(1, math.ceil(n / BUCKET_PROFILES)))
     placed = profiles.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     sizes = placed.groupBy("game_id", "bucket").agg(F.sum("weight").alias("weight"))
-    # One row per game with at most MAX_BUCKETS bucket weights.
-    shape = sizes.groupBy("game_id").agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("shape"), F.sum("weight").alias("total")
-    )
 
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def share_out(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Draws per bucket and replicate; a game has at most MAX_BUCKETS rows here."""
+        pdf = pdf.sort_values("bucket")
+        w = pdf["weight"].to_numpy(dtype=float)
+        draws = np.random.default_rng([seed & 0xFFFFFFFF, *key[0].encode()]).multinomial(int(w.sum()), w / w.sum(), size=iterations)
+        return pd.DataFrame({"game_id": key[0], "bucket": pdf["bucket"].to_numpy(), "draws": list(draws.T)})
+
+    def draw(key: tuple, pdf: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
+        """Profile counts inside one bucket, summed to edge counts."""
         game, bucket = key
         pdf = pdf.sort_values("key", kind="stable")
-        shape_rows = pdf["shape"].iloc[0]
-        order = [s["bucket"] for s in shape_rows]
-        weights = np.array([s["weight"] for s in shape_rows], dtype=np.int64)
-        base = [seed & 0xFFFFFFFF, *game.encode()]
-        left = _bucket_draws(weights, order.index(bucket), int(pdf["total"].iloc[0]), iterations, base)
+        left = np.asarray(shares["draws"].iloc[0], dtype=np.int64)
         w = pdf["weight"].to_numpy(dtype=float)
-        times = np.random.default_rng([*base, bucket, 7919]).multinomial(left, w / w.sum())  # replicate x profile
         flat = [(i, e["src"], e["dst"], e["n"]) for i, edges in enumerate(pdf["edges"]) for e in edges]
-        if not flat:
-            return pd.DataFrame({"game_id": [], "replicate": [], "src": [], "dst": [], "count": []})
         rows = pd.DataFrame(flat, columns=["profile", "src", "dst", "n"])
-        parts = []
-        for (src, dst), grp in rows.groupby(["src", "dst"], sort=False):
-            total = times[:, grp["profile"].to_numpy()] @ grp["n"].to_numpy()
-            hit = np.flatnonzero(total)
-            parts.append(pd.DataFrame({"game_id": game, "replicate": hit, "src": src, "dst": dst, "count": total[hit]}))
+        by_edge = [(*e, g["profile"].to_numpy(), g["n"].to_numpy()) for e, g in rows.groupby(["src", "dst"], sort=True)]
+        rng = np.random.default_rng([seed & 0xFFFFFFFF, *game.encode(), bucket, 1])
+        parts = [pd.DataFrame({"game_id": [], "replicate": [], "src": [], "dst": [], "count": []})]
+        for first in range(0, iterations, BLOCK):
+            times = rng.multinomial(left[first : first + BLOCK], w / w.sum())  # replicate x profile
+            for src, dst, which, each in by_edge:
+                total = times[:, which] @ each
+                hit = np.flatnonzero(total)
+                parts.append(pd.DataFrame({"game_id": game, "replicate": hit + first, "src": src, "dst": dst, "count": total[hit]}))
         return pd.concat(parts)
 
+    shares = sizes.groupBy("game_id").applyInPandas(share_out, "game_id string, bucket int, draws array<long>")
     drawn = (
-        placed.join(shape, "game_id")
-        .groupBy("game_id", "bucket")
+        placed.groupBy("game_id", "bucket")
+        .cogroup(shares.groupBy("game_id", "bucket"))
         .applyInPandas(draw, "game_id string, replicate int, src string, dst string, count long")
     )
     return drawn.groupBy("game_id", "replicate", "src", "dst").agg(F.sum("count").alias("count"))

@@ -138,7 +138,7 @@ def beeswarm(shap: DataFrame) -> DataFrame:
     span = shap.groupBy("game_id", "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     span = span.join(top.select("game_id", "feature", "rank"), ["game_id", "feature"])
     width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
-    return shap.join(F.broadcast(span), ["game_id", "feature"]).select(
+    return shap.join(span, ["game_id", "feature"]).select(
         "game_id", "rank", "feature", "id", round_half_up("phi", 5).alias("shap"), round_half_up((F.col("value") - F.col("lo")) / width, 4).alias("value_norm")
     )
 
