@@ -86,34 +86,41 @@ def _pairs(steps: list[tuple]) -> Counter:
 def _edge_changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Insert new events into the session's recent steps and emit which pairs came and went.
 
-    Steps older than the watermark are final; of them only the last one is kept, to
-    connect to the next step.
+    Leading steps older than the watermark are final; of them only the last one is kept,
+    to connect to the next step. A step that should come before it is too late.
     """
-    old = list(zip(*state.get)) if state.exists else []
-    new = [row for pdf in batches for row in zip(pdf["t_ms"].tolist(), pdf["id"].tolist(), pdf["type"].tolist())]
     final = state.getCurrentWatermarkMs()
-    if old and old[0][0] < final:
-        new = [s for s in new if s[:2] > old[0][:2]]  # before the connecting step: too late
+    old = list(zip(*state.get)) if state.exists else []
+    new = [row for pdf in batches for row in zip(*(pdf[c].tolist() for c in ("seq", "id", "type", "at")))]
+    if old and old[0][3] < final:
+        new = [s for s in new if s[:2] > old[0][:2]]
     merged = sorted(old + new)
     change = _pairs(merged)
     change.subtract(_pairs(old))
     rows = [(*key, a, b, n) for (a, b), n in change.items() if n]
-    settled = [i for i, s in enumerate(merged) if s[0] < final]
-    recent = merged[max(0, len(settled) - 1) :]
-    state.update(tuple(list(c) for c in zip(*recent)))
+    settled = next((i for i, s in enumerate(merged) if s[3] >= final), len(merged))
+    state.update(tuple(list(c) for c in zip(*merged[max(0, settled - 1) :])))
     yield pd.DataFrame(rows, columns=["game_id", "session_id", "src", "dst", "delta"])
 
 
 def transition_changes(stream: DataFrame, delay: str) -> DataFrame:
     """Signed changes of directly-follows counts; their sum is the batch result, in any arrival order."""
-    known = stream.where(F.col("session_id").isNotNull()).select(*SESSION, "created_at", "t_ms", "id", activity().alias("type"))
+    first = F.lit(-(1 << 31)).cast("long")  # events without a sequence number come first
+    known = stream.where(F.col("session_id").isNotNull()).select(
+        *SESSION,
+        "created_at",
+        F.coalesce(F.col("seq").cast("long"), first).alias("seq"),
+        "id",
+        activity().alias("type"),
+        F.unix_millis("created_at").alias("at"),
+    )
     return (
         known.withWatermark("created_at", delay)
         .groupBy(*SESSION)
         .applyInPandasWithState(
             _edge_changes,
             "game_id string, session_id string, src string, dst string, delta long",
-            "t_ms array<long>, id array<long>, type array<string>",
+            "seq array<long>, id array<long>, type array<string>, at array<long>",
             "append",
             GroupStateTimeout.NoTimeout,
         )
