@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.clustering import KMeans
@@ -51,10 +52,12 @@ def kmeans(vectors: DataFrame, k: int = 3, seed: int = 42) -> tuple[DataFrame, D
         mine = points.where(F.col("game_id") == game)
         distinct = mine.groupBy("v").agg(F.count("*").cast("double").alias("weight")).withColumn("features", array_to_vector("v"))
         distinct = distinct.select("features", "weight").persist()
-        fits = [
-            KMeans(k=k, seed=seed + r * RESTART_STEP, maxIter=KMEANS_ROUNDS, weightCol="weight", predictionCol="cluster").fit(distinct)
+        starts = [
+            KMeans(k=k, seed=seed + r * RESTART_STEP, maxIter=KMEANS_ROUNDS, weightCol="weight", predictionCol="cluster")
             for r in range(RESTARTS)
         ]
+        with ThreadPoolExecutor(RESTARTS) as pool:  # independent jobs of one cluster
+            fits = list(pool.map(lambda start, data=distinct: start.fit(data), starts))
         best = min(fits, key=lambda m: m.summary.trainingCost)
         assigned.append(best.transform(mine).select(*SESSION, "cluster"))
         costs.append((game, float(best.summary.trainingCost)))

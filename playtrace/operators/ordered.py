@@ -29,12 +29,13 @@ def _match(left: DataFrame, right: DataFrame, names: list[str], how: str) -> Dat
 def split_hot(df: DataFrame, keys: list[str], order: list, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int]:
     """Add ``_part``: 0 for ordinary groups, 1.. in order inside groups above ``hot_rows``.
 
-    Returns the frame and the number of parts hot groups were cut into (0: none).
+    Returns the frame and the number of parts hot groups were cut into. Without hot
+    groups that is 0 and the frame comes back as it is.
     """
     hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
     n_keys, n_rows = hot.agg(F.count("*"), F.sum("_n")).first()
     if not n_keys:
-        return df.withColumn("_part", F.lit(0)), 0
+        return df, 0
     marks = durable(hot.select(*keys, F.lit(True).alias("_hot")))
     if n_keys <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
@@ -66,10 +67,12 @@ def running(
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     parted, parts = split_hot(df, keys, order, hot_rows)
     last = Window.currentRow if inclusive else -1
-    w = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    # Without parts the window's partitioning is the keys alone, which later steps can reuse.
+    within = [*keys, "_part"] if parts else keys
+    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     local = parted.withColumns({n: F.coalesce(F.sum(e).over(w), F.lit(0)) for n, e in sums.items()})
     if not parts:
-        return local.drop("_part")
+        return local
     carried = (
         parted.where(F.col("_part") > 0)
         .groupBy(*keys, "_part")

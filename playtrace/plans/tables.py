@@ -31,31 +31,25 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_shared: dict[tuple, DataFrame] = {}
-
-
-def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Keep one prepared table per session and folder; lost blocks are recomputed."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _shared:
-        _shared[key] = build().persist()
-    return _shared[key]
+_prepared: dict[tuple, DataFrame] = {}
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event envelope with ``seq``."""
-
-    def build() -> DataFrame:
-        ev = events(spark, sf_dir)
-        rn = ordered.numbered(ev, ["session_id"], ["created_at", "id"], "_rn")
-        return rn.withColumn("seq", F.col("_rn") - 1).drop("_rn")
-
-    return _once(spark, sf_dir, "log", build)
+    rn = ordered.numbered(events(spark, sf_dir), ["session_id"], ["created_at", "id"], "_rn")
+    return rn.withColumn("seq", F.col("_rn") - 1).drop("_rn")
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered steps of all sessions, the shared input of every sequence analysis."""
-    return _once(spark, sf_dir, "steps", lambda: sequences.steps(log(spark, sf_dir)))
+    """Ordered steps of all sessions, the shared input of every sequence analysis.
+
+    Kept once per session and folder, in the few columns those analyses read, and
+    partitioned by session; lost blocks are recomputed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _prepared:
+        _prepared[key] = sequences.steps(log(spark, sf_dir)).persist()
+    return _prepared[key]
 
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:
