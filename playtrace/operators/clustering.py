@@ -5,6 +5,8 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -113,87 +115,48 @@ def k_medoids(matrix: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     return assigned.join(medoids, ["game_id", "cluster"]).select(*SESSION, "cluster", "medoid")
 
 
-def agglomerate(matrix: DataFrame, linkage: str = "average") -> list[DataFrame]:
-    """Merges of every round up to one cluster per game: ``keep, gone, height, round``.
+def _merge(gap: np.ndarray, k: int, linkage: str) -> np.ndarray:
+    """Labels after merging the closest pair of groups until ``k`` are left."""
+    n = len(gap)
+    gap = gap.copy()
+    np.fill_diagonal(gap, np.inf)
+    size, label = np.ones(n), np.arange(n)
+    for _ in range(n - k):
+        i, j = sorted(divmod(int(gap.argmin()), n))
+        height, a, b = gap[i, j], gap[i], gap[j]
+        if linkage == "single":
+            new = np.minimum(a, b)
+        elif linkage == "complete":
+            new = np.maximum(a, b)
+        elif linkage == "average":
+            new = (size[i] * a + size[j] * b) / (size[i] + size[j])
+        else:
+            both = (size[i] + size) * a**2 + (size[j] + size) * b**2 - size * height**2
+            new = np.sqrt(np.maximum(0, both / (size[i] + size[j] + size)))
+        gap[i], gap[:, i] = new, new
+        gap[j], gap[:, j], gap[i, i] = np.inf, np.inf, np.inf
+        size[i] += size[j]
+        label[label == j] = i
+    return np.unique(label, return_inverse=True)[1]
 
-    All pairs that are each other's nearest neighbour merge in the same round, which
-    gives the same tree as merging the closest pair each time for these linkages.
-    Average and Ward keep mean (squared) distances between clusters, which merge as
-    weighted means; Ward's height follows from them and the spread inside clusters.
-    """
-    ward = linkage == "ward"
-    start = F.col("d") * F.col("d") if ward else F.col("d")
-    one, zero = F.lit(1.0), F.lit(0.0)
-    # Each unordered pair once: both clusters' ids, sizes and (for Ward) inner spreads.
-    d = durable(
-        matrix.where("a < b").select(
-            "game_id", "a", "b", start.alias("m"), one.alias("na"), one.alias("nb"), zero.alias("ia"), zero.alias("ib")
-        )
-    )
-    n = F.col("na") + F.col("nb")
-    if ward:
-        gap = F.greatest(zero, F.col("m") - F.col("ia") / 2 - F.col("ib") / 2)
-        height = F.sqrt(2 * F.col("na") * F.col("nb") / n * gap)
-    else:
-        height = F.col("m")
-    inner = (
-        F.col("na") * F.col("na") * F.col("ia") + F.col("nb") * F.col("nb") * F.col("ib") + 2 * F.col("na") * F.col("nb") * F.col("m")
-    ) / (n * n)
-    new = {"single": F.min("m"), "complete": F.max("m")}.get(linkage, F.sum(F.col("m") * F.col("w")) / F.sum("w"))
-    rounds = []
-    while not d.isEmpty():
-        pair = F.struct("h", "a", "b", "m", "na", "nb", "ia", "ib")
-        near = d.withColumn("h", height).select("game_id", pair.alias("p"), F.explode(F.array("a", "b")).alias("c")).groupBy("game_id", "c").agg(F.min("p").alias("p"))
-        # a pair that is nearest for both of its clusters is chosen twice
-        chosen = near.groupBy("game_id", "p").agg(F.count("*").alias("times")).where("times = 2").select("game_id", "p.*")
-        merges = durable(chosen.select("game_id", "a", "b", "h", n.alias("n"), inner.alias("inner")))
-        rounds.append(
-            merges.select("game_id", F.col("a").alias("keep"), F.col("b").alias("gone"), F.col("h").alias("height"), F.lit(len(rounds)).alias("round"))
-        )
-        to = merges.select("game_id", F.explode(F.array("a", "b")).alias("c"), F.struct(F.col("a").alias("id"), "n", "inner").alias("now"))
-        sides = (
-            d.join(to.withColumnsRenamed({"c": "a", "now": "xa"}), ["game_id", "a"], "left")
-            .join(to.withColumnsRenamed({"c": "b", "now": "xb"}), ["game_id", "b"], "left")
-            .select(
-                "game_id",
-                "m",
-                (F.col("na") * F.col("nb")).alias("w"),
-                F.coalesce("xa", F.struct(F.col("a").alias("id"), F.col("na").alias("n"), F.col("ia").alias("inner"))).alias("xa"),
-                F.coalesce("xb", F.struct(F.col("b").alias("id"), F.col("nb").alias("n"), F.col("ib").alias("inner"))).alias("xb"),
-            )
-            .where("xa.id <> xb.id")
-        )
-        d = durable(
-            sides.groupBy("game_id", F.least("xa", "xb").alias("x"), F.greatest("xa", "xb").alias("y"))
-            .agg(new.alias("m"))
-            .select(
-                "game_id", F.col("x.id").alias("a"), F.col("y.id").alias("b"), "m",
-                F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.inner").alias("ia"), F.col("y.inner").alias("ib"),
-            )
-        )
-    return rounds
 
+def hierarchical(matrix: DataFrame, k: int = 3, linkage: str = "average") -> DataFrame:
+    """Agglomerative clusters of every game's sample.
 
-def cut(rounds: list[DataFrame], everyone: DataFrame, k: int = 3) -> DataFrame:
-    """Undo the k-1 highest merges of each game and label every session."""
-    merges = durable(reduce(DataFrame.unionByName, rounds))
-    w = Window.partitionBy("game_id").orderBy(F.desc("height"), F.desc("round"), "keep", "gone")
-    kept = durable(merges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > clamp_k(k) - 1).drop("_r"))
-    label = everyone.select(*SESSION, F.col("session_id").alias("root"))
-    for i in range(len(rounds)):
-        step = kept.where(F.col("round") == i).select("game_id", F.col("gone").alias("root"), "keep")
-        label = label.join(step, ["game_id", "root"], "left").select(*SESSION, F.coalesce("keep", "root").alias("root"))
-        if i % 8 == 7:
-            label = durable(label)
-    names = label.groupBy("game_id", "root").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("game_id").orderBy("root")  # k clusters per game
-    return label.join(names.withColumn("cluster", F.row_number().over(w) - 1).drop("n"), ["game_id", "root"]).select(*SESSION, "cluster")
+    Merging is a chain of dependent steps, so a game is one task; its sample has at
+    most 600 sessions, whatever the size of the log.
+    """
+    k = clamp_k(k)
 
+    def tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
+        i, j = np.searchsorted(names, pdf["a"]), np.searchsorted(names, pdf["b"])
+        gap = np.zeros((len(names), len(names)))
+        gap[i, j] = gap[j, i] = pdf["d"].to_numpy()
+        return pd.DataFrame({"game_id": key[0], "session_id": names, "cluster": _merge(gap, k, linkage)})
 
-def hierarchical(matrix: DataFrame, k: int = 3, linkage: str = "average") -> DataFrame:
-    matrix = durable(matrix)
-    everyone = matrix.select("game_id", F.col("a").alias("session_id")).distinct()
-    return cut(agglomerate(matrix, linkage), everyone, k)
+    half = matrix.where("a < b").select("game_id", "a", "b", "d")
+    return half.groupBy("game_id").applyInPandas(tree, "game_id string, session_id string, cluster int")
 
 
 def silhouette(matrix: DataFrame, assigned: DataFrame) -> DataFrame:
