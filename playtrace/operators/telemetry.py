@@ -146,4 +146,4 @@ def tap_results(events: DataFrame, players: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-register(Module("quick-tap", "Quick Tap insights", tap_results))
+register(Module("tap-game", "Tap insights", tap_results))

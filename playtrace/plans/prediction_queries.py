@@ -69,12 +69,12 @@ def tap_player_speed(spark, d):
 
 @query(
     "registered_module_totals",
-    TAPS + """SELECT 'quick-tap' AS game_id, count(*) FILTER (WHERE kind = 'hit') AS hits, count(*) AS taps FROM tp""",
+    TAPS + """SELECT 'tap-game' AS game_id, count(*) FILTER (WHERE kind = 'hit') AS hits, count(*) AS taps FROM tp""",
 )
 def registered_module_totals(spark, d):
     """All taps as the events of the one game that has its own module."""
-    ev = t.taps(spark, d).withColumn("game_id", F.lit("quick-tap"))
-    return telemetry.specific("quick-tap", ev, t.players(spark, d))["totals"].select("game_id", "hits", "taps")
+    ev = t.taps(spark, d).withColumn("game_id", F.lit("tap-game"))
+    return telemetry.specific("tap-game", ev, t.players(spark, d))["totals"].select("game_id", "hits", "taps")
 
 
 # ---- features ----------------------------------------------------------------------------
