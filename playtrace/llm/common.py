@@ -68,23 +68,38 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+BLOCK = 1 << 20
+
+
+def no_space(data: np.ndarray) -> np.ndarray:
+    return ~_SPACE[data]
 
 
 class Words:
-    """The words of several byte strings at once: start, end, hash and string number of each word."""
+    """The words of several byte strings at once: start, end, hash and string number of each word.
+
+    Works through the bytes in blocks that end between words, so the large temporary arrays have one block's size.
+    """
 
-    def __init__(self, texts: list[bytes], codes: np.ndarray):
-        """codes: 64-bit number of each byte, 0 for a byte that hashing skips."""
+    def __init__(self, texts: list[bytes], codes: np.ndarray, inside=no_space):
+        """codes: 64-bit number of each byte value. inside(bytes): which bytes belong to words, never line feeds."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        joined = b"\n".join(texts) + b"\n" if texts else b""
-        self.data = data = np.frombuffer(joined, np.uint8)
+        self.data = data = np.frombuffer(b"\n".join(texts) + b"\n" if texts else b"", np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum(lengths + 1)])[: len(texts)]
-        inside = ~_SPACE[data]
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+        mask = inside(data)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).view(np.int8)))
         self.start, self.end = edges[::2], edges[1::2]
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes[data] * powers(len(data)), dtype=np.uint64)])
-        self.hash = mixed((total[self.end] - total[self.start]) * powers(len(data) + 1, True)[self.start]) if len(data) else np.zeros(0, np.uint64)
+        self.hash, first = np.zeros(len(self.start), np.uint64), 0
+        while first < len(self.start):
+            low = self.start[first]
+            last = max(first + 1, int(np.searchsorted(self.end, low + BLOCK, "right")))
+            part = data[low : self.end[last - 1]]
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(codes[part] * powers(len(part)), out=total[1:])
+            a, b = self.start[first:last] - low, self.end[first:last] - low
+            self.hash[first:last] = mixed((total[b] - total[a]) * powers(len(part) + 1, True)[a])
+            first = last
 
     def grams(self, n: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The first word of each run of n words within one string, and the run's hash."""
@@ -98,7 +113,7 @@ class Words:
         return first, out
 
 
-def slices(texts: list[bytes], most: int = 4_000_000):
+def slices(texts: list[bytes], most: int = 2_000_000):
     """Index ranges of neighbouring texts of about `most` bytes together; a longer text stands alone."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -108,3 +123,8 @@ def slices(texts: list[bytes], most: int = 4_000_000):
         size += len(t)
     if at < len(texts):
         yield at, len(texts)
+
+
+def bytes_of(column) -> list[bytes]:
+    """An Arrow column of binary values; null counts as empty."""
+    return [b"" if t is None else t for t in column.to_pylist()]
