@@ -1,8 +1,8 @@
 """Token counts that follow edits.
 
-A tokenizer with byte-pair ranks cuts a text into pre-tokens, by a pattern that looks at most one character ahead and never back, and each
+A tokenizer with byte-pair ranks cuts a text into pre-tokens, by a pattern that looks at most two characters ahead and never back, and each
 pre-token into tokens on its own. A document's tree has runs of LEAF pre-tokens as leaves and sums of characters and tokens above
-them. An edit finds its leaves by the sums of characters, re-encodes them from one character of context before the edit on to the
+them. An edit finds its leaves by the sums of characters, re-encodes them from two characters of context before the edit on to the
 first old boundary behind it where a new pre-token ends as well, and updates the sums on the paths to the root. All other leaves stay.
 
 ``count_trees`` keeps the leaves as columns of a table; ``recount`` takes them up again without encoding the text anew. The folder of
@@ -153,7 +153,10 @@ class Tree:
         while True:  # until a new pre-token ends where the leaves behind begin
             while behind < len(self.texts) and not self.texts[behind]:
                 behind += 1
-            context = self.texts[behind] if behind < len(self.texts) else ""
+            context, more = "", behind
+            while more < len(self.texts) and len(context) < 2:
+                context += self.texts[more]
+                more += 1
             pieces = [p for part in self.count.pieces(region + context) for p in part]
             done, kept = 0, 0
             while kept < len(pieces) and done < len(region):
@@ -161,31 +164,22 @@ class Tree:
                 kept += 1
             if done == len(region):
                 break
-            region += context
+            region += self.texts[behind]
             behind += 1
         pieces = pieces[:kept]
         self.encoded += len(pieces)
         room = behind - first  # the same leaves take the new pre-tokens
-        each = -(-len(pieces) // room) if pieces else 0
+        each = -(-len(pieces) // room)
+        if each > 8 * LEAF:  # too many: the region gets leaves of its own, and the sums are made anew
+            runs = [pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)]
+            inner = ["".join(r) for r in runs], [sum(map(len, r)) for r in runs], [sum(map(self.count.__getitem__, r)) for r in runs]
+            n = len(self.texts)
+            outer = self.texts, self.chars[self.size : self.size + n], self.tokens[self.size : self.size + n]
+            self._build(*(o[:first] + i + o[behind:] for o, i in zip(outer, inner)))
+            return
         for k in range(room):
             run = pieces[k * each : (k + 1) * each]
             self._set(first + k, "".join(run), sum(map(self.count.__getitem__, run)))
-        if each > 8 * LEAF:  # grown out of shape: new leaves, from the counts at hand
-            self._split()
-
-    def _split(self):
-        texts, chars, tokens = [], [], []
-        for text, n, t in zip(self.texts, self.chars[self.size :], self.tokens[self.size :]):
-            if n > 16 * LEAF:
-                own = leaves(text, self.count)
-                texts += self._cut(text, own[0])
-                chars += own[0]
-                tokens += own[1]
-            elif n:
-                texts.append(text)
-                chars.append(n)
-                tokens.append(t)
-        self._build(texts, chars, tokens)
 
 
 def count_trees(docs: DataFrame, columns: list[str], path: str = f"{FOLDER}/{FILE}") -> DataFrame:
