@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -46,13 +47,41 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when the driver's Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/playtrace-{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session has ended before; its folder stays for whoever ended it
+        pass
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage and survives losing executors. Unlike a checkpoint it also
     gives the optimizer the real size: size estimates multiply in every join, and in an
-    iterative job they would otherwise grow without end.
+    iterative job they would otherwise grow without end. The shuffle files of the write are freed at once.
     """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
