@@ -1,4 +1,4 @@
 """All queries of the subpackage, by name."""
 
-from playtrace.llm import decontamination, fingerprints, jaccard, language, line_dedup, mixing, quality, sharding, token_counts  # noqa: F401
+from playtrace.llm import decontamination, fingerprints, jaccard, language, line_dedup, mixing, quality, sharding, suffixes, token_counts  # noqa: F401
 from playtrace.llm.common import ORACLES, QUERIES  # noqa: F401
