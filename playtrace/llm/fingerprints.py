@@ -91,8 +91,8 @@ def edited(docs: DataFrame, k: int = K) -> DataFrame:
     """For every row: doc_id, text, next_text, edited_text, and the sketches sketch, next_sketch, edited_sketch."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("_range", _ranges(docs))
-    ids = rows.groupBy("_range").agg(F.min("doc_id").alias("_first"))
-    heads = rows.join(ids.withColumnRenamed("_range", "_r"), (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_first")), "leftsemi")
+    ids = rows.groupBy("_range").agg(F.min("doc_id").alias("_first"))  # one id for each range, whose number is bounded
+    heads = rows.join(F.broadcast(ids.withColumnRenamed("_range", "_r")), (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_first")), "leftsemi")
     heads = heads.groupBy("_range", "doc_id").agg(F.min("text").alias("text"))  # one row for each range
     order = Window.partitionBy(F.lit(0)).orderBy("_range")  # over the ranges, whose number is bounded
     ring = heads.select("doc_id", "text", F.coalesce(F.lag("_range").over(order), F.max("_range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_range"))
