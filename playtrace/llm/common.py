@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, core: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """docs with its other columns in one, _others, so that no name can clash; and how to get each column of docs back."""
+    others = [c for c in docs.columns if c not in core]
+    both = docs.select(*core, (F.struct(*others) if others else F.lit(0)).alias("_others"))
+    return both, {c: F.col(c) if c in core else F.col("_others")[c].alias(c) for c in docs.columns}
+
+
 def crc_of(doc_id: Column) -> Column:
     """crc32 of the id as text; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary"))

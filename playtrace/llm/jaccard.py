@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playtrace.llm.common import Words, byte_codes, bytes_of, mixed, query, slices, table
+from playtrace.llm.common import Words, byte_codes, bytes_of, mixed, packed, query, slices, table
 from playtrace.llm.components import components
 from playtrace.session import durable
 
@@ -236,10 +236,11 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Data
     place = F.struct("doc_id", "_text")
     first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(place).alias("_p")).select(F.col("_p.doc_id").alias("_d"), F.col("_p._text").alias("_t"), F.lit(True).alias("_first"))
     alone = found.where("n_shingles = 0").select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), F.lit(False).alias("_first")).distinct()
-    rows = docs.withColumn("_h", F.xxhash64("text")).join(first.unionByName(alone), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))
+    rows, back = packed(docs, ["doc_id", "text"])
+    rows = rows.withColumn("_h", F.xxhash64("text")).join(first.unionByName(alone), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))
     copies = Window.partitionBy("_d", "_t").orderBy(F.lit(1))  # rows that are the same in id and text
     rows = rows.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1 OR NOT _first")
-    return rows.select(*docs.columns)
+    return rows.select(*back.values())
 
 
 @query("op3_ngram_jaccard")

@@ -21,7 +21,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playtrace.llm.common import WORD, query, table
+from playtrace.llm.common import WORD, packed, query, table
 from playtrace.session import durable
 
 WEIGHTS, MOST, BLOCK_WORDS, SEED, SHARDS = (5, 2, 1), 3, 32, 17, 40
@@ -141,9 +141,9 @@ def mix(docs: DataFrame, columns: list[str], weights=WEIGHTS, most: int = MOST,
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row for each pass over a document. A cut document keeps its taken words, joined by blanks."""
-    names = docs.columns
-    m = mix(docs, names, **options)
+    """The mix itself, with the columns of docs: a row for each pass over a document. A cut document keeps its taken words, joined by blanks; n_chars, if there, is made anew."""
+    rows, back = packed(docs, ["doc_id", "text", "source"])
+    m = mix(rows, rows.columns, **options)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     partial = F.when(F.col("_b") - F.col("_a") + F.col("_d") == F.col("_size"), F.col("text")).otherwise(
         F.array_join(F.concat(F.slice(words, (F.col("_c") + 1).cast("int"), (F.col("_d") - F.col("_c")).cast("int")), F.slice(words, (F.col("_a") + 1).cast("int"), (F.col("_b") - F.col("_a")).cast("int"))), " ")
@@ -151,7 +151,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     pieces = F.concat(F.array_repeat(F.col("text"), F.col("_full").cast("int")), F.when(F.col("_b") - F.col("_a") + F.col("_d") > 0, F.array(partial)).otherwise(F.array().cast("array<string>")))
     rows = m.withColumn("_piece", F.explode(pieces))
     fresh = {"text": F.col("_piece"), "n_chars": F.length("_piece").cast("long")}
-    return rows.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in names])
+    return rows.select(*[fresh[c].alias(c) if c in fresh else column for c, column in back.items()])
 
 
 _SQL = f"""

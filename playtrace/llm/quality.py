@@ -4,7 +4,8 @@ A text becomes counts of terms: shapes of three neighbouring characters (letters
 runs drawn together), pairs of plain shapes, hashed lower-case words, and words that recur at once. Logarithmic counts, weighted by rarity in the labelled sample,
 are reduced to DIMENSIONS by a truncated singular value decomposition. The labelled vectors are broadcast, their
 number is at most PER_LABEL for each label, and every document's cosines to all of them are computed
-in blocks. The NEIGHBOURS most similar ones vote, weighted by similarity.
+in blocks. The NEIGHBOURS most similar ones vote, weighted by similarity to the power SHARPNESS and, so that a rare label
+is not outvoted by numbers, by one over the number of its labelled vectors.
 
 The sample: the PER_LABEL labelled rows of each label whose ids come first in order of md5. Its ids, never texts or
 labels outside it, are the only thing learned from.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from playtrace.llm.common import Words, byte_codes, bytes_of, crc_of, query, slices, table
 
-PER_LABEL, DIMENSIONS, NEIGHBOURS, THRESHOLD, SEED = 1000, 48, 25, 0.7, 7
+PER_LABEL, DIMENSIONS, NEIGHBOURS, SHARPNESS, THRESHOLD, SEED = 1000, 48, 15, 4, 0.7, 7
 WORD_BUCKETS = 512
 
 _CODES = byte_codes(7)
@@ -87,16 +88,16 @@ class Model:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(texts), 0.5)
-        out = np.zeros(len(texts))
+        out, share = np.zeros(len(texts)), 1 / np.bincount(self.labels.astype(int), minlength=2).clip(1)[self.labels.astype(int)]
         for a in range(0, len(texts), 256):
             counts = terms(texts[a : a + 256])
             cosine = np.maximum(self.project(counts) @ self.vectors.T, 0)
             k = min(NEIGHBOURS, cosine.shape[1])
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.take_along_axis(cosine, near, 1).astype(np.float64)
+            weight = np.take_along_axis(cosine, near, 1).astype(np.float64) ** SHARPNESS * share[near]
             total = weight.sum(1)
             votes = (weight * self.labels[near]).sum(1)
-            out[a : a + 256] = np.where(counts.any(1) & (total > 0), votes / np.maximum(total, 1e-12), 0.0)
+            out[a : a + 256] = np.where(counts.any(1) & (total > 0), votes / np.maximum(total, 1e-300), 0.0)
         return np.clip(out, 0, 1)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playtrace.llm.common import query, table
+from playtrace.llm.common import packed, query, table
 from playtrace.session import durable
 
 SHARDS, OVERHEAD, TOLERANCE, PROBES = 40, 16, 0.001, 15
@@ -119,8 +119,8 @@ def shard(docs: DataFrame, columns: list[str], shards: int = SHARDS, tolerance:
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """All columns of docs, and the numbers shard and slot (replacing columns of these names)."""
-    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return shard(docs, names, shards).select(*names, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    rows, back = packed(docs.select(*[c for c in docs.columns if c.lower() not in ("shard", "slot")]), ["doc_id", "text"])
+    return shard(rows, rows.columns, shards).select(*back.values(), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
 @query("op9_histogram_shards")
