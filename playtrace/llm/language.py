@@ -197,9 +197,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(docs: DataFrame) -> tuple[list[bytes], list[str]]:
     """Pieces of at most PER_LANGUAGE texts of each language. Ids are chosen first, in bounded ranks."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rank = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= PER_LANGUAGE).drop("_r")
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.distinct().collect()], chosen.schema)
+    order = [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
+    rank, part = Window.partitionBy("lang").orderBy(*order), Window.partitionBy("lang", "_part").orderBy(*order)
+    chosen = rows.select("doc_id", "lang").distinct().withColumn("_part", crc_of(F.col("doc_id")) % 128)
+    chosen = chosen.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= PER_LANGUAGE)  # of each part first, so that no task gets a whole language
+    chosen = chosen.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= PER_LANGUAGE).select("doc_id", "lang")
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], chosen.schema)
     again = Window.partitionBy("doc_id", "lang").orderBy("text")
     picked = rows.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
     picked = picked.withColumn("_r", F.row_number().over(again)).where("_r = 1").select("lang", "doc_id", crc_of(F.col("doc_id")).alias("seed"), "text")

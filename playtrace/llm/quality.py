@@ -119,9 +119,12 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, learnable: Column) -> tuple[list[bytes], list[int]]:
     """At most PER_LABEL texts of each label, in a fixed order. Ids are chosen first; only their texts move."""
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
-    rank = Window.partitionBy("quality").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
+    order = [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
+    rank, part = Window.partitionBy("quality").orderBy(*order), Window.partitionBy("quality", "_part").orderBy(*order)
     known = docs.select("doc_id").where(learnable & F.col("doc_id").isNotNull()).distinct()
-    chosen = marked.distinct().join(known, "doc_id").withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= PER_LABEL).drop("_r")
+    chosen = marked.distinct().join(known, "doc_id").withColumn("_part", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 128)
+    chosen = chosen.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= PER_LABEL)  # of each part first, so that no task gets a whole label
+    chosen = chosen.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= PER_LABEL).select("doc_id", "quality")
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], chosen.schema)  # at most 2 * PER_LABEL rows
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
     order = Window.partitionBy("doc_id", "quality").orderBy("text")

@@ -27,8 +27,10 @@ KEYS = ("_k1", "_k2", "_k3")
 
 def _packed(keys: list[np.ndarray]) -> np.ndarray:
     """Signed 64-bit columns as byte strings in the same order."""
-    flipped = np.stack([(k.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8") for k in keys], axis=1)
-    return np.ascontiguousarray(flipped).view("S24")[:, 0]
+    flipped = np.empty((len(keys[0]), len(keys)), ">u8")  # most significant byte first
+    for i, k in enumerate(keys):
+        flipped[:, i] = k.view(np.uint64) ^ np.uint64(1 << 63)
+    return flipped.view("S24")[:, 0]
 
 
 def _below(probes: np.ndarray):
@@ -98,9 +100,11 @@ def shard(docs: DataFrame, columns: list[str], shards: int = SHARDS, tolerance:
     keyed = docs.withColumns({"_size": (F.octet_length(text) + OVERHEAD).cast("long"), "_crc": F.crc32(text.cast("binary")), "_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), "doc_id", text), "_k3": F.xxhash64(F.monotonically_increasing_id())})
     rows = durable(keyed.select(*columns, "_size", "_crc", *KEYS))
     cuts = splitters(rows, shards, tolerance)
-    cuts = [[(c >> s) % (1 << 64) - (1 << 63) for s in (128, 64, 0)] for c in cuts]
+    cuts = [[((c >> s) & ((1 << 64) - 1)) - (1 << 63) for s in (128, 64, 0)] if c >= 0 else None for c in cuts]
 
-    def above(c: list[int]):
+    def above(c: list[int] | None):
+        if c is None:  # a boundary before all keys
+            return F.lit(True)
         a, b, d = (F.col(k) for k in KEYS)
         x, y, z = (F.lit(v).cast("long") for v in c)
         return (a > x) | ((a == x) & ((b > y) | ((b == y) & (d > z))))

@@ -189,8 +189,8 @@ def test_templates_catch_other_values(spark):
 
 def test_slots_must_be_consistent():
     index = decontamination.Index([1], [b"take 5 of the red balls and 5 of the blue balls now"])
-    assert index.matches([b"take 9 of the red balls and 9 of the blue balls now"]) == [(0, 0, 12, 2)]
-    assert index.matches([b"take 9 of the red balls and 8 of the blue balls now"])[0][2] < 12 if index.matches([b"take 9 of the red balls and 8 of the blue balls now"]) else True
+    assert index.matches([b"take 9 of the red balls and 9 of the blue balls now"]) == [(0, 0, 13, 2)]
+    assert all(m[2] < 13 for m in index.matches([b"take 9 of the red balls and 8 of the blue balls now"]))
 
 
 def test_slices_of_the_benchmark_give_the_same(spark, sf, monkeypatch):
