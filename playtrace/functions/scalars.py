@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How numbers, times and slugs are written.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 NUMBER_PREFIX = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)"
 PLAIN_NUMBER = r"^-?\d+(\.\d+)?$"
 EPOCH = r"^\s*\d+(\.\d+)?\s*$"
-SLUG = "^[a-z0-9][a-z0-9-]{0,39}$"
+SLUG = "^[a-z0-9][a-z0-9-]*$"  # of any length: a cut could make two logs one
 RESERVED_SLUGS = ("admin", "api")
+DATE_PATTERNS = ("yyyy/M/d", "M/d/yyyy", "d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy", "d-MMM-yyyy")
 
 # A distributed sum has no fixed order, so its last bits vary between runs. A value
 # this close to a half step counts as the half step and goes up.
@@ -57,20 +59,18 @@ def outcome_int(v) -> Column:
 
 
 def outcome_text(v) -> Column:
-    return F.nullif(F.substring(F.trim(col(v).cast("string")), 1, 60), F.lit(""))
+    return F.nullif(F.trim(col(v).cast("string")), F.lit(""))
 
 
 def epoch_ms(v) -> Column:
     """Epoch seconds or milliseconds, ISO and common date text -> epoch milliseconds."""
     s = F.trim(col(v).cast("string"))
     n = F.when(s.rlike(EPOCH), s.try_cast("double"))
+    plain = F.regexp_replace(F.regexp_replace(s, r"^[A-Za-z]+, +", ""), r" +(GMT|UTC)$", "")  # without weekday and zone
     iso = F.when(s.rlike(r"^\d{4}-\d{1,2}"), s.try_cast("timestamp"))
     parsed = F.coalesce(
         iso,
-        F.try_to_timestamp(s, F.lit("yyyy/M/d[ H:mm[:ss]]")),
-        F.try_to_timestamp(s, F.lit("M/d/yyyy[ H:mm[:ss]]")),
-        F.try_to_timestamp(s, F.lit("d MMM yyyy[ H:mm[:ss]]")),
-        F.try_to_timestamp(s, F.lit("MMM d, yyyy[ H:mm[:ss]]")),
+        *[F.try_to_timestamp(plain, F.lit(day + clock)) for day in DATE_PATTERNS for clock in ("[ H:mm[:ss]]", " h:mm[:ss] a")],
     )
     # the date range of the clock type: 8.64e15 ms either side of the epoch
     ms = F.when(n < 1e11, n * 1000).otherwise(n)
@@ -93,7 +93,7 @@ def iso_ms(ms) -> Column:
 def safe_name(v) -> Column:
     s = F.regexp_replace(F.trim(F.coalesce(col(v).cast("string"), F.lit(""))), r"[^A-Za-z0-9._-]+", "_")
     s = F.regexp_replace(s, r"^_+|_+$", "")
-    return F.substring(F.when(s == "", F.lit("anon")).otherwise(s), 1, 40)
+    return F.when(s == "", F.lit("anon")).otherwise(s)
 
 
 def is_slug(v) -> Column:
@@ -103,7 +103,7 @@ def is_slug(v) -> Column:
 def slug_from_filename(v) -> Column:
     s = F.regexp_replace(F.coalesce(F.nullif(col(v), F.lit("")), F.lit("import")), r"\.[^.]+$", "")
     s = F.regexp_replace(F.lower(s), r"[^a-z0-9]+", "-")
-    s = F.substring(F.regexp_replace(s, r"^-+|-+$", ""), 1, 40)
+    s = F.regexp_replace(s, r"^-+|-+$", "")
     return F.when(s == "", F.lit("imported")).otherwise(s)
 
 

@@ -1,14 +1,11 @@
-"""Clustering sessions by behaviour, and a network profile of every cluster."""
+"""Clustering sessions by behaviour, and a network profile of every cluster.
 
-from __future__ import annotations
+All sessions take part. Equal vectors are one profile with a weight, named by its smallest session, and all games and
+restarts go through the same rounds together. A profile is compared with the centres of its game only.
+"""
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +14,14 @@ from playtrace.operators import distance, network, ordered, sequences
 from playtrace.operators.sequences import SEP, SESSION
 from playtrace.session import durable
 
-# Restarts, iteration limits and lengths of the reported lists.
+# Limits of the rounds and of the reported lists.
 RESTARTS = 4
-RESTART_STEP = 7919
-KMEANS_ROUNDS = 40
-MEDOID_ROUNDS = 50
+ROUNDS = 20
 TOP_STATES = 4
 SAMPLE_ROWS = 24
 SAMPLE_STEPS = 60
-LINKAGES = ("average", "complete", "ward", "single")
 GROUP = ("game_id", "cluster")
+DIGITS = 9  # distances are compared to so many digits, as sums have no fixed order
 
 
 def clamp_k(k: int | None) -> int:
@@ -41,138 +36,118 @@ def readiness(steps: DataFrame, k: int = 3) -> DataFrame:
     return lengths.groupBy("game_id").agg(usable.alias("usable"), F.count("*").alias("total"), (usable >= need).alias("enough"))
 
 
-def kmeans(vectors: DataFrame, k: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Assignment and SSE, game by game, over all usable sessions.
+def profiles(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(game_id, session_id, profile), the profiles' vectors, and (game_id, profile, weight, n2: squared length)."""
+    whole = vectors.groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("v"))
+    # in two steps, so that a game's most common vector is never one task's work
+    first = whole.groupBy("game_id", "v").agg(F.min("session_id").alias("profile"), F.count("*").alias("weight"))
+    first = durable(first)
+    members = whole.join(first.select("game_id", "v", "profile"), ["game_id", "v"]).select(*SESSION, "profile")
+    cells = first.select("game_id", "profile", F.inline("v"))
+    size = F.aggregate("v", F.lit(0.0), lambda t, x: t + x["value"] * x["value"])
+    return members, cells, first.select("game_id", "profile", "weight", size.alias("n2"))
 
-    Equal vectors are fitted once with their count as weight. The best of four
-    restarts wins.
-    """
-    k = clamp_k(k)
-    points = durable(vectors.select("game_id", "v", array_to_vector("v").alias("features"), "session_id"))
-    assigned, costs = [], []
-    for (game,) in points.select("game_id").distinct().orderBy("game_id").toLocalIterator():
-        mine = points.where(F.col("game_id") == game)
-        distinct = mine.groupBy("v").agg(F.count("*").cast("double").alias("weight")).withColumn("features", array_to_vector("v"))
-        distinct = distinct.select("features", "weight").persist()
-        starts = [
-            KMeans(k=k, seed=seed + r * RESTART_STEP, maxIter=KMEANS_ROUNDS, weightCol="weight", predictionCol="cluster")
-            for r in range(RESTARTS)
-        ]
-        with ThreadPoolExecutor(RESTARTS) as pool:  # independent jobs of one cluster
-            fits = list(pool.map(lambda start, data=distinct: start.fit(data), starts))
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        assigned.append(best.transform(mine).select(*SESSION, "cluster"))
-        costs.append((game, float(best.summary.trainingCost)))
-        distinct.unpersist()
-    sse = vectors.sparkSession.createDataFrame(costs, "game_id string, sse double")
-    return reduce(DataFrame.unionByName, assigned), sse.withColumn("sse", round_half_up("sse", 3))
-
-
-def _nearest(matrix: DataFrame, medoids: DataFrame) -> DataFrame:
-    """The medoid closest to every session; ties go to the earlier cluster."""
-    chosen = medoids.select("game_id", "cluster", F.col("medoid").alias("b"))
-    near = matrix.join(chosen, ["game_id", "b"]).select("game_id", F.col("a").alias("session_id"), "cluster", "d")
-    own = medoids.select("game_id", F.col("medoid").alias("session_id"), "cluster", F.lit(0.0).alias("d"))
-    return near.unionByName(own).groupBy(*SESSION).agg(
-        F.min_by("cluster", F.struct("d", "cluster")).alias("cluster"), F.min("d").alias("d")
-    )
 
+def _seeds(facts: DataFrame, k: int, runs: int) -> DataFrame:
+    """k profiles for each restart, the first in the order of a hash."""
+    rows = facts.select("game_id", "profile", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    rows = rows.withColumn("_h", F.md5(F.concat_ws(":", "profile", F.col("run").cast("string"))))
+    return ordered.top_k(rows, ["game_id", "run"], ["_h", "profile"], k, "_r").select("game_id", "run", (F.col("_r") - 1).alias("cluster"), "profile")
 
-def k_medoids(matrix: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """Medoids and their sessions on a pairwise table, all games together.
 
-    Starts from seeds drawn with probability proportional to squared distance, then
-    alternates nearest medoid and cheapest member until no session moves.
-    """
+def _distances(cells: DataFrame, facts: DataFrame, centres: DataFrame) -> DataFrame:
+    """Squared distance of every profile to every centre of its game and restart."""
+    size = centres.groupBy("game_id", "run", "cluster").agg(F.sum(F.col("value") * F.col("value")).alias("c2"))
+    dots = cells.join(centres.withColumnRenamed("value", "cv"), ["game_id", "feature"])
+    dots = dots.groupBy("game_id", "profile", "run", "cluster").agg(F.sum(F.col("value") * F.col("cv")).alias("dot"))
+    every = facts.join(size, "game_id").join(dots, ["game_id", "profile", "run", "cluster"], "left")
+    d = F.greatest(F.lit(0.0), F.col("n2") - 2 * F.coalesce("dot", F.lit(0.0)) + F.col("c2"))
+    return every.select("game_id", "profile", "weight", "run", "cluster", F.round(d, DIGITS).alias("d"))
+
+
+def _nearest(distances: DataFrame) -> DataFrame:
+    best = distances.groupBy("game_id", "profile", "run").agg(F.max("weight").alias("weight"), F.min(F.struct("d", "cluster")).alias("m"))
+    return best.select("game_id", "profile", "run", "weight", "m.cluster", "m.d")
+
+
+def _means(cells: DataFrame, assigned: DataFrame) -> DataFrame:
+    """The weighted mean vector of each cluster."""
+    total = assigned.groupBy("game_id", "run", "cluster").agg(F.sum("weight").alias("total"))
+    sums = cells.join(assigned, ["game_id", "profile"]).groupBy("game_id", "run", "cluster", "feature").agg(F.sum(F.col("weight") * F.col("value")).alias("s"))
+    return sums.join(total, ["game_id", "run", "cluster"]).select("game_id", "run", "cluster", "feature", (F.col("s") / F.col("total")).alias("value"))
+
+
+def _moved(new: DataFrame, old: DataFrame) -> bool:
+    key = ["game_id", "profile", "run"]
+    return not new.join(old.select(*key, F.col("cluster").alias("old")), key).where("cluster <> old").isEmpty()
+
+
+def _best_run(assigned: DataFrame, cost: str) -> DataFrame:
+    """The restart of least total cost of every game."""
+    costs = assigned.groupBy("game_id", "run").agg(F.round(F.sum(F.col("weight") * F.col(cost)), 6).alias("c"))
+    return costs.groupBy("game_id").agg(F.min(F.struct("c", "run")).alias("m")).select("game_id", F.col("m.run").alias("run"))
+
+
+def kmeans(vectors: DataFrame, k: int = 3, restarts: int = RESTARTS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(game_id, session_id, cluster) for every session, and the squared error sse of every game; the best restart wins."""
     k = clamp_k(k)
-    matrix = durable(matrix)
-    everyone = durable(matrix.select("game_id", F.col("a").alias("session_id")).distinct())
-    chance = lambda i: (F.abs(F.xxhash64("session_id", F.lit(seed), F.lit(i)) % (1 << 52)) + 1) / F.lit(float(1 << 52))
-    medoids = everyone.groupBy("game_id").agg(F.min_by("session_id", F.struct(chance(0), "session_id")).alias("medoid"))
-    medoids = durable(medoids.withColumn("cluster", F.lit(0)))
-    for c in range(1, k):
-        # the smallest -ln(u)/w is a draw with weights w
-        near = _nearest(matrix, medoids).withColumn("w", F.col("d") * F.col("d"))
-        wait = F.when(F.col("w") > 0, -F.log(chance(c)) / F.col("w")).otherwise(F.lit(float("inf")))
-        taken = medoids.select("game_id", F.col("medoid").alias("session_id"))
-        nxt = near.join(taken, SESSION, "left_anti").groupBy("game_id").agg(F.min_by("session_id", F.struct(wait, "session_id")).alias("medoid"))
-        medoids = durable(medoids.unionByName(nxt.withColumn("cluster", F.lit(c))))
-    assigned = durable(_nearest(matrix, medoids).drop("d"))
-    for _ in range(MEDOID_ROUNDS):
-        a = assigned.select("game_id", F.col("session_id").alias("a"), "cluster")
-        b = assigned.select("game_id", F.col("session_id").alias("b"), "cluster")
-        cost = matrix.join(a, ["game_id", "a"]).join(b, ["game_id", "b", "cluster"]).groupBy("game_id", "cluster", "a").agg(F.sum("d").alias("cost"))
-        cheapest = cost.groupBy("game_id", "cluster").agg(F.min_by("a", F.struct("cost", "a")).alias("cand"))
-        # a cluster of one keeps its medoid
-        medoids = durable(
-            medoids.join(cheapest, ["game_id", "cluster"], "left").select("game_id", "cluster", F.coalesce("cand", "medoid").alias("medoid"))
-        )
-        new = durable(_nearest(matrix, medoids).drop("d"))
-        moved = new.join(assigned.withColumnRenamed("cluster", "old"), SESSION).where("cluster <> old")
-        assigned = new
-        if moved.isEmpty():
+    members, cells, facts = profiles(vectors)
+    cells = durable(cells)
+    seeds = _seeds(facts, k, restarts)
+    centres = durable(cells.join(seeds, ["game_id", "profile"]).select("game_id", "run", "cluster", "feature", "value"))
+    assigned = durable(_nearest(_distances(cells, facts, centres)))
+    for _ in range(rounds):
+        before = assigned
+        assigned = durable(_nearest(_distances(cells, facts, _means(cells, before))))
+        if not _moved(assigned, before):
             break
-    return assigned.join(medoids, ["game_id", "cluster"]).select(*SESSION, "cluster", "medoid")
-
-
-def _merge(gap: np.ndarray, k: int, linkage: str) -> np.ndarray:
-    """Labels after merging the closest pair of groups until ``k`` are left."""
-    n = len(gap)
-    gap = gap.copy()
-    np.fill_diagonal(gap, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    for _ in range(n - k):
-        i, j = sorted(divmod(int(gap.argmin()), n))
-        height, a, b = gap[i, j], gap[i], gap[j]
-        if linkage == "single":
-            new = np.minimum(a, b)
-        elif linkage == "complete":
-            new = np.maximum(a, b)
-        elif linkage == "average":
-            new = (size[i] * a + size[j] * b) / (size[i] + size[j])
-        else:
-            both = (size[i] + size) * a**2 + (size[j] + size) * b**2 - size * height**2
-            new = np.sqrt(np.maximum(0, both / (size[i] + size[j] + size)))
-        gap[i], gap[:, i] = new, new
-        gap[j], gap[:, j], gap[i, i] = np.inf, np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def hierarchical(matrix: DataFrame, k: int = 3, linkage: str = "average") -> DataFrame:
-    """Agglomerative clusters of every game's sample.
-
-    Merging is a chain of dependent steps, so a game is one task; its sample has at
-    most 600 sessions, whatever the size of the log.
+    assigned = assigned.join(_best_run(assigned, "d"), ["game_id", "run"])
+    sse = assigned.groupBy("game_id").agg(round_half_up(F.sum(F.col("weight") * F.col("d")), 3).alias("sse"))
+    return members.join(assigned.select("game_id", "profile", "cluster"), ["game_id", "profile"]).select(*SESSION, "cluster"), sse
+
+
+def k_medoids(vectors: DataFrame, measure: str = "jensenshannon", k: int = 3, rounds: int = ROUNDS) -> DataFrame:
+    """(game_id, session_id, cluster, medoid) for every session.
+
+    A profile joins its nearest medoid; the profile nearest to a cluster's mean becomes its medoid. The edit distance
+    has no mean, so it is offered only by distance.to_medoids.
     """
     k = clamp_k(k)
+    members, cells, facts = profiles(vectors)
+    cells = durable(cells)
+    medoids = durable(_seeds(facts, k, 1).drop("run"))
+    assigned = None
+    for _ in range(rounds):
+        centres = cells.join(medoids, ["game_id", "profile"]).select("game_id", "cluster", "feature", "value")
+        near = distance.to_centres(cells, centres, ["profile"], ["cluster"]).select("game_id", "profile", F.lit(0).alias("run"), "cluster", F.round(measure, DIGITS).alias("d"))
+        before, assigned = assigned, durable(_nearest(near.join(facts.select("game_id", "profile", "weight"), ["game_id", "profile"])))
+        if before is not None and not _moved(assigned, before):
+            break
+        own = assigned.select("game_id", "profile", "cluster")
+        middle = _distances(cells, facts, _means(cells, assigned)).join(own, ["game_id", "profile", "cluster"])
+        medoids = durable(middle.groupBy("game_id", "cluster").agg(F.min(F.struct("d", "profile")).alias("m")).select("game_id", "cluster", F.col("m.profile").alias("profile")))
+    named = assigned.select("game_id", "profile", "cluster").join(medoids.withColumnRenamed("profile", "medoid"), ["game_id", "cluster"])
+    return members.join(named, ["game_id", "profile"]).select(*SESSION, "cluster", "medoid")
 
-    def tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
-        i, j = np.searchsorted(names, pdf["a"]), np.searchsorted(names, pdf["b"])
-        gap = np.zeros((len(names), len(names)))
-        gap[i, j] = gap[j, i] = pdf["d"].to_numpy()
-        return pd.DataFrame({"game_id": key[0], "session_id": names, "cluster": _merge(gap, k, linkage)})
-
-    half = matrix.where("a < b").select("game_id", "a", "b", "d")
-    return half.groupBy("game_id").applyInPandas(tree, "game_id string, session_id string, cluster int")
-
-
-def silhouette(matrix: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Mean silhouette width per game; clusters of one are left out."""
-    a = assigned.select("game_id", F.col("session_id").alias("a"), F.col("cluster").alias("own"))
-    b = assigned.select("game_id", F.col("session_id").alias("b"), F.col("cluster").alias("other"))
-    mean = (
-        matrix.join(a, ["game_id", "a"]).join(b, ["game_id", "b"])
-        .groupBy("game_id", "a", "own", "other")
-        .agg(F.avg("d").alias("d"))
-        .groupBy("game_id", "a")
-        .agg(F.min(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("inside"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("outside"))
-        .where("inside IS NOT NULL AND outside IS NOT NULL")
-    )
-    width = F.try_divide(F.col("outside") - F.col("inside"), F.greatest("inside", "outside"))
-    return mean.groupBy("game_id").agg(round_half_up(F.avg(width), 3).alias("silhouette"))
+
+def silhouette(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Mean silhouette width per game, on squared distances, over all sessions; clusters of one are left out.
+
+    The mean squared distance to a cluster follows from its mean vector and its mean squared length, so no pairs are made.
+    """
+    lengths = vectors.groupBy(*SESSION).agg(F.sum(F.col("value") * F.col("value")).alias("x2"))
+    rows = lengths.join(assigned.select(*SESSION, F.col("cluster").alias("own")), SESSION)
+    groups = rows.groupBy("game_id", F.col("own").alias("cluster")).agg(F.count("*").alias("n"), F.avg("x2").alias("y2"))
+    member = assigned.select(*SESSION, "cluster")
+    means = vectors.join(member, SESSION).groupBy("game_id", "cluster", "feature").agg(F.sum("value").alias("s"))
+    means = means.join(groups.select("game_id", "cluster", "n"), ["game_id", "cluster"]).select("game_id", "cluster", "feature", (F.col("s") / F.col("n")).alias("mean"))
+    dots = vectors.join(means, ["game_id", "feature"]).groupBy(*SESSION, "cluster").agg(F.sum(F.col("value") * F.col("mean")).alias("dot"))
+    d = rows.join(groups, "game_id").join(dots, [*SESSION, "cluster"], "left")
+    d = d.withColumn("d", F.greatest(F.lit(0.0), F.col("x2") - 2 * F.coalesce("dot", F.lit(0.0)) + F.col("y2")))
+    own = F.col("own") == F.col("cluster")
+    inside = F.when(own & (F.col("n") > 1), F.col("d") * F.col("n") / (F.col("n") - 1))
+    width = d.groupBy(*SESSION).agg(F.max(inside).alias("i"), F.min(F.when(~own, F.col("d"))).alias("o")).where("i IS NOT NULL AND o IS NOT NULL")
+    return width.groupBy("game_id").agg(round_half_up(F.avg(F.coalesce(F.try_divide(F.col("o") - F.col("i"), F.greatest("i", "o")), F.lit(0.0))), 3).alias("silhouette"))
 
 
 def by_size(assigned: DataFrame) -> DataFrame:
@@ -231,12 +206,9 @@ def sample_sequences(steps: DataFrame, assigned: DataFrame) -> DataFrame:
     )
 
 
-def cluster(steps: DataFrame, algorithm: str = "kmeans", dissimilarity: str = "euclidean", k: int = 3, linkage: str = "average", seed: int = 42) -> DataFrame:
-    """Assignment by the chosen algorithm; games without enough sessions are left out."""
+def cluster(steps: DataFrame, algorithm: str = "kmeans", measure: str = "jensenshannon", k: int = 3) -> DataFrame:
+    """Assignment of every usable session by the chosen algorithm; games without enough sessions are left out."""
     ready = readiness(steps, k).where("enough").select("game_id")
-    steps = steps.join(ready, "game_id", "left_semi")
-    if algorithm == "kmeans":
-        usable = steps.join(distance.usable(steps).select(*SESSION), SESSION, "left_semi")
-        return kmeans(distance.dense(distance.vectors(usable)), k, seed)[0]
-    matrix = distance.matrix(steps, dissimilarity)
-    return k_medoids(matrix, k, seed).drop("medoid") if algorithm == "pam" else hierarchical(matrix, k, linkage)
+    steps = steps.join(ready, "game_id", "left_semi").join(distance.usable(steps).select(*SESSION), SESSION, "left_semi")
+    long = distance.vectors(steps)
+    return kmeans(long, k)[0] if algorithm == "kmeans" else k_medoids(long, measure, k).drop("medoid")

@@ -1,21 +1,19 @@
-"""Behaviour vectors of sessions and dissimilarities between sampled sessions."""
+"""Behaviour vectors of sessions, and dissimilarities of every session to a few centres.
+
+Pairs of all sessions are never made: each row is compared with the centres of its game, whose number is bounded by
+``clustering.clamp_k``. Vectors stay long (one row per feature that is there), so they are as large as the log,
+however many activities it has.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrace.operators import features, ordered, sequences
+from playtrace.operators import ordered, sequences
 from playtrace.operators.sequences import SEP, SESSION
 
-# The sample of the methods that compare every pair, its seed, and the
-# number of steps the edit distance is defined on.
-MATRIX_SESSIONS = 600
-SAMPLE_SEED = 20240816
-SEQUENCE_STEPS = 150
-
 DISSIMILARITIES = ("euclidean", "manhattan", "cosine", "jensenshannon", "sequence")
-SALTS = 16  # tasks that share the pairs of one game
 
 
 def usable(steps: DataFrame) -> DataFrame:
@@ -23,14 +21,6 @@ def usable(steps: DataFrame) -> DataFrame:
     return steps.groupBy(*SESSION).agg(F.count("*").alias("length")).where(F.col("length") >= 2)
 
 
-def sampled(steps: DataFrame, cap: int = MATRIX_SESSIONS, seed: int = SAMPLE_SEED) -> DataFrame:
-    """Steps of a seeded sample of usable sessions, for methods quadratic in their number."""
-    if cap > MATRIX_SESSIONS:
-        raise ValueError(f"pairwise methods take at most {MATRIX_SESSIONS} sessions per game")
-    chosen = features.sample_sessions(usable(steps).select(*SESSION), cap, seed)
-    return steps.join(chosen, SESSION, "left_semi")
-
-
 def vectors(steps: DataFrame) -> DataFrame:
     """Shares of the session's states and of its transitions, as rows."""
     ahead = sequences.with_next(steps, 1)
@@ -45,46 +35,36 @@ def vectors(steps: DataFrame) -> DataFrame:
     return counts.join(total, [*SESSION, "kind"]).select(*SESSION, "feature", (F.col("n") / F.col("total")).alias("value"))
 
 
-def dense(long: DataFrame) -> DataFrame:
-    """One array per session over the game's vocabulary of states and transitions."""
-    names = ordered.numbered(long.select("game_id", "feature").distinct(), ["game_id"], ["feature"], "ix")
-    size = names.groupBy("game_id").agg(F.max("ix").alias("dim"))
-    cells = long.join(names, ["game_id", "feature"])
-    per = cells.groupBy(*SESSION).agg(F.map_from_entries(F.collect_list(F.struct("ix", "value"))).alias("m"))
-    at = F.transform(F.sequence(F.lit(1).cast("long"), "dim"), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return per.join(size, "game_id").select(*SESSION, at.alias("v"))
-
-
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-
-
-def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(_total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
-
-
-def manhattan(a: Column, b: Column) -> Column:
-    return _total(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+def _entropy(p: Column, q: Column) -> Column:
+    m = (p + q) / 2
+    return 0.5 * p * F.log(p / m) + 0.5 * q * F.log(q / m)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    na, nb = (_total(F.transform(v, lambda x: x * x)) for v in (a, b))
-    dot = _total(F.zip_with(a, b, lambda x, y: x * y))
-    return F.when((na == 0) | (nb == 0), 1.0).otherwise(1 - dot / (F.sqrt(na) * F.sqrt(nb)))
+def to_centres(points: DataFrame, centres: DataFrame, point: list[str], centre: list[str]) -> DataFrame:
+    """The four vector dissimilarities of every point to every centre of its game.
 
-
-def jensenshannon(a: Column, b: Column) -> Column:
-    """Distance on sum-normalised vectors: the root of the divergence in bits."""
-    sa, sb = _total(a), _total(b)
-
-    def part(x: Column, y: Column) -> Column:
-        p, q = x / sa, y / sb
-        m = (p + q) / 2
-        left = F.when(p > 0, 0.5 * p * F.log(p / m)).otherwise(0.0)
-        return left + F.when(q > 0, 0.5 * q * F.log(q / m)).otherwise(0.0)
-
-    js = _total(F.zip_with(a, b, part))
-    return F.when((sa == 0) | (sb == 0), 1.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), js) / F.log(F.lit(2.0))))
+    points: game_id, the columns ``point``, feature, value; centres: game_id, the columns ``centre``, feature, value.
+    All four follow from sums over the features both have and from the totals of each.
+    """
+    totals = [F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("n2")]
+    x, c = points.groupBy("game_id", *point).agg(*totals), centres.groupBy("game_id", *centre).agg(*totals)
+    every = x.withColumnsRenamed({"s": "sx", "n2": "nx"}).join(c.withColumnsRenamed({"s": "sc", "n2": "nc"}), "game_id")
+    both = points.join(centres.withColumnRenamed("value", "cv"), ["game_id", "feature"])
+    both = both.join(every.select("game_id", *point, *centre, "sx", "sc"), ["game_id", *point, *centre])
+    p, q = F.col("value") / F.col("sx"), F.col("cv") / F.col("sc")
+    both = both.groupBy("game_id", *point, *centre).agg(
+        F.sum(F.col("value") * F.col("cv")).alias("dot"), F.sum(F.least("value", "cv")).alias("low"),
+        F.sum(_entropy(p, q)).alias("js"), F.sum(p).alias("ps"), F.sum(q).alias("qs"),
+    )
+    d = every.join(both, ["game_id", *point, *centre], "left").fillna(0.0, ["dot", "low", "js", "ps", "qs"])
+    spread = F.greatest(F.lit(0.0), F.col("js") + 0.5 * F.log(F.lit(2.0)) * (2 - F.col("ps") - F.col("qs")))
+    return d.select(
+        "game_id", *point, *centre,
+        F.sqrt(F.greatest(F.lit(0.0), F.col("nx") + F.col("nc") - 2 * F.col("dot"))).alias("euclidean"),
+        (F.col("sx") + F.col("sc") - 2 * F.col("low")).alias("manhattan"),
+        F.coalesce(1 - F.try_divide(F.col("dot"), F.sqrt("nx") * F.sqrt("nc")), F.lit(1.0)).alias("cosine"),
+        F.sqrt(spread / F.log(F.lit(2.0))).alias("jensenshannon"),
+    )
 
 
 def sequence(a: Column, b: Column) -> Column:
@@ -93,11 +73,11 @@ def sequence(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 0.0).otherwise(F.levenshtein(a, b) / longest)
 
 
-def step_strings(steps: DataFrame, max_steps: int = SEQUENCE_STEPS) -> DataFrame:
+def step_strings(steps: DataFrame) -> DataFrame:
     """Each session as text with one character per step; equal activities share a character."""
     names = ordered.numbered(steps.select("game_id", "type").distinct(), ["game_id"], ["type"], "ix")
     sign = F.decode(F.unhex(F.lpad(F.hex(F.col("ix") + 0x10000), 8, "0")), "UTF-32")
-    rows = steps.where(F.col("pos") < max_steps).join(names, ["game_id", "type"])
+    rows = steps.join(names, ["game_id", "type"])
     return (
         rows.groupBy(*SESSION)
         .agg(F.array_sort(F.collect_list(F.struct("pos", sign.alias("c")))).alias("s"))
@@ -105,39 +85,12 @@ def step_strings(steps: DataFrame, max_steps: int = SEQUENCE_STEPS) -> DataFrame
     )
 
 
-def prepared(steps: DataFrame) -> DataFrame:
-    """Vector and step string of every session of a sample."""
-    return dense(vectors(steps)).join(step_strings(steps), SESSION)
-
-
-def pairs(rows: DataFrame, measures: tuple[str, ...] = DISSIMILARITIES) -> DataFrame:
-    """Dissimilarities of every unordered pair of sampled sessions, ``a < b``.
-
-    The sample is at most 600 sessions per game, so a game has at most 179,700 pairs;
-    salting spreads them over several tasks.
-    """
-    salt = F.pmod(F.xxhash64("session_id"), F.lit(SALTS)).cast("int")
-    left = rows.select("game_id", salt.alias("_salt"), F.col("session_id").alias("a"), F.col("v").alias("va"), F.col("text").alias("ta"))
-    right = rows.select(
-        "game_id",
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
-        F.col("session_id").alias("b"),
-        F.col("v").alias("vb"),
-        F.col("text").alias("tb"),
-    )
-    by_name = {"euclidean": euclidean, "manhattan": manhattan, "cosine": cosine, "jensenshannon": jensenshannon}
-    va, vb = F.col("va"), F.col("vb")
-    columns = [
-        (sequence(F.col("ta"), F.col("tb")) if m == "sequence" else by_name[m](va, vb)).alias(m) for m in measures
-    ]
-    # Few bytes but much arithmetic per row: fix the number of tasks, or small inputs end up in one.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = (x.repartition(tasks, "game_id", "_salt") for x in (left, right))
-    return left.join(right.hint("shuffle_hash"), ["game_id", "_salt"]).where("a < b").select("game_id", "a", "b", *columns)
-
-
-def matrix(steps: DataFrame, measure: str, cap: int = MATRIX_SESSIONS, seed: int = SAMPLE_SEED) -> DataFrame:
-    """The pairwise table of one dissimilarity over a sample, both directions: ``a, b, d``."""
-    rows = prepared(ordered.durable(sampled(steps, cap, seed)))
-    half = ordered.durable(pairs(rows, (measure,)).withColumnRenamed(measure, "d"))
-    return half.unionByName(half.select("game_id", F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+def to_medoids(steps: DataFrame, medoids: DataFrame) -> DataFrame:
+    """All five dissimilarities of every session to its game's medoids (game_id, medoid: a session)."""
+    long = vectors(steps)
+    centres = long.join(medoids.select("game_id", F.col("medoid").alias("session_id")), SESSION).withColumnRenamed("session_id", "medoid")
+    near = to_centres(long, centres, ["session_id"], ["medoid"])
+    text = step_strings(steps)
+    other = text.select("game_id", F.col("session_id").alias("medoid"), F.col("text").alias("other"))
+    both = near.join(text, SESSION).join(other, ["game_id", "medoid"])
+    return both.withColumn("sequence", sequence(F.col("text"), F.col("other"))).drop("text", "other")

@@ -17,8 +17,6 @@ MAX_ATTEMPTS = 20
 MIN_SUPPORT = 3
 MAX_RETENTION_DAY = 60
 LORENZ_STEPS = 100
-MAX_SPINE_DAYS = 3660
-SCATTER_POINTS = 400
 
 
 def bucket_index(v: Column, edges: list) -> Column:
@@ -78,7 +76,7 @@ def suite_totals(events: DataFrame, runs: DataFrame, players: DataFrame) -> Data
 
 
 def tiles(events: DataFrame, runs: DataFrame) -> DataFrame:
-    """The headline numbers of each game."""
+    """The headline numbers of each game with events or runs."""
     ev = events.groupBy("game_id").agg(
         F.count("*").alias("events"),
         F.count_distinct("player_id").alias("players"),
@@ -91,7 +89,8 @@ def tiles(events: DataFrame, runs: DataFrame) -> DataFrame:
     minutes = session_stats(events).groupBy("game_id").agg(F.avg("minutes").alias("minutes"))
     per = lambda a, b, n: round_half_up(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), n)
     return (
-        ev.join(rn, "game_id", "left")
+        ev.join(rn, "game_id", "full_outer")
+        .fillna(0, ["events", "players", "sessions"])
         .join(back, "game_id", "left")
         .join(minutes, "game_id", "left")
         .select(
@@ -176,8 +175,7 @@ def daily_series(events: DataFrame, runs: DataFrame, scope: Scope | None = None,
     start = F.to_date(F.lit(scope.start[:10])) if scope and scope.start else F.min("day")
     end = F.to_date(F.lit(scope.end[:10])) if scope and scope.end else F.max("day")
     span = days.groupBy("game_id").agg(start.alias("d0"), end.alias("d1")).where("d0 <= d1")
-    last = F.least(F.col("d1"), F.date_add("d0", MAX_SPINE_DAYS - 1))
-    spine = span.select("game_id", F.explode(F.sequence(F.col("d0"), last)).alias("day"))
+    spine = span.select("game_id", F.explode(F.sequence("d0", "d1")).alias("day"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return spine.join(days, ["game_id", "day"], "left").select(
         "game_id",
@@ -237,10 +235,9 @@ def effort_trend(points: DataFrame) -> DataFrame:
     )
 
 
-def effort_scatter(points: DataFrame, k: int = SCATTER_POINTS) -> DataFrame:
-    return ordered.top_k(points, ["game_id"], ["created_at", "id"], k).select(
-        "game_id", "rank", round_half_up("minutes", 3).alias("minutes"), "events", round_half_up("score", 4).alias("score")
-    )
+def effort_scatter(points: DataFrame) -> DataFrame:
+    """Every point as reports show it."""
+    return points.select("game_id", "id", round_half_up("minutes", 3).alias("minutes"), "events", round_half_up("score", 4).alias("score"))
 
 
 def retention(events: DataFrame) -> DataFrame:
@@ -371,13 +368,8 @@ def leaderboard(runs: DataFrame, players: DataFrame, limit: int = 20, level: str
     """Best runs of each game; the earlier of two equal scores ranks first."""
     limit = max(1, min(100, limit))
     chosen = runs if level is None else runs.where(F.col("level") == level)
-    best = ordered.top_k(
-        chosen.select("game_id", "player_id", "id", "score", "stars", "level", "created_at"),
-        ["game_id"],
-        [F.desc("score"), F.asc("created_at"), F.asc("id")],
-        limit,
-    )
-    return _named(best, players).select(
+    known = _named(chosen.select("game_id", "player_id", "id", "score", "stars", "level", "created_at"), players)
+    return ordered.top_k(known, ["game_id"], [F.desc("score"), F.asc("created_at"), F.asc("id")], limit).select(
         "game_id", "rank", "username", "score", "stars", "level", clock("created_at").alias("created_at")
     )
 
@@ -386,7 +378,6 @@ def player_runs(runs: DataFrame, players: DataFrame, limit: int = 50, per_game:
     """Newest runs of each player, per game or over all games."""
     limit = max(1, min(200, limit))
     keys = ["player_id", "game_id"] if per_game else ["player_id"]
-    recent = ordered.top_k(runs, keys, [F.desc("created_at"), F.desc("id")], limit)
-    return _named(recent, players).select(
+    return ordered.top_k(_named(runs, players), keys, [F.desc("created_at"), F.desc("id")], limit).select(
         "username", "game_id", "rank", "level", "score", "stars", "session_id", "meta", clock("created_at").alias("created_at")
     )

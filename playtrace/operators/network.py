@@ -104,21 +104,26 @@ def closeness(nodes_df: DataFrame, dist: DataFrame, by: tuple[str, ...] = GAME)
     )
 
 
-def path_counts(edges_df: DataFrame, dist: DataFrame, by: tuple[str, ...] = GAME) -> DataFrame:
-    """Number of shortest paths for every reachable ordered pair, counted hop by hop."""
+def path_steps(edges_df: DataFrame, dist: DataFrame, by: tuple[str, ...] = GAME) -> DataFrame:
+    """The last steps (u, dst) of the shortest paths from each src; at most edges times sources rows."""
     key = [*by, "src", "dst"]
     length = 1 / F.when(F.col("weight") > 0, F.col("weight")).otherwise(1e-9)
     hop = edges_df.where("src <> dst").select(*by, F.col("src").alias("u"), F.col("dst"), length.alias("hop"))
     to_u = dist.select(*by, "src", F.col("dst").alias("u"), F.col("d").alias("du"))
     origin = hop.select(*by, F.col("u").alias("src"), "u", F.lit(0.0).alias("du")).distinct()
     # steps along shortest paths: d(src, u) + hop = d(src, dst)
-    dag = durable(
+    return durable(
         to_u.unionByName(origin)
         .join(hop, [*by, "u"])
         .join(dist, key)
         .where(F.abs(F.col("du") + F.col("hop") - F.col("d")) <= TIE)
         .select(*by, "src", "u", "dst")
     )
+
+
+def path_counts(dag: DataFrame, by: tuple[str, ...] = GAME) -> DataFrame:
+    """Number of shortest paths for every reachable ordered pair, counted hop by hop."""
+    key = [*by, "src", "dst"]
     wave = durable(dag.where("src = u").select(*key, F.lit(1.0).alias("paths")))
     waves = []
     while not wave.isEmpty():
@@ -132,18 +137,20 @@ def path_counts(edges_df: DataFrame, dist: DataFrame, by: tuple[str, ...] = GAME
 
 def betweenness(nodes_df: DataFrame, edges_df: DataFrame, dist: DataFrame, by: tuple[str, ...] = GAME) -> DataFrame:
     """Share of shortest paths through each state; directed, end points excluded."""
-    pairs = durable(dist.join(path_counts(edges_df, dist, by), [*by, "src", "dst"]))
-    left = pairs.select(*by, F.col("src").alias("s"), F.col("dst").alias("v"), F.col("d").alias("d1"), F.col("paths").alias("p1"))
-    right = pairs.select(*by, F.col("src").alias("v"), F.col("dst").alias("t"), F.col("d").alias("d2"), F.col("paths").alias("p2"))
-    whole = pairs.select(*by, F.col("src").alias("s"), F.col("dst").alias("t"), "d", "paths")
-    through = (
-        left.join(right, [*by, "v"])
-        .where("s <> t")
-        .join(whole, [*by, "s", "t"])
-        .where(F.abs(F.col("d1") + F.col("d2") - F.col("d")) <= 1e-9)
-        .groupBy(*by, F.col("v").alias("state"))
-        .agg(F.sum(F.col("p1") * F.col("p2") / F.col("paths")).alias("betweenness"))
-    )
+    key = [*by, "src", "dst"]
+    dag = path_steps(edges_df, dist, by)
+    counts = durable(path_counts(dag, by))
+    before = counts.select(*by, "src", F.col("dst").alias("u"), F.col("paths").alias("upto"))
+    # the share of the paths to dst that come through u, its predecessor on them
+    share = durable(dag.join(before, [*by, "src", "u"]).join(counts, key).select(*key, "u", (F.col("upto") / F.col("paths")).alias("share")))
+    wave, waves = counts.select(*key, F.lit(1.0).alias("x")), []
+    while True:  # every target hands its share back, hop by hop
+        wave = durable(wave.join(share, key).groupBy(*by, "src", F.col("u").alias("dst")).agg(F.sum(F.col("x") * F.col("share")).alias("x")))
+        if wave.isEmpty():
+            break
+        waves.append(wave)
+    every = reduce(DataFrame.unionByName, waves) if waves else wave
+    through = every.groupBy(*by, F.col("dst").alias("state")).agg(F.sum("x").alias("betweenness"))
     return nodes_df.select(*by, "state").join(through, [*by, "state"], "left").fillna(0.0, ["betweenness"])
 
 

@@ -8,11 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_USERS = 50
-
 
 def user_list(raw) -> list[str]:
-    """A comma list or repeated values -> trimmed names, unique without case, at most 50."""
+    """A comma list or repeated values -> trimmed names, unique without case."""
     if raw is None or raw == "":
         return []
     text = ",".join(raw) if isinstance(raw, (list, tuple)) else str(raw)
@@ -20,7 +18,7 @@ def user_list(raw) -> list[str]:
     for part in (p.strip() for p in text.split(",")):
         if part:
             names.setdefault(part.lower(), part)
-    return list(names.values())[:MAX_USERS]
+    return list(names.values())
 
 
 @dataclass(frozen=True)
@@ -39,7 +37,7 @@ class Scope:
 
 
 def selected_players(players: DataFrame, users) -> DataFrame:
-    """Ids of the named players; names are unique without case, so at most 50 rows."""
+    """Ids of the named players; names are unique without case."""
     wanted = [u.lower() for u in users]
     return players.where(F.lower("username").isin(wanted)).select(F.col("id").alias("player_id"))
 
@@ -57,5 +55,5 @@ def in_scope(df: DataFrame, scope: Scope | None, players: DataFrame | None = Non
         df = df.where(F.col("type") == scope.type)
     users = user_list(list(scope.users))
     if users:
-        df = df.join(F.broadcast(selected_players(players, users)), "player_id", "left_semi")
+        df = df.join(selected_players(players, users), "player_id", "left_semi")
     return df

@@ -62,7 +62,7 @@ def session_ends(steps_df: DataFrame) -> DataFrame:
 
 
 def paths(steps_df: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Ordered activity arrays; a session above ``segment`` steps continues on further rows."""
+    """Ordered activity arrays, one row per session and run of ``segment`` steps: a longer session goes on in the rows segment 1, 2, ..."""
     return (
         steps_df.groupBy(*SESSION, F.floor(F.col("pos") / segment).alias("segment"))
         .agg(F.array_sort(F.collect_list(F.struct("pos", "type"))).alias("_s"))
@@ -70,6 +70,13 @@ def paths(steps_df: DataFrame, segment: int = SEGMENT) -> DataFrame:
     )
 
 
+def clipped(steps_df: DataFrame, clip: int = 60) -> DataFrame:
+    """The first ``clip`` activities of each session, the very first one, and the session's full length."""
+    shown = F.array_sort(F.collect_list(F.when(F.col("pos") < clip, F.struct("pos", "type"))))  # nulls are left out
+    per = steps_df.groupBy(*SESSION).agg(shown.alias("_s"), F.min_by("type", "pos").alias("head"), F.count("*").alias("length"))
+    return per.select(*SESSION, F.array_join(F.transform("_s", lambda s: s["type"]), SEP).alias("clipped"), "head", "length")
+
+
 def page(steps_df: DataFrame, offset: int = 0, limit: int = 28, clip: int = 60) -> DataFrame:
     """One page of each game's sessions in session order; a page past the end is the last one."""
     limit = max(1, min(200, limit))

@@ -5,30 +5,88 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from playtrace.functions.scalars import round_half_up
-from playtrace.operators import clustering, distance, features, network, sequences
+from playtrace.operators import clustering, distance, features, network, ordered, sequences
 from playtrace.plans import tables as t
-from playtrace.plans.registry import query, r, with_
+from playtrace.plans.registry import CTES, query, r, with_
+from playtrace.plans.sequence_queries import NETWORK, centrality_sql
 
-SAMPLE = with_("ev", "paths", "tr") + """, sm AS (SELECT game_id, session_id, path FROM (SELECT *, row_number() OVER (PARTITION BY game_id
-      ORDER BY md5(session_id || ':20240816'), session_id) AS rk FROM paths WHERE length >= 2) WHERE rk <= 600),
-    vec AS (SELECT game_id, session_id, 's:' || type AS feature, count(*) / sum(count(*)) OVER (PARTITION BY game_id, session_id) AS value
-        FROM ev SEMI JOIN sm USING (game_id, session_id) GROUP BY game_id, session_id, type
+USABLE = with_("ev", "paths", "tr") + """, us AS (SELECT game_id, session_id, path FROM paths WHERE length >= 2),
+    vec AS MATERIALIZED (SELECT game_id, session_id, 's:' || type AS feature, count(*) / sum(count(*)) OVER (PARTITION BY game_id, session_id) AS value
+        FROM ev SEMI JOIN us USING (game_id, session_id) GROUP BY game_id, session_id, type
       UNION ALL SELECT game_id, session_id, 't:' || src || ' > ' || dst, count(*) / sum(count(*)) OVER (PARTITION BY game_id, session_id)
-        FROM tr SEMI JOIN sm USING (game_id, session_id) GROUP BY game_id, session_id, src, dst),
-    nrm AS (SELECT game_id, session_id, sum(value * value) AS n2 FROM vec GROUP BY ALL),
-    enc AS (SELECT game_id, session_id, replace(replace(replace(replace(replace(replace(path, ' > ', ''), 'click', 'c'), 'purchase', 'p'), 'error', 'e'), 'signup', 's'), 'view', 'v') AS txt FROM sm),
-    pr AS (SELECT a.game_id, a.session_id AS a, b.session_id AS b, a.n2 AS na, b.n2 AS nb FROM nrm a JOIN nrm b ON a.game_id = b.game_id AND a.session_id < b.session_id),
-    sh AS (SELECT x.game_id, x.session_id AS a, y.session_id AS b, sum(x.value * y.value) AS dot, sum(least(x.value, y.value)) AS low,
-        sum(x.value / 2) AS pa, sum(y.value / 2) AS pb,
-        sum(0.5 * x.value / 2 * ln(x.value / ((x.value + y.value) / 2)) + 0.5 * y.value / 2 * ln(y.value / ((x.value + y.value) / 2))) AS js
-      FROM vec x JOIN vec y ON x.game_id = y.game_id AND x.feature = y.feature AND x.session_id < y.session_id GROUP BY ALL),
-    dd AS (SELECT pr.game_id, pr.a, pr.b, sqrt(greatest(0, na + nb - 2 * coalesce(dot, 0))) AS euclidean, 4 - 2 * coalesce(low, 0) AS manhattan,
-        1 - coalesce(dot, 0) / (sqrt(na) * sqrt(nb)) AS cosine,
-        sqrt(greatest(0, coalesce(js, 0) + 0.5 * ln(2) * (2 - coalesce(pa, 0) - coalesce(pb, 0))) / ln(2)) AS jensenshannon,
-        levenshtein(x.txt, y.txt) / greatest(length(x.txt), length(y.txt)) AS sequence
-      FROM pr LEFT JOIN sh USING (game_id, a, b)
-      JOIN enc x ON x.game_id = pr.game_id AND x.session_id = pr.a JOIN enc y ON y.game_id = pr.game_id AND y.session_id = pr.b) """
-DIST = ", ".join(f"{r(m, 5)} AS {m}" for m in distance.DISSIMILARITIES)
+        FROM tr GROUP BY game_id, session_id, src, dst) """
+# Profiles: sessions with equal vectors, named by the smallest of them.
+PROFILES = """, vl AS MATERIALIZED (SELECT game_id, session_id, list({'f': feature, 'v': value} ORDER BY feature) AS v FROM vec GROUP BY ALL),
+    pf AS MATERIALIZED (SELECT game_id, v, min(session_id) AS profile, count(*) AS weight FROM vl GROUP BY game_id, v),
+    mem AS (SELECT game_id, session_id, profile FROM vl JOIN pf USING (game_id, v)),
+    cell AS MATERIALIZED (SELECT vec.game_id, profile, weight, feature, value FROM vec JOIN pf ON pf.game_id = vec.game_id AND pf.profile = vec.session_id),
+    fact AS MATERIALIZED (SELECT game_id, profile, weight, sum(value * value) AS n2 FROM cell GROUP BY ALL),
+    sx AS (SELECT game_id, profile, CAST(run AS INTEGER) AS run, row_number() OVER (PARTITION BY game_id, run ORDER BY md5(profile || ':' || run), profile) - 1 AS cluster
+      FROM fact, range(4) r(run) QUALIFY cluster < 3) """
+
+
+def _dist(name: str, centres: str) -> str:
+    """Squared distances of all profiles to the centres (game_id, run, cluster, feature, value)."""
+    return f""", {name} AS MATERIALIZED (SELECT f.game_id, f.profile, f.weight, z.run, z.cluster, round(greatest(0, n2 - 2 * coalesce(dot, 0) + c2), 9) AS d FROM fact f
+      JOIN (SELECT game_id, run, cluster, sum(value * value) AS c2 FROM {centres} GROUP BY ALL) z USING (game_id)
+      LEFT JOIN (SELECT a.game_id, a.profile, c.run, c.cluster, sum(a.value * c.value) AS dot FROM cell a JOIN {centres} c USING (game_id, feature) GROUP BY ALL) q
+        ON q.game_id = f.game_id AND q.profile = f.profile AND q.run = z.run AND q.cluster = z.cluster)"""
+
+
+def _best(name: str, distances: str) -> str:
+    return f", {name} AS MATERIALIZED (SELECT * FROM {distances} QUALIFY row_number() OVER (PARTITION BY game_id, profile, run ORDER BY d, cluster) = 1)"
+
+
+def _mean(name: str, assigned: str) -> str:
+    return f""", {name} AS MATERIALIZED (SELECT a.game_id, a.run, a.cluster, c.feature, sum(a.weight * c.value) / any_value(t.total) AS value FROM {assigned} a
+      JOIN cell c ON c.game_id = a.game_id AND c.profile = a.profile
+      JOIN (SELECT game_id, run, cluster, sum(weight) AS total FROM {assigned} GROUP BY ALL) t ON t.game_id = a.game_id AND t.run = a.run AND t.cluster = a.cluster GROUP BY ALL)"""
+
+
+def _kmeans_sql(rounds: int = clustering.ROUNDS) -> str:
+    out = USABLE + PROFILES + ", c0 AS MATERIALIZED (SELECT game_id, run, cluster, feature, value FROM cell JOIN sx USING (game_id, profile))" + _dist("d0", "c0") + _best("a0", "d0")
+    for i in range(1, rounds + 1):
+        out += _mean(f"c{i}", f"a{i - 1}") + _dist(f"d{i}", f"c{i}") + _best(f"a{i}", f"d{i}")
+    return out + f""", cost AS (SELECT game_id, run, round(sum(weight * d), 6) AS c FROM a{rounds} GROUP BY ALL),
+    won AS (SELECT game_id, run FROM cost QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY c, run) = 1),
+    fin AS MATERIALIZED (SELECT a.* FROM a{rounds} a JOIN won USING (game_id, run)),
+    asg AS MATERIALIZED (SELECT game_id, session_id, cluster AS first_type, length FROM mem JOIN fin USING (game_id, profile) JOIN paths USING (game_id, session_id)) """
+
+
+def _measures(name: str, points: str, point: str, centres: str, centre: str) -> str:
+    """The four vector dissimilarities of points to the centres of their game."""
+    return f""", {name} AS MATERIALIZED (SELECT x.game_id, x.{point}, c.{centre}, sqrt(greatest(0, x.n2 + c.n2 - 2 * coalesce(dot, 0))) AS euclidean, x.s + c.s - 2 * coalesce(low, 0) AS manhattan,
+        1 - coalesce(dot, 0) / (sqrt(x.n2) * sqrt(c.n2)) AS cosine, sqrt(greatest(0, coalesce(js, 0) + 0.5 * ln(2) * (2 - coalesce(ps, 0) - coalesce(qs, 0))) / ln(2)) AS jensenshannon
+      FROM (SELECT game_id, {point}, sum(value) AS s, sum(value * value) AS n2 FROM {points} GROUP BY ALL) x
+      JOIN (SELECT game_id, {centre}, sum(value) AS s, sum(value * value) AS n2 FROM {centres} GROUP BY ALL) c USING (game_id)
+      LEFT JOIN (SELECT a.game_id, a.{point}, b.{centre}, sum(a.value * b.value) AS dot, sum(least(a.value, b.value)) AS low, sum(a.value / 2) AS ps, sum(b.value / 2) AS qs,
+          sum(0.5 * a.value / 2 * ln(a.value / ((a.value + b.value) / 2)) + 0.5 * b.value / 2 * ln(b.value / ((a.value + b.value) / 2))) AS js
+        FROM {points} a JOIN {centres} b USING (game_id, feature) GROUP BY ALL) q
+        ON q.game_id = x.game_id AND q.{point} = x.{point} AND q.{centre} = c.{centre})"""
+
+
+def _medoids_sql(measure: str, rounds: int = clustering.ROUNDS) -> str:
+    out = USABLE + PROFILES + ", m0 AS MATERIALIZED (SELECT game_id, cluster, profile FROM sx WHERE run = 0)"
+    for i in range(rounds):
+        out += f", k{i} AS MATERIALIZED (SELECT game_id, cluster, feature, value FROM cell JOIN m{i} USING (game_id, profile))" + _measures(f"n{i}", "cell", "profile", f"k{i}", "cluster")
+        out += f", e{i} AS (SELECT n.game_id, n.profile, f.weight, 0 AS run, n.cluster, round({measure}, 9) AS d FROM n{i} n JOIN fact f ON f.game_id = n.game_id AND f.profile = n.profile)" + _best(f"a{i}", f"e{i}")
+        out += _mean(f"c{i}", f"a{i}") + _dist(f"d{i}", f"c{i}")
+        out += f""", m{i + 1} AS MATERIALIZED (SELECT a.game_id, a.cluster, a.profile FROM a{i} a JOIN d{i} d ON d.game_id = a.game_id AND d.profile = a.profile AND d.cluster = a.cluster
+          QUALIFY row_number() OVER (PARTITION BY a.game_id, a.cluster ORDER BY d.d, a.profile) = 1)"""
+    last = rounds - 1
+    return out + f""" SELECT a.game_id, a.cluster, m.profile AS medoid, CAST(sum(a.weight) AS BIGINT) AS size FROM a{last} a
+      JOIN m{rounds} m ON m.game_id = a.game_id AND m.cluster = a.cluster GROUP BY ALL"""
+
+
+# Mean squared distance of each session to the sessions of each cluster, from all pairs.
+SILHOUETTE = f""", nrm AS MATERIALIZED (SELECT game_id, session_id, sum(value * value) AS n2 FROM vec GROUP BY ALL),
+    prs AS (SELECT a.game_id, a.session_id AS a, b.session_id AS b, sum(a.value * b.value) AS dot FROM vec a JOIN vec b USING (game_id, feature) GROUP BY ALL),
+    mn AS (SELECT x.game_id, x.session_id AS a, gx.first_type AS own, gy.first_type AS other, avg(greatest(0, x.n2 + y.n2 - 2 * coalesce(dot, 0))) AS d FROM nrm x
+      JOIN nrm y ON y.game_id = x.game_id AND y.session_id <> x.session_id
+      LEFT JOIN prs ON prs.game_id = x.game_id AND prs.a = x.session_id AND prs.b = y.session_id
+      JOIN asg gx ON gx.game_id = x.game_id AND gx.session_id = x.session_id JOIN asg gy ON gy.game_id = y.game_id AND gy.session_id = y.session_id GROUP BY ALL),
+    ab AS (SELECT game_id, a, min(d) FILTER (WHERE own = other) AS i, min(d) FILTER (WHERE own <> other) AS o FROM mn GROUP BY ALL),
+    sil AS (SELECT game_id, {r('avg(CASE WHEN greatest(o, i) = 0 THEN 0 ELSE (o - i) / greatest(o, i) END)', 3)} AS silhouette FROM ab WHERE i IS NOT NULL AND o IS NOT NULL GROUP BY 1) """
 
 BY_FIRST = with_("ev", "paths") + """, asg AS (SELECT game_id, session_id, arg_min(type, seq) AS first_type, count(*) AS length FROM ev GROUP BY ALL HAVING count(*) >= 2)"""
 
@@ -54,30 +112,41 @@ def behaviour_vectors(spark, d):
     return distance.vectors(_usable(spark, d)).withColumn("value", round_half_up("value", 6))
 
 
-@query("sampled_sessions", SAMPLE + "SELECT game_id, session_id FROM sm")
+SAMPLED = 600
+
+
+@query("sampled_sessions", USABLE + "SELECT game_id, session_id FROM us QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY md5(session_id || ':20240816'), session_id) <= 600")
 def sampled_sessions(spark, d):
-    sessions = distance.usable(t.steps(spark, d)).select("game_id", "session_id")
-    return features.sample_sessions(sessions, distance.MATRIX_SESSIONS, distance.SAMPLE_SEED)
+    """The sampling operator itself; nothing else works on its result."""
+    return features.sample_sessions(distance.usable(t.steps(spark, d)).select("game_id", "session_id"), SAMPLED, 20240816)
+
+
+MEASURES = ", ".join(f"{r(m, 5)} AS {m}" for m in distance.DISSIMILARITIES)
 
 
-@query("session_distances", SAMPLE + f"SELECT game_id, a, b, {DIST} FROM dd")
-def session_distances(spark, d):
-    p = distance.pairs(distance.prepared(distance.sampled(t.steps(spark, d))))
-    return p.withColumns({m: round_half_up(m, 5) for m in distance.DISSIMILARITIES})
+@query(
+    "medoid_distances",
+    USABLE + """, md AS (SELECT game_id, session_id AS medoid FROM us QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY md5(session_id), session_id) <= 3),
+      mv AS MATERIALIZED (SELECT vec.game_id, medoid, feature, value FROM vec JOIN md ON md.game_id = vec.game_id AND md.medoid = vec.session_id),
+      enc AS (SELECT game_id, session_id, replace(replace(replace(replace(replace(replace(path, ' > ', ''), 'click', 'c'), 'purchase', 'p'), 'error', 'e'), 'signup', 's'), 'view', 'v') AS txt FROM us)"""
+    + _measures("dm", "vec", "session_id", "mv", "medoid")
+    + f""", dd AS (SELECT dm.*, levenshtein(x.txt, y.txt) / greatest(length(x.txt), length(y.txt)) AS sequence FROM dm
+      JOIN enc x ON x.game_id = dm.game_id AND x.session_id = dm.session_id JOIN enc y ON y.game_id = dm.game_id AND y.session_id = dm.medoid)
+      SELECT game_id, session_id, medoid, {MEASURES} FROM dd""",
+)
+def medoid_distances(spark, d):
+    usable = _usable(spark, d)
+    ids = usable.select("game_id", "session_id").distinct().withColumn("_h", F.md5("session_id"))
+    medoids = ordered.top_k(ids, ["game_id"], ["_h", "session_id"], 3).select("game_id", F.col("session_id").alias("medoid"))
+    return distance.to_medoids(usable, medoids).withColumns({m: round_half_up(m, 5) for m in distance.DISSIMILARITIES})
 
 
 @query(
     "silhouette_by_first_activity",
-    SAMPLE + f""", lab AS (SELECT game_id, session_id, str_split(path, ' > ')[1] AS c FROM sm),
-    both_ways AS (SELECT game_id, a, b, euclidean AS d FROM dd UNION ALL SELECT game_id, b, a, euclidean FROM dd),
-    mn AS (SELECT m.game_id, m.a, x.c AS own, y.c AS other, avg(d) AS d FROM both_ways m JOIN lab x ON x.game_id = m.game_id AND x.session_id = m.a
-      JOIN lab y ON y.game_id = m.game_id AND y.session_id = m.b GROUP BY ALL),
-    ab AS (SELECT game_id, a, min(d) FILTER (WHERE own = other) AS i, min(d) FILTER (WHERE own <> other) AS o FROM mn GROUP BY ALL)
-    SELECT game_id, {r('avg((o - i) / greatest(o, i))', 3)} AS silhouette FROM ab WHERE i IS NOT NULL AND o IS NOT NULL GROUP BY 1""",
+    USABLE + ", asg AS (SELECT game_id, session_id, str_split(path, ' > ')[1] AS first_type FROM us) " + SILHOUETTE + "SELECT * FROM sil",
 )
 def silhouette_by_first_activity(spark, d):
-    steps = t.steps(spark, d)
-    return clustering.silhouette(distance.matrix(steps, "euclidean"), _by_first(spark, d))
+    return clustering.silhouette(distance.vectors(_usable(spark, d)), _by_first(spark, d))
 
 
 @query("clustering_readiness", with_("ev", "paths") + "SELECT game_id, count(*) FILTER (WHERE length >= 2) AS usable, count(*) AS total, count(*) FILTER (WHERE length >= 2) >= 4 AS enough FROM paths GROUP BY 1")
@@ -85,48 +154,48 @@ def clustering_readiness(spark, d):
     return clustering.readiness(t.steps(spark, d))
 
 
-@query("kmeans_profile")
+PROFILE = f""", e AS (SELECT game_id, session_id, first_type AS c, type, lead(type) OVER (PARTITION BY game_id, session_id ORDER BY seq) AS nxt FROM ev JOIN asg USING (game_id, session_id)),
+    sz AS (SELECT game_id, first_type AS c, count(*) AS size, sum(length) AS events FROM asg GROUP BY ALL),
+    st AS (SELECT game_id, c, type, count(*) AS n, row_number() OVER (PARTITION BY game_id, c ORDER BY count(*) DESC, type) AS rk FROM e GROUP BY game_id, c, type)
+    SELECT game_id, CAST(row_number() OVER (PARTITION BY game_id ORDER BY size DESC, c) AS INTEGER) AS label, size, size / sum(size) OVER (PARTITION BY game_id) AS share,
+      states, transitions, distinct_transitions, self_loops, {r('events::DOUBLE / size', 1)} AS avg_len, top_states
+    FROM sz JOIN (SELECT game_id, c, count(DISTINCT type) AS states, count(nxt) AS transitions, count(DISTINCT CASE WHEN nxt IS NOT NULL THEN type || '>' || nxt END) AS distinct_transitions,
+        count(*) FILTER (WHERE type = nxt) AS self_loops FROM e GROUP BY ALL) USING (game_id, c)
+    JOIN (SELECT game_id, c, string_agg(type, ', ' ORDER BY rk) AS top_states FROM st WHERE rk <= 4 GROUP BY ALL) USING (game_id, c)"""
+
+
+@query("kmeans_profile", _kmeans_sql() + PROFILE)
 def kmeans_profile(spark, d):
     usable = _usable(spark, d)
     return clustering.profile(usable, clustering.cluster(usable, "kmeans"))
 
 
-@query("kmeans_sse")
+@query("kmeans_sse", _kmeans_sql() + f"SELECT game_id, {r('sum(weight * d)', 3)} AS sse FROM fin GROUP BY 1")
 def kmeans_sse(spark, d):
-    return clustering.kmeans(distance.dense(distance.vectors(_usable(spark, d))))[1]
+    return clustering.kmeans(distance.vectors(_usable(spark, d)))[1]
 
 
-@query("medoid_clusters")
-def medoid_clusters(spark, d):
-    matrix = distance.matrix(t.steps(spark, d), "jensenshannon")
-    assigned = clustering.k_medoids(matrix)
-    return assigned.groupBy("game_id", "cluster", "medoid").agg(F.count("*").alias("size"))
+@query("kmeans_silhouette", _kmeans_sql() + SILHOUETTE + "SELECT * FROM sil")
+def kmeans_silhouette(spark, d):
+    long = distance.vectors(_usable(spark, d))
+    return clustering.silhouette(long, clustering.kmeans(long)[0])
 
 
-def _tree(measure: str, linkage: str):
+def _medoid_query(name: str, measure: str) -> None:
     def run(spark, d):
-        matrix = distance.matrix(t.steps(spark, d), measure)
-        assigned = clustering.hierarchical(matrix, 3, linkage)
-        sil = clustering.silhouette(matrix, assigned)
-        return clustering.by_size(assigned).drop("cluster").join(sil, "game_id", "left")
+        assigned = clustering.k_medoids(distance.vectors(_usable(spark, d)), measure)
+        return assigned.groupBy("game_id", "cluster", "medoid").agg(F.count("*").alias("size"))
 
-    return run
+    query(name, _medoids_sql(measure))(run)
 
 
-for _measure, _linkage in (("sequence", "average"), ("manhattan", "complete"), ("euclidean", "ward"), ("cosine", "single")):
-    query(f"hierarchical_{_linkage}")(_tree(_measure, _linkage))
+for _name, _measure in (("medoid_clusters", "jensenshannon"), ("medoid_clusters_manhattan", "manhattan"), ("medoid_clusters_cosine", "cosine")):
+    _medoid_query(_name, _measure)
 
 
 @query(
     "cluster_profile_by_first_activity",
-    BY_FIRST + f""", e AS (SELECT game_id, session_id, first_type AS c, type, lead(type) OVER (PARTITION BY game_id, session_id ORDER BY seq) AS nxt FROM ev JOIN asg USING (game_id, session_id)),
-    sz AS (SELECT game_id, first_type AS c, count(*) AS size, sum(length) AS events FROM asg GROUP BY ALL),
-    st AS (SELECT game_id, c, type, count(*) AS n, row_number() OVER (PARTITION BY game_id, c ORDER BY count(*) DESC, type) AS rk FROM e GROUP BY game_id, c, type)
-    SELECT game_id, CAST(row_number() OVER (PARTITION BY game_id ORDER BY size DESC, c) AS INTEGER) AS label, size, size / sum(size) OVER (PARTITION BY game_id) AS share,
-      states, transitions, distinct_transitions, self_loops, {r('events::DOUBLE / size', 1)} AS avg_len, top_states
-    FROM sz JOIN (SELECT game_id, c, count(DISTINCT type) AS states, count(nxt) AS transitions, count(DISTINCT CASE WHEN nxt IS NOT NULL THEN type || '>' || nxt END) AS distinct_transitions,
-        count(*) FILTER (WHERE type = nxt) AS self_loops FROM e GROUP BY ALL) USING (game_id, c)
-    JOIN (SELECT game_id, c, string_agg(type, ', ' ORDER BY rk) AS top_states FROM st WHERE rk <= 4 GROUP BY ALL) USING (game_id, c)""",
+    BY_FIRST + PROFILE,
 )
 def cluster_profile_by_first_activity(spark, d):
     return clustering.profile(_usable(spark, d), _by_first(spark, d))
@@ -151,7 +220,22 @@ def cluster_sequences_by_first_activity(spark, d):
     return clustering.sample_sequences(_usable(spark, d), _by_first(spark, d))
 
 
-@query("cluster_centrality_by_first_activity")
+@query(
+    "cluster_nodes_by_first_activity",
+    BY_FIRST + """, st AS (SELECT game_id, first_type AS cluster, type AS state, count(*) AS frequency, count(*) FILTER (WHERE seq = 0) AS starts FROM ev JOIN asg USING (game_id, session_id) GROUP BY ALL)
+    SELECT *, starts / sum(starts) OVER (PARTITION BY game_id, cluster) AS initial FROM st""",
+)
+def cluster_nodes_by_first_activity(spark, d):
+    return clustering.networks(_usable(spark, d), _by_first(spark, d))[0]
+
+
+@query(
+    "cluster_centrality_by_first_activity",
+    "SELECT split_part(game_id, '/', 1) AS game_id, split_part(game_id, '/', 2) AS cluster, * EXCLUDE (game_id) FROM (WITH RECURSIVE "
+    + CTES["ev"].replace("ev AS", "ev0 AS", 1) + """, asg AS (SELECT session_id, arg_min(type, seq) AS first_type FROM ev0 GROUP BY ALL HAVING count(*) >= 2),
+    ev AS (SELECT * REPLACE (game_id || '/' || first_type AS game_id) FROM ev0 JOIN asg USING (session_id)),
+    """ + CTES["tr"] + NETWORK + centrality_sql("probability") + ")",
+)
 def cluster_centrality_by_first_activity(spark, d):
     nodes, edges = clustering.networks(_usable(spark, d), _by_first(spark, d))
     return network.centrality(nodes, edges, clustering.GROUP)

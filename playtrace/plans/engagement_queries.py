@@ -55,6 +55,17 @@ def users_from_list(spark, d):
     return ev.join(who, "player_id").groupBy("username").agg(F.count("*").alias("events"))
 
 
+NAMES = ", ".join(f"'player_{i}'" for i in range(60))
+
+
+@query("users_from_long_list", with_("ev", "pl") + f"SELECT username, count(*) AS events FROM ev JOIN pl ON pl.id = ev.player_id WHERE username IN ({NAMES}) GROUP BY ALL")
+def users_from_long_list(spark, d):
+    names = user_list(",".join(f" Player_{i}" for i in range(60)))
+    ev = in_scope(t.events(spark, d), Scope(users=tuple(names)), t.players(spark, d))
+    who = t.players(spark, d).select(F.col("id").alias("player_id"), "username")
+    return ev.join(who, "player_id").groupBy("username").agg(F.count("*").alias("events"))
+
+
 @query(
     "events_last_7_days",
     with_("ev") + "SELECT game_id, count(*) AS events FROM ev "
@@ -103,6 +114,18 @@ def summary_tiles(spark, d):
     return g.tiles(t.events(spark, d), t.runs(spark, d))
 
 
+@query(
+    "summary_tiles_one_sided",
+    with_("ev", "runs") + f"""SELECT game_id, coalesce(events, 0) AS events, coalesce(players, 0) AS players, coalesce(runs, 0) AS runs, {r('score')} AS avg_score
+    FROM (SELECT game_id, count(*) AS events, count(DISTINCT player_id) AS players FROM ev WHERE game_id <> 'g1' GROUP BY 1)
+    FULL JOIN (SELECT game_id, count(*) AS runs, avg(score) AS score FROM runs WHERE game_id <> 'g2' GROUP BY 1) USING (game_id)""",
+)
+def summary_tiles_one_sided(spark, d):
+    """One game has runs only, another events only."""
+    tiles = g.tiles(t.events(spark, d).where("game_id <> 'g1'"), t.runs(spark, d).where("game_id <> 'g2'"))
+    return tiles.select("game_id", "events", "players", "runs", "avg_score")
+
+
 @query(
     "summary_tiles_in_scope",
     with_("ev", "runs", "pl") + f"""SELECT game_id, count(*) AS events, count(DISTINCT player_id) AS players,
@@ -182,6 +205,22 @@ def daily_series(spark, d):
     return g.daily_series(t.events(spark, d), t.runs(spark, d))
 
 
+LATER = "created_at + to_days(CAST(player_id % 10 * 500 AS INTEGER))"
+
+
+@query(
+    "daily_series_over_years",
+    with_("ev") + f""", late AS (SELECT * REPLACE ({LATER} AS created_at) FROM ev)
+    SELECT s.game_id, strftime(s.day, '%Y-%m-%d') AS day, coalesce(events, 0) AS events
+    FROM (SELECT game_id, CAST(unnest(generate_series(min(CAST(created_at AS DATE))::TIMESTAMP, max(CAST(created_at AS DATE))::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM late GROUP BY 1) s
+    LEFT JOIN (SELECT game_id, CAST(created_at AS DATE) AS day, count(*) AS events FROM late GROUP BY ALL) e ON e.game_id = s.game_id AND e.day = s.day""",
+)
+def daily_series_over_years(spark, d):
+    """Players' events moved apart, so that the days span more than ten years."""
+    move = lambda df: df.withColumn("created_at", F.col("created_at") + F.make_dt_interval((F.col("player_id") % 10 * 500).cast("int")))
+    return g.daily_series(move(t.events(spark, d)), move(t.runs(spark, d))).select("game_id", "day", "events")
+
+
 @query(
     "daily_series_in_scope",
     with_("ev", "runs", "pl") + _daily(f"{SCOPE_SQL} AND {USERS_SQL}", "TIMESTAMP '2024-01-08'", "TIMESTAMP '2024-01-21'"),
@@ -237,8 +276,7 @@ def effort_trend(spark, d):
 
 @query(
     "effort_scatter",
-    EFFORT + f"""SELECT game_id, rank, {r('minutes', 3)} AS minutes, events, {r('score')} AS score FROM (
-      SELECT *, CAST(row_number() OVER (PARTITION BY game_id ORDER BY created_at, id) AS INTEGER) AS rank FROM pts) WHERE rank <= 400""",
+    EFFORT + f"""SELECT game_id, id, {r('minutes', 3)} AS minutes, events, {r('score')} AS score FROM pts""",
 )
 def effort_scatter(spark, d):
     return g.effort_scatter(g.effort(t.events(spark, d), t.runs(spark, d)))
@@ -331,6 +369,16 @@ def leaderboard_by_level(spark, d):
     return g.leaderboard(t.runs(spark, d), t.players(spark, d), level="click")
 
 
+@query(
+    "leaderboard_of_known_players",
+    with_("ev", "runs", "pl") + """SELECT * FROM (SELECT game_id, CAST(row_number() OVER (PARTITION BY game_id ORDER BY score DESC, created_at, id) AS INTEGER) AS rank, username, score
+      FROM runs b JOIN (SELECT id AS pid, username FROM pl WHERE id % 3 <> 0) ON pid = player_id) WHERE rank <= 5""",
+)
+def leaderboard_of_known_players(spark, d):
+    """Players whose row is gone take no place."""
+    return g.leaderboard(t.runs(spark, d), t.players(spark, d).where("id % 3 <> 0"), 5).select("game_id", "rank", "username", "score")
+
+
 def _recent(keys: str, k: int) -> str:
     return with_("ev", "runs", "pl") + f"""SELECT username, game_id, rank, level, score, stars, session_id, {clock('b.created_at')} AS created_at FROM (
       SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY created_at DESC, id DESC) AS INTEGER) AS rank FROM runs) b

@@ -86,6 +86,30 @@ def ingest_events(spark, d):
     return submissions.event_rows(batch.select("game_id", "player_id", body.alias("body"))).drop("payload")
 
 
+@query("ingest_large_submissions", with_("ev") + "SELECT CAST(id // 6000 AS BIGINT) AS batch, count(*) AS events, count(DISTINCT seq) AS seqs, CAST(sum(t_ms) AS BIGINT) AS clock FROM ev GROUP BY 1")
+def ingest_large_submissions(spark, d):
+    """6000 events in one submission."""
+    one = F.to_json(F.struct("seq", "type", F.col("t_ms").alias("t"), F.col("session_id").alias("sessionId")))
+    batch = t.log(spark, d).groupBy(F.floor(F.col("id") / 6000).alias("player_id")).agg(F.collect_list(one).alias("es"))
+    body = F.concat(F.lit('{"events":['), F.array_join("es", ","), F.lit("]}"))
+    stored = submissions.event_rows(batch.select(F.lit("g").alias("game_id"), "player_id", body.alias("body")))
+    return stored.groupBy(F.col("player_id").alias("batch")).agg(F.count("*").alias("events"), F.count_distinct("seq").alias("seqs"), F.sum("t_ms").alias("clock"))
+
+
+DATE_FORMATS = ("M/d/yyyy h:mm a", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "MMMM d, yyyy", "MMM d, yyyy h:mm a", "dd-MMM-yyyy", "yyyy/M/d HH:mm")
+UNITS = ("minute", "second", "day", "minute", "day", "minute")
+
+
+@query(
+    "date_texts",
+    with_("ev") + "SELECT id, CASE id % 6 " + " ".join(f"WHEN {i} THEN epoch_ms(date_trunc('{u}', created_at))" for i, u in enumerate(UNITS)) + " END AS ms FROM ev",
+)
+def date_texts(spark, d):
+    """Times as spreadsheets and mail write them, read back."""
+    text = F.element_at(F.array(*[F.date_format("created_at", f) for f in DATE_FORMATS]), (F.col("id") % 6 + 1).cast("int"))
+    return t.events(spark, d).select("id", s.epoch_ms(text).alias("ms"))
+
+
 @query(
     "ingest_runs",
     with_("ev", "runs") + """SELECT game_id, player_id, level, CASE WHEN id % 11 = 0 THEN 0 ELSE score END AS score,
@@ -314,11 +338,18 @@ def day_and_hour(spark, d):
 
 @query(
     "clipped_paths",
-    with_("ev", "paths") + "SELECT game_id, session_id, array_to_string(str_split(path, ' > ')[1:3], ' > ') AS clipped, str_split(path, ' > ')[1] AS head, length FROM paths",
+    with_("ev", "paths") + "SELECT game_id, session_id, array_to_string(str_split(path, ' > ')[1:60], ' > ') AS clipped, str_split(path, ' > ')[1] AS head, length FROM paths",
 )
 def clipped_paths(spark, d):
-    p = sequences.paths(t.steps(spark, d))
-    return p.select(
-        "game_id", "session_id", F.array_join(F.slice("path", 1, 3), sequences.SEP).alias("clipped"),
-        F.element_at("path", 1).alias("head"), F.size("path").cast("long").alias("length"),
-    )
+    return sequences.clipped(t.steps(spark, d))
+
+
+@query(
+    "clipped_user_paths",
+    """WITH u AS (SELECT user_id AS session_id, event_type AS type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)
+    SELECT 'all' AS game_id, CAST(session_id AS VARCHAR) AS session_id, string_agg(type, ' > ' ORDER BY pos) FILTER (WHERE pos <= 60) AS clipped, arg_min(type, pos) AS head, count(*) AS length FROM u GROUP BY ALL""",
+)
+def clipped_user_paths(spark, d):
+    """A player's whole log as one session, longer than the clip."""
+    whole = t.events(spark, d).withColumns({"game_id": F.lit("all"), "session_id": F.col("player_id").cast("string"), "seq": F.unix_micros(F.col("created_at").cast("timestamp"))})
+    return sequences.clipped(sequences.steps(whole))

@@ -12,10 +12,20 @@ from playtrace.plans.registry import query, r, with_
 SEQ = with_("ev", "paths")
 
 
-@query("session_sequences", SEQ + "SELECT game_id, session_id, path, length FROM paths")
+@query("session_sequences", SEQ + "SELECT game_id, session_id, 0::BIGINT AS segment, path, length FROM paths")
 def session_sequences(spark, d):
     p = sequences.paths(t.steps(spark, d))
-    return p.select("game_id", "session_id", F.array_join("path", sequences.SEP).alias("path"), F.size("path").cast("long").alias("length"))
+    return p.select("game_id", "session_id", "segment", F.array_join("path", sequences.SEP).alias("path"), F.size("path").cast("long").alias("length"))
+
+
+@query(
+    "session_sequences_in_segments",
+    with_("ev") + "SELECT game_id, session_id, seq // 2 AS segment, string_agg(type, ' > ' ORDER BY seq) AS path, count(*) AS length FROM ev GROUP BY ALL",
+)
+def session_sequences_in_segments(spark, d):
+    """Rows of at most two steps, so that most sessions go on in further rows."""
+    p = sequences.paths(t.steps(spark, d), segment=2)
+    return p.select("game_id", "session_id", "segment", F.array_join("path", sequences.SEP).alias("path"), F.size("path").cast("long").alias("length"))
 
 
 @query("chat_sequences", with_("chat") + "SELECT game_id, session_id, string_agg(type, ' > ' ORDER BY seq) AS path FROM chat GROUP BY ALL")
@@ -185,9 +195,10 @@ def process_stats(spark, d):
 
 # ---- transition networks ---------------------------------------------------------------
 
-NET = with_("ev", "tr") + """, ed AS (SELECT game_id, src, dst, count(*) AS "count",
+NETWORK = """, ed AS (SELECT game_id, src, dst, count(*) AS "count",
       count(*) / sum(count(*)) OVER (PARTITION BY game_id, src) AS probability FROM tr GROUP BY game_id, src, dst),
     nd AS (SELECT game_id, type AS state, count(*) AS frequency, count(*) FILTER (WHERE seq = 0) AS starts FROM ev GROUP BY ALL) """
+NET = with_("ev", "tr") + NETWORK
 
 
 @query("network_edges", NET + 'SELECT *, probability AS weight FROM ed')
@@ -241,7 +252,7 @@ def _walks(weight: str) -> str:
       SELECT w.game_id, w.s, e.dst, w.d + 1.0::DOUBLE / e.{weight}, list_append(w.seen, e.dst) FROM walk w
       JOIN ed e ON e.game_id = w.game_id AND e.src = w.v AND NOT list_contains(w.seen, e.dst)),
     best AS (SELECT game_id, s, v, min(d) AS d FROM walk GROUP BY ALL),
-    short AS (SELECT w.*, count(*) OVER (PARTITION BY w.game_id, w.s, w.v) AS sigma FROM walk w JOIN best b USING (game_id, s, v) WHERE w.d <= b.d + 1e-9),
+    short AS (SELECT w.*, count(*) OVER (PARTITION BY w.game_id, w.s, w.v) AS sigma FROM walk w JOIN best b USING (game_id, s, v) WHERE w.d <= b.d + 1e-12),
     via AS (SELECT game_id, unnest(seen[2:len(seen) - 1]) AS state, 1.0::DOUBLE / sigma AS x FROM short) """
 
 
@@ -264,8 +275,8 @@ PAGE_RANK = """, pr AS (
     WHERE p.k < 100 GROUP BY q.game_id, q.state)) """
 
 
-def _centrality(weight: str) -> str:
-    return NET + _walks(weight) + PAGE_RANK + f"""SELECT n.game_id, n.state, {r('coalesce(o, 0)')} AS out_strength, {r('coalesce(i, 0)')} AS in_strength,
+def centrality_sql(weight: str) -> str:
+    return _walks(weight) + PAGE_RANK + f"""SELECT n.game_id, n.state, {r('coalesce(o, 0)')} AS out_strength, {r('coalesce(i, 0)')} AS in_strength,
       {r('coalesce(b, 0)', 3)} AS betweenness, {r('coalesce(h, 0) / (count(*) OVER (PARTITION BY n.game_id) - 1)')} AS closeness, {r('pr.r')} AS page_rank FROM nd n
     LEFT JOIN (SELECT game_id, src AS state, sum({weight})::DOUBLE AS o FROM ed GROUP BY ALL) USING (game_id, state)
     LEFT JOIN (SELECT game_id, dst AS state, sum({weight})::DOUBLE AS i FROM ed GROUP BY ALL) USING (game_id, state)
@@ -274,12 +285,12 @@ def _centrality(weight: str) -> str:
     LEFT JOIN pr ON pr.game_id = n.game_id AND pr.state = n.state AND pr.k = 100"""
 
 
-@query("network_centrality", _centrality("probability"))
+@query("network_centrality", NET + centrality_sql("probability"))
 def network_centrality(spark, d):
     return network.centrality(*network.model(t.steps(spark, d)))
 
 
-@query("network_centrality_by_frequency", _centrality('"count"'))
+@query("network_centrality_by_frequency", NET + centrality_sql('"count"'))
 def network_centrality_by_frequency(spark, d):
     return network.centrality(*network.model(t.steps(spark, d), "frequency"))
 

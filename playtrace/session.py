@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _folders: set[str] = set()
+_part: list[str] = []  # the folder inside the run's folder that tables go to, the innermost last
 
 
 def run_dir(spark: SparkSession) -> str:
@@ -69,6 +71,21 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def tables_in(name: str):
+    """Tables that ``durable`` writes meanwhile go to a folder of their own."""
+    _part.append(name)
+    try:
+        yield
+    finally:
+        _part.pop()
+
+
+def drop_tables(spark: SparkSession, name: str) -> None:
+    """Delete the folder of tables_in(name). Nothing that reads them may be used afterwards."""
+    _drop(spark, f"{run_dir(spark)}/{name}")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -77,7 +94,7 @@ def durable(df: DataFrame) -> DataFrame:
     iterative job they would otherwise grow without end. The shuffle files of the write are freed at once.
     """
     spark = df.sparkSession
-    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+    path = "/".join([run_dir(spark), *_part, uuid.uuid4().hex])
     before = spark.conf.get(_FREE_SHUFFLES, "false")
     spark.conf.set(_FREE_SHUFFLES, "true")
     try:

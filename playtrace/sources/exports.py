@@ -10,6 +10,7 @@ from playtrace.functions.scalars import clock, iso_ms
 from playtrace.operators import ordered
 from playtrace.operators.scope import Scope, in_scope
 
+# The columns of an export, in order.
 EVENT_COLUMNS = ["id", "created_at", "iso", "username", "game_id", "session_id", "seq", "type", "t_ms", "payload"]
 RUN_COLUMNS = ["id", "created_at", "username", "game_id", "level", "score", "stars", "session_id", "meta"]
 
@@ -48,10 +49,12 @@ def feed(
     chosen = in_scope(events, scope, players)
     if since is not None:
         chosen = chosen.where(F.col("id") > max(0, since))
+    chosen = _named(_with_iso(chosen), players)
     total = chosen.groupBy("game_id").agg(F.count("*").alias("total"))
-    page = ordered.top_k(_with_iso(chosen), ["game_id"], [F.desc("id")], offset + limit).where(F.col("rank") > offset)
-    return _named(page, players).join(total, "game_id").select(
-        "game_id", "rank", "id", "username", "session_id", "seq", "type", "t_ms", "iso", clock("created_at").alias("created_at"), "payload", "total"
+    # exact numbers from the game's end on, however deep the page lies
+    page = ordered.numbered(chosen, ["game_id"], [F.desc("id")], "rank").where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+    return page.join(total, "game_id").select(
+        "game_id", F.col("rank").cast("int").alias("rank"), "id", "username", "session_id", "seq", "type", "t_ms", "iso", clock("created_at").alias("created_at"), "payload", "total"
     )
 
 

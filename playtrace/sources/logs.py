@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 ROW = "_row"  # position in the file, the last resort for ordering
 HEAD_BYTES = 1 << 16
+MAX_DOCUMENT = 1 << 30  # bytes of one JSON document, which one task must read; larger logs come as JSON lines
 
 # Roles in priority order and the header hints of each, strongest first.
 ROLES = ["session", "activity", "timestamp", "actor", "seq", "score", "stars", "level"]
@@ -70,6 +72,11 @@ def _head(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def log_format(spark: SparkSession, path: str) -> str:
     """JSON by file name or by its first character, otherwise CSV."""
     if path.lower().endswith(".json"):
@@ -82,11 +89,10 @@ def _placed(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns], place.alias(ROW))
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """A CSV log with a header row; every value is text and missing cells are empty.
 
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file;
-    switch it off for large files without them.
+    ``multiline`` allows line breaks inside quotes, at the price of one task per file.
     """
     reader = spark.read.options(
         header=True, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8",
@@ -101,9 +107,28 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
 
 
 def _first_seen(head: str, columns: list[str]) -> list[str]:
-    """Columns in the order their keys first appear in the text."""
-    at = {c: head.find(f'"{c}"') for c in columns}
-    return sorted(columns, key=lambda c: (at[c] < 0, at[c]))
+    """Columns in the order of their keys in the first objects of the text that can be read, others behind by name."""
+    decode, at, seen = json.JSONDecoder(object_pairs_hook=lambda pairs: pairs).raw_decode, 0, {}
+    while (at := head.find("{", at)) >= 0:
+        try:
+            pairs, at = decode(head, at)
+        except ValueError:  # a wrapper cut off, or the last object of the text
+            at += 1
+            continue
+        for key in (k for k, v in pairs for k in ([k] if k not in ("events", "rows") else [q for o in v for q, _ in o] if isinstance(v, list) and v and isinstance(v[0], list) else [k])):
+            seen.setdefault(key, len(seen))
+    return sorted(columns, key=lambda c: (c not in seen, seen.get(c, 0), c))
+
+
+def _is_line(head: str) -> bool:
+    """Whether the first line is a whole JSON object, or too long to tell."""
+    line, brk, _ = head.lstrip().partition("\n")
+    if not brk and len(head) >= HEAD_BYTES // 4:
+        return True
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -112,17 +137,15 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     Nested values stay JSON text; elements that are not objects are dropped.
     """
     head = _head(spark, path)
-    array = head.lstrip()[:1] == "["
-    whole = re.match(r'\s*\{\s*"(events|rows)"\s*:\s*\[', head)
-    reader = spark.read.options(multiLine=bool(array or whole), primitivesAsString=True, mode="PERMISSIVE")
-    df = reader.json(path)
+    document = not _is_line(head)
+    if document and _bytes(spark, path) > MAX_DOCUMENT:
+        raise ImportProblem("one JSON document of this size is read by a single task; send JSON lines instead")
+    df = spark.read.options(multiLine=document, primitivesAsString=True, mode="PERMISSIVE").json(path)
     columns = [c for c in df.columns if c != "_corrupt_record"]
-    if whole:
-        name = whole.group(1)
-        kind = df.schema[name].dataType
-        if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
-            raise ImportProblem("JSON must be an array of row objects")
-        columns = kind.elementType.names
+    lists = {f.name: f.dataType.elementType for f in df.schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)}
+    name = next((n for n in ("events", "rows") if n in lists), None)
+    if name:
+        columns = lists[name].names
         place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("object"))
         df = df.select(place.alias("_file"), F.posexplode(F.col(name)).alias("_i", "_o")).where(F.col("_o").isNotNull())
         df = df.select(*[F.col("_o")[c].alias(c) for c in columns], F.struct("_file", "_i").alias(ROW))
@@ -136,7 +159,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns(text).select(*[F.col(f"`{c}`") for c in _first_seen(head, columns)], ROW)
 
 
-def read_log(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_log(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     return read_json(spark, path) if log_format(spark, path) == "json" else read_csv(spark, path, multiline)
 
 

@@ -7,21 +7,20 @@ from pyspark.sql import functions as F
 
 from playtrace.functions.scalars import finite, js_round, number, number_or
 
-MAX_EVENTS = 5_000  # of one submission; only its last ones are stored
-
 EVENT = "seq string, type string, t string, iso string, sessionId string"
 
 
-def _last_events(bodies: DataFrame, cap: int) -> DataFrame:
-    """One row per stored event; ``raw`` keeps the event as it was sent."""
+def _events(bodies: DataFrame, last: int | None) -> DataFrame:
+    """One row per stored event, of a submission's ``last`` ones if that is given; ``raw`` keeps the event as it was sent."""
     events = F.coalesce(F.from_json(F.get_json_object("body", "$.events"), "array<string>"), F.array().cast("array<string>"))
-    start = F.greatest(F.lit(1), F.size("_e") - cap + 1)
-    return bodies.withColumn("_e", events).withColumn("raw", F.explode(F.slice("_e", start, cap))).drop("_e")
+    if last is not None:
+        events = F.slice(events, F.greatest(F.lit(1), F.size(events) - last + 1), last)
+    return bodies.withColumn("raw", F.explode(events))
 
 
-def event_rows(bodies: DataFrame, cap: int = MAX_EVENTS) -> DataFrame:
+def event_rows(bodies: DataFrame, last: int | None = None) -> DataFrame:
     """``game_id, player_id, body`` -> events; the batch's session wins over the event's own."""
-    ev = _last_events(bodies, cap).withColumn("e", F.from_json("raw", EVENT))
+    ev = _events(bodies, last).withColumn("e", F.from_json("raw", EVENT))
     batch = F.nullif(F.get_json_object("body", "$.session_id"), F.lit(""))
     return ev.select(
         "game_id",

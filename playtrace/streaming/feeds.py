@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +16,9 @@ from playtrace.functions.scalars import activity
 from playtrace.operators.sequences import SESSION
 from playtrace.session import shared_dir
 
-RESEND_KEY = ("game_id", "session_id", "seq")
+# What a client sends along with an event, so a resent one has the same.
+RESEND_KEY = ("game_id", "player_id", "session_id", "seq", "t_ms")
+IDLE_MS = 24 * 3_600_000  # a session silent for so long behind the watermark is over
 
 
 def open_stream(spark, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -25,8 +28,13 @@ def open_stream(spark, path: str, schema, files_per_trigger: int = 1) -> DataFra
 
 
 def deduplicated(stream: DataFrame, delay: str, key: tuple[str, ...] = RESEND_KEY) -> DataFrame:
-    """Clients resend what was not confirmed; keep the first copy seen within ``delay``."""
-    return stream.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(list(key))
+    """Clients resend what was not confirmed; keep the first copy seen within ``delay``.
+
+    An event without one of the key's parts cannot be told from another, so all of those are kept.
+    """
+    marked = stream.withWatermark("created_at", delay)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+    return marked.where(known).dropDuplicatesWithinWatermark(list(key)).unionByName(marked.where(~known))
 
 
 def since(stream: DataFrame, cursor: int) -> DataFrame:
@@ -34,18 +42,21 @@ def since(stream: DataFrame, cursor: int) -> DataFrame:
     return stream.where(F.col("id") > max(0, cursor))
 
 
-def _drain(writer, spark) -> None:
-    """Process everything that is there, then stop; progress is kept in the shared folder."""
+def _drain(writer, spark) -> int:
+    """Process everything that is there, then stop; progress is kept in the shared folder. Returns the rows dropped as too late."""
     query = writer.option("checkpointLocation", f"{shared_dir(spark)}/{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
-def append_to(stream: DataFrame, path: str) -> DataFrame:
-    """Append the stream to a parquet table exactly once and read that table."""
+def append_to(stream: DataFrame, path: str, late: list[int] | None = None) -> DataFrame:
+    """Append the stream to a parquet table exactly once and read that table; ``late`` receives the number of rows dropped as too late."""
     spark = stream.sparkSession
-    _drain(stream.writeStream.format("parquet").option("path", path).outputMode("append"), spark)
+    dropped = _drain(stream.writeStream.format("parquet").option("path", path).outputMode("append"), spark)
+    if late is not None:
+        late.append(dropped)
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -87,24 +98,34 @@ def _edge_changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     """Insert new events into the session's recent steps and emit which pairs came and went.
 
     Leading steps older than the watermark are final; of them only the last one is kept,
-    to connect to the next step. A step that should come before it is too late.
+    to connect to the next step. A session that stays silent for IDLE_MS is forgotten.
     """
+    if state.hasTimedOut:
+        state.remove()
+        return
     final = state.getCurrentWatermarkMs()
     old = list(zip(*state.get)) if state.exists else []
     new = [row for pdf in batches for row in zip(*(pdf[c].tolist() for c in ("seq", "id", "type", "at")))]
-    if old and old[0][3] < final:
+    late = 0
+    if old and old[0][3] < final:  # in time, but before a step that is settled
+        late = sum(s[:2] <= old[0][:2] for s in new)
         new = [s for s in new if s[:2] > old[0][:2]]
     merged = sorted(old + new)
     change = _pairs(merged)
     change.subtract(_pairs(old))
-    rows = [(*key, a, b, n) for (a, b), n in change.items() if n]
+    rows = [(*key, a, b, n, 0) for (a, b), n in change.items() if n] + [(*key, None, None, 0, late)] * bool(late)
     settled = next((i for i, s in enumerate(merged) if s[3] >= final), len(merged))
     state.update(tuple(list(c) for c in zip(*merged[max(0, settled - 1) :])))
-    yield pd.DataFrame(rows, columns=["game_id", "session_id", "src", "dst", "delta"])
+    state.setTimeoutTimestamp(max(final, max(s[3] for s in merged)) + IDLE_MS)
+    yield pd.DataFrame(rows, columns=["game_id", "session_id", "src", "dst", "delta", "late"])
 
 
 def transition_changes(stream: DataFrame, delay: str) -> DataFrame:
-    """Signed changes of directly-follows counts; their sum is the batch result, in any arrival order."""
+    """Signed changes of directly-follows counts; their sum is the batch result, in any arrival order.
+
+    Steps older than the watermark are left out and counted by ``append_to``; rows without src count steps that came in
+    time but belong before a settled one.
+    """
     first = F.lit(-(1 << 31)).cast("long")  # events without a sequence number come first
     known = stream.where(F.col("session_id").isNotNull()).select(
         *SESSION,
@@ -119,13 +140,19 @@ def transition_changes(stream: DataFrame, delay: str) -> DataFrame:
         .groupBy(*SESSION)
         .applyInPandasWithState(
             _edge_changes,
-            "game_id string, session_id string, src string, dst string, delta long",
+            "game_id string, session_id string, src string, dst string, delta long, late long",
             "seq array<long>, id array<long>, type array<string>, at array<long>",
             "append",
-            GroupStateTimeout.NoTimeout,
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
 
 
 def transition_counts(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("game_id", "src", "dst").agg(F.sum("delta").alias("count")).where(F.col("count") != 0)
+    known = changes.where("src IS NOT NULL")
+    return known.groupBy("game_id", "src", "dst").agg(F.sum("delta").alias("count")).where(F.col("count") != 0)
+
+
+def late_steps(changes: DataFrame) -> DataFrame:
+    """Steps of each game that came in time, but after their place was settled, and are in no count."""
+    return changes.groupBy("game_id").agg(F.sum("late").alias("late"))

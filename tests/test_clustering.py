@@ -1,5 +1,3 @@
-import itertools
-import math
 import random
 
 import pytest
@@ -20,12 +18,21 @@ def _same_partition(assigned, expect):
     return sorted(map(sorted, groups.values())) == sorted(map(sorted, expect))
 
 
-@pytest.mark.parametrize("algorithm,measure,linkage", [("kmeans", "euclidean", "average"), ("pam", "jensenshannon", "average"), ("hierarchical", "sequence", "ward")])
-def test_two_groups_are_found(two_groups, algorithm, measure, linkage):
-    got = clustering.cluster(two_groups, algorithm, measure, 2, linkage)
+@pytest.mark.parametrize("algorithm,measure", [("kmeans", ""), ("pam", "jensenshannon"), ("pam", "cosine"), ("pam", "euclidean"), ("pam", "manhattan")])
+def test_two_groups_are_found(two_groups, algorithm, measure):
+    got = clustering.cluster(two_groups, algorithm, measure, 2)
     assert _same_partition(got, [[f"s{i}" for i in range(10)], [f"t{i}" for i in range(10)]])
 
 
+def test_every_session_gets_a_cluster(make_steps):
+    rnd = random.Random(3)
+    sessions = {(g, f"s{i}"): "".join(rnd.choice("abcd") for _ in range(rnd.randint(2, 9))) for g in "gh" for i in range(70)}
+    steps = make_steps(sessions)
+    for algorithm in ("kmeans", "pam"):
+        got = [(r["game_id"], r["session_id"]) for r in clustering.cluster(steps, algorithm, "jensenshannon").collect()]
+        assert sorted(got) == sorted(sessions)
+
+
 def test_profile_of_clusters(two_groups):
     assigned = two_groups.select("game_id", "session_id").distinct().withColumn("cluster", F.substring("session_id", 1, 1))
     p = {r["top_states"]: r.asDict() for r in clustering.profile(two_groups, assigned).collect()}
@@ -33,64 +40,42 @@ def test_profile_of_clusters(two_groups):
     assert len(clustering.sample_sequences(two_groups, assigned).collect()) == 20
 
 
-def merge_by_definition(d, n, k, linkage):
-    """Merge the closest pair until k groups are left, updating distances after each merge."""
-    groups, gap = {i: [i] for i in range(n)}, {frozenset(p): d[p] for p in itertools.combinations(range(n), 2)}
-    while len(groups) > k:
-        pair = min((p for p in gap), key=lambda p: gap[p])
-        i, j = sorted(pair)
-        si, sj, dij = len(groups[i]), len(groups[j]), gap.pop(pair)
-        for x in set(groups) - {i, j}:
-            a, b, sx = gap.pop(frozenset((i, x))), gap.pop(frozenset((j, x))), len(groups[x])
-            gap[frozenset((i, x))] = {
-                "single": min(a, b),
-                "complete": max(a, b),
-                "average": (si * a + sj * b) / (si + sj),
-                "ward": math.sqrt(max(0, ((si + sx) * a * a + (sj + sx) * b * b - sx * dij * dij) / (si + sj + sx))),
-            }[linkage]
-        groups[i] += groups.pop(j)
-    return list(groups.values())
-
-
-@pytest.mark.parametrize("linkage", clustering.LINKAGES)
-def test_linkages_equal_stepwise_merging(spark, linkage):
-    rnd = random.Random(5)
-    n = 24
-    pts = [(rnd.random(), rnd.random(), rnd.random()) for _ in range(n)]
-    d = {(i, j): math.dist(pts[i], pts[j]) for i, j in itertools.combinations(range(n), 2)}
-    both = [("g", f"s{i:02d}", f"s{j:02d}", v) for (i, j), v in d.items()] + [("g", f"s{j:02d}", f"s{i:02d}", v) for (i, j), v in d.items()]
-    matrix = spark.createDataFrame(both, "game_id string, a string, b string, d double")
-    got = clustering.hierarchical(matrix, 4, linkage)
-    assert _same_partition(got, [[f"s{i:02d}" for i in grp] for grp in merge_by_definition(d, n, 4, linkage)])
-
-
-def test_distances_are_symmetric_and_bounded(make_steps):
-    sessions = {("g", "a"): "aab", ("g", "b"): "aab", ("g", "c"): "cdcd", ("g", "d"): "abcd"}
-    rows = {(r["a"], r["b"]): r.asDict() for r in distance.pairs(distance.prepared(make_steps(sessions))).collect()}
-    assert len(rows) == 6
-    assert all(abs(rows["a", "b"][m]) < 1e-7 for m in distance.DISSIMILARITIES)
-    far = rows["a", "c"]
+def test_distances_to_medoids(make_steps, spark):
+    steps = make_steps({("g", "a"): "aab", ("g", "b"): "aab", ("g", "c"): "cdcd", ("g", "d"): "abcd"})
+    medoids = spark.createDataFrame([("g", "a")], "game_id string, medoid string")
+    rows = {r["session_id"]: r.asDict() for r in distance.to_medoids(steps, medoids).collect()}
+    assert len(rows) == 4
+    assert all(abs(rows["b"][m]) < 1e-7 for m in distance.DISSIMILARITIES)
+    far = rows["c"]
     assert abs(far["cosine"] - 1) < 1e-12 and abs(far["jensenshannon"] - 1) < 1e-12 and far["manhattan"] == 4 and far["sequence"] == 1
-    assert rows["a", "d"]["sequence"] == 0.75  # aab -> abcd: three edits of four
+    assert rows["d"]["sequence"] == 0.75  # aab -> abcd: three edits of four
 
 
-def test_edit_distance_compares_the_first_steps(make_steps):
+def test_edit_distance_compares_all_steps(make_steps, spark):
     steps = make_steps({("g", "a"): "ab" * 75 + "a" * 60, ("g", "b"): "ab" * 75 + "b" * 60})
-    texts = {r["session_id"]: r["text"] for r in distance.step_strings(steps).collect()}
-    assert texts["a"] == texts["b"] and len(texts["a"]) == 150
+    medoids = spark.createDataFrame([("g", "a")], "game_id string, medoid string")
+    rows = {r["session_id"]: r["sequence"] for r in distance.to_medoids(steps, medoids).collect()}
+    assert rows["a"] == 0 and rows["b"] > 0.2
 
 
 def test_guards(make_steps, spark):
     steps = make_steps({("g", "1"): "ab", ("g", "2"): "ab", ("g", "3"): "ab", ("g", "4"): "a"})
     assert clustering.readiness(steps).first()["enough"] is False
     assert clustering.clamp_k(None) == 3 and clustering.clamp_k(1) == 2 and clustering.clamp_k(99) == 8
-    with pytest.raises(ValueError):
-        distance.sampled(steps, 601)
 
 
-def test_silhouette_skips_singletons(spark):
-    d = {("a", "b"): 1.0, ("a", "c"): 4.0, ("b", "c"): 5.0}
-    rows = [("g", *k, v) for k, v in d.items()] + [("g", k[1], k[0], v) for k, v in d.items()]
-    m = spark.createDataFrame(rows, "game_id string, a string, b string, d double")
-    lab = spark.createDataFrame([("g", "a", 0), ("g", "b", 0), ("g", "c", 1)], "game_id string, session_id string, cluster int")
-    assert clustering.silhouette(m, lab).first()["silhouette"] == round((3 / 4 + 4 / 5) / 2, 3)
+def test_silhouette_equals_its_definition(spark):
+    rnd = random.Random(4)
+    points = {f"s{i}": {f: rnd.random() for f in "xyz"} for i in range(12)}
+    label = {s: 0 if i < 6 else 1 if i < 11 else 2 for i, s in enumerate(points)}  # the last is alone
+    long = spark.createDataFrame([("g", s, f, v) for s, p in points.items() for f, v in p.items()], "game_id string, session_id string, feature string, value double")
+    lab = spark.createDataFrame([("g", s, c) for s, c in label.items()], "game_id string, session_id string, cluster int")
+    d2 = lambda a, b: sum((points[a][f] - points[b][f]) ** 2 for f in "xyz")
+    widths = []
+    for s in points:
+        mean = {c: [d2(s, o) for o in points if o != s and label[o] == c] for c in range(3)}
+        if mean[label[s]]:
+            i = sum(mean[label[s]]) / len(mean[label[s]])
+            o = min(sum(m) / len(m) for c, m in mean.items() if c != label[s])
+            widths.append((o - i) / max(i, o))
+    assert abs(clustering.silhouette(long, lab).first()["silhouette"] - sum(widths) / len(widths)) < 6e-4

@@ -23,15 +23,15 @@ def _rows(df):
 
 def test_csv_quotes_breaks_and_short_rows(spark, tmp_path):
     path = _write(tmp_path, "log.csv", '﻿case,act , note\r\n1,"a,b","say ""hi"""\r\n\r\n2,"two\nlines"\r\n3,c, x ,extra\r\n')
-    df = logs.read_log(spark, path)
+    df = logs.read_log(spark, path, multiline=True)
     assert logs.headers(df) == ["case", "act", "note"]
     assert _rows(df) == [("1", "a,b", 'say "hi"'), ("2", "two\nlines", ""), ("3", "c", " x ")]
 
 
-@pytest.mark.parametrize("shape", ["array", "events", "rows", "lines"])
+@pytest.mark.parametrize("shape", ["array", "events", "rows", "lines", "wrapped", "spread"])
 def test_json_shapes(spark, tmp_path, shape):
     objects = [{"session_id": "s", "type": "a", "n": 1, "more": {"k": [1]}}, {"session_id": "s", "type": "b", "seq": 2}]
-    text = {"array": json.dumps(objects), "lines": "\n".join(map(json.dumps, objects))}.get(shape) or json.dumps({shape: objects})
+    text = {"array": json.dumps(objects), "lines": "\n".join(map(json.dumps, objects)), "wrapped": json.dumps({"exported": "2024 \"n\"", "events": objects}), "spread": json.dumps({"exported": "2024", "rows": objects}, indent=1)}.get(shape) or json.dumps({shape: objects})
     df = logs.read_log(spark, _write(tmp_path, "log.json", text))
     assert logs.headers(df) == ["session_id", "type", "n", "more", "seq"]
     assert _rows(df) == [("s", "a", "1", '{"k":["1"]}', None), ("s", "b", None, None, "2")]
@@ -140,7 +140,7 @@ def test_submissions(spark):
     events = [{"seq": i, "type": "t", "t": i + 0.5, "iso": "z", "sessionId": "own"} for i in range(4)]
     body = json.dumps({"events": events})
     df = spark.createDataFrame([("g", 1, body), ("g", 2, json.dumps({"session_id": "batch", "events": events})), ("g", 3, "{}")], "game_id string, player_id long, body string")
-    rows = submissions.event_rows(df, cap=3).orderBy("player_id", "seq").collect()
+    rows = submissions.event_rows(df, last=3).orderBy("player_id", "seq").collect()
     assert [(r["player_id"], r["session_id"], r["seq"], r["t_ms"]) for r in rows] == [(p, s, i, i + 1) for p, s in ((1, "own"), (2, "batch")) for i in (1, 2, 3)]
     assert json.loads(rows[0]["payload"]) == events[1]
     run = submissions.run_rows(spark.createDataFrame([("g", 1, '{"level":3,"score":"no","stars":2.5,"meta":{"a":1}}')], "game_id string, player_id long, body string")).first()

@@ -45,6 +45,25 @@ def test_resent_events_are_stored_once(spark, tmp_path):
     assert sorted(r["id"] for r in stored.collect()) == list(range(20))
 
 
+def test_events_without_key_parts_are_all_stored(spark, tmp_path):
+    rows = [(*_event(i, "x", "a")[:4], None, "a", 0, DAY) for i in range(5)]
+    two = [(9, 1, "g", "s", 1, "a", 7, DAY), (10, 2, "g", "s", 1, "a", 7, DAY), (9, 1, "g", "s", 1, "a", 7, DAY)]  # two players in one session id
+    stream = _files(spark, str(tmp_path / "in"), [rows, two])
+    stored = feeds.append_to(feeds.deduplicated(stream, "1 hour"), str(tmp_path / "out"))
+    assert sorted(r["id"] for r in stored.collect()) == [0, 1, 2, 3, 4, 9, 10]
+
+
+def test_late_steps_are_counted(spark, tmp_path):
+    rows = [_event(i, "x", "ab"[i % 2]) for i in range(0, 40)]
+    late = [rows[3], rows[5]]
+    rest = [r for r in rows if r not in late]
+    stream = _files(spark, str(tmp_path / "in"), [rest[:18], rest[18:30], rest[30:34], late + rest[34:]])
+    dropped = []
+    changes = feeds.append_to(feeds.transition_changes(stream, "2 seconds"), str(tmp_path / "out"), dropped)
+    assert dropped == [2]
+    assert sum(r["count"] for r in feeds.transition_counts(changes).collect()) == len(rest) - 1
+
+
 def test_last_seen_and_totals(spark, tmp_path):
     rows = [_event(i, "x", "a") for i in range(30)]
     stream = _files(spark, str(tmp_path / "in"), [rows[:10], rows[20:], rows[10:20]])
