@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from playtrace.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -58,10 +61,21 @@ def clock(expr: str) -> str:
     return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"
 
 
+def shipped(fn):
+    """fn, with this package on the workers."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def query(name: str, sql: str | None = None):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         assert name not in QUERIES, name
-        QUERIES[name] = fn
+        QUERIES[name] = shipped(fn)
         if sql is not None:
             ORACLES[name] = sql
         return fn

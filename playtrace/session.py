@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _folders: set[str] = set()
+_shipped: set[str] = set()
 _part: list[str] = []  # the folder inside the run's folder that tables go to, the innermost last
 
 
@@ -71,6 +74,28 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that tasks can import it wherever the driver runs."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root, data = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    place = f"{run_dir(spark)}/playtrace.zip"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data.getvalue()))
+    finally:
+        out.close()
+    spark.sparkContext.addPyFile(place)
+    _shipped.add(app)
+
+
 @contextmanager
 def tables_in(name: str):
     """Tables that ``durable`` writes meanwhile go to a folder of their own."""
