@@ -11,29 +11,58 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from playtrace.llm import decontamination, jaccard, mixing, quality, sharding
 from playtrace.llm.common import table
-from playtrace.session import durable
+from playtrace.session import drop_tables, durable, ship, tables_in
+
+
+_tables: dict[int, str] = {}  # by the number of a stage, the folder of its intermediate tables
+
+
+def stage(number: int):
+    """A stage, which begins by dropping the intermediate tables of the one before: its result has been written by then."""
+
+    def wrap(fn):
+        @functools.wraps(fn)
+        def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            ship(spark)
+            if number - 1 in _tables:
+                drop_tables(spark, _tables.pop(number - 1))
+            _tables[number] = f"stage-{number}-{uuid.uuid4().hex}"
+            with tables_in(_tables[number]):
+                return fn(spark, docs, sf_dir)
+
+        return call
+
+    return wrap
 
 
+@stage(1)
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
+@stage(2)
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.one_of_each(docs)
 
 
+@stage(3)
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage(4)
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@stage(5)
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(docs)
 
@@ -46,8 +75,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, apply) in enumerate(STAGES):
+        docs = apply(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = durable(docs)
     return docs

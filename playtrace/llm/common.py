@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from playtrace.plans.registry import shipped
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,7 +20,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def add(fn):
         assert name not in QUERIES, name
-        QUERIES[name] = fn
+        QUERIES[name] = shipped(fn)
         if sql is not None:
             ORACLES[name] = sql
         return fn
