@@ -5,15 +5,17 @@ sets become one node first. Shingles are ordered rarest first: by a table of 2**
 (The table makes common shingles come late. Any order gives the same links; a better one gives fewer candidates.) A
 linked pair shares a shingle among the first n - ceil(least * n / 100) + 1 of each, the prefixes, on which nodes are joined.
 
-A bucket of a shingle can hold very many near copies, so pairs come in two steps, and no bucket is expanded into all its pairs:
+A bucket of a shingle can hold very many near copies, so pairs come in steps, and no bucket is expanded into all its pairs:
 
-1. Every node is compared with the node of smallest number in its buckets which it meets in most of them; the links make first components.
-2. Pairs that meet in a bucket but are not yet in one component are listed with their number of common prefix shingles. Those
-   that can still link by size (length filter), by the places of the last common shingle (positional filter) and by
-   what remains behind the prefixes are compared.
+1. The head of a bucket is the node in which its shingle comes earliest: the one with the fewest rarer shingles, so the likeliest
+   to resemble all others. Every node is compared with the head it meets in most buckets; the links make first components: one comparison for a node, and large
+   groups are left in few components.
+2. Pairs that are not yet in one component, and that meet in a prefix of the longer and the first n - ceil(2 * least * n / (100 + least)) + 1
+   shingles of the shorter set, are listed, if they can link by size (length filter), by the places of the common
+   shingle (positional filter) and by the common shingles of the whole prefixes. All of them are compared.
 
-Each pair is compared once: a suffix filter bounds the intersection by parts of the sorted sets, then it is counted. Pairs
-within a component of step 1 need no comparison, as they cannot change the groups.
+A comparison bounds the intersection by parts of the sorted sets (suffix filter), then counts it, once for each pair. Pairs
+within a component need none, as they cannot change the groups.
 
 Nulls: a null or empty text has no shingles, links with nothing and is its own group. A null id counts as no id when the
 smallest of a group is taken. Rows with equal ids are rows of their own, linked if their texts are. An empty table gives an
@@ -183,6 +185,27 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, leas
     return durable(pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, least, shared), "a long, b long"))
 
 
+def _merged(facts: DataFrame, links: DataFrame) -> DataFrame:
+    """facts (nid, comp, ...) with components joined by links between nodes."""
+    comp = [facts.select(F.col("nid").alias(k), F.col("comp").alias(f"_{k}")) for k in ("a", "b")]
+    edges = links.join(comp[0], "a").join(comp[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    new = components(edges).select(F.col("id").alias("comp"), F.col("comp").alias("_new"))
+    return durable(facts.join(new, "comp", "left").withColumn("comp", F.coalesce("_new", "comp")).drop("_new"))
+
+
+def _undecided(met: DataFrame, facts: DataFrame) -> DataFrame:
+    """The rows of met, with facts, whose bucket holds several components."""
+    meet = met.join(facts, "nid")
+    several = meet.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l < _h").select("token")
+    return durable(meet.join(several, "token", "leftsemi"))
+
+
+def _favourites(meetings: DataFrame) -> DataFrame:
+    """(a, b): each node with the one head it meets in most buckets."""
+    often = meetings.groupBy("nid", "head").agg(F.count("*").alias("c"))
+    return often.groupBy("nid").agg(F.max(F.struct("c", "head")).alias("m")).select(F.col("nid").alias("a"), F.col("m.head").alias("b"))
+
+
 def groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, bits: int = TABLE) -> DataFrame:
     """For every row: doc_id, _text (hash of the text), n_shingles and component_id, the smallest id its links reach."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, words, bits))
@@ -194,35 +217,43 @@ def groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, bits: int =
     nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(one).alias("_one"), F.min("doc_id").alias("low"))
     nodes = durable(nodes.select("digest", "low", "_one.*").withColumn("nid", F.monotonically_increasing_id()))
     entries = nodes.select("nid", F.posexplode("prefix").alias("pos", "token"))
-    heads = entries.groupBy("token").agg(F.min("nid").alias("head"), F.max("nid").alias("_last")).where("head < _last").drop("_last")
-    shared_tokens = durable(entries.join(heads, "token"))
-
-    # step 1: each node with one other of smaller number
-    met = shared_tokens.where("nid <> head").groupBy("nid", "head").agg(F.count("*").alias("c"))
-    stars = met.groupBy("nid").agg(F.max(F.struct("c", F.col("head"))).alias("m")).select(F.col("nid").alias("a"), F.col("m.head").alias("b"))
-    known = components(_links(durable(stars), nodes, docs, words, least, shared))
-
-    # step 2: all other pairs
-    facts = nodes.select("nid", "n", F.element_at("prefix", -1).alias("last"), F.size("prefix").alias("p"))
-    facts = facts.join(known.withColumnRenamed("id", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    meet = shared_tokens.drop("head").join(facts, "nid")
-    open_ = meet.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l < _h").select("token")
-    meet = durable(meet.join(open_, "token", "leftsemi"))
-    others = meet.groupBy("token", "comp").agg(F.min("n").alias("_low"), F.max("n").alias("_high")).select(F.col("token").alias("_token"), F.col("comp").alias("_comp"), "_low", "_high")
-    x = meet.join(others, (F.col("token") == F.col("_token")) & (F.col("_comp") < F.col("comp")) & (F.col("_low") * least <= F.col("n") * 100) & (F.col("_high") * 100 >= F.col("n") * least))
-    x = x.select("token", F.col("_comp").alias("comp"), *(F.col(c).alias(f"{c}_a") for c in ("nid", "n", "last", "p", "pos")))
-    y = meet.select("token", "comp", *(F.col(c).alias(f"{c}_b") for c in ("nid", "n", "last", "p", "pos")))
-    pairs = x.join(y, ["token", "comp"]).where(100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
-    pairs = pairs.groupBy("nid_a", "nid_b", "n_a", "n_b", "last_a", "last_b", "p_a", "p_b").agg(F.count("*").alias("c"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
+    heads = entries.groupBy("token").agg(F.min(F.struct("pos", "nid")).alias("_h"), F.min("nid").alias("_l"), F.max("nid").alias("_g"))
+    heads = heads.where("_l < _g").select("token", F.col("_h.nid").alias("head"))
+    met = durable(entries.join(heads, "token"))
+
+    # step 1: each node with the head it meets most often
+    stars = _favourites(met.where("nid <> head"))
+    n = F.col("n")
+    indexed = n - F.ceil(2 * least * n / F.lit(100 + least)) + 1  # of the shorter set of a pair so many shingles do
+    facts = nodes.select("nid", "n", indexed.alias("indexed"), F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), F.col("nid").alias("comp"))
+    facts = _merged(facts, _links(durable(stars), nodes, docs, words, least, shared))
+    # step 2: all pairs of different components that can still link; y is the shorter set, x the longer
+    meet = _undecided(met.drop("head"), facts)
+    # with anyone of another component a node has at most so many prefix shingles in common
+    meet = meet.join(meet.groupBy("nid").agg(F.count("*").alias("most")), "nid")
+    carried = ("n", "pos", "p", "last", "most")
+    y = meet.where("pos < indexed").select("token", "comp", F.col("nid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in carried])
+    others = y.groupBy("token", "comp").agg(F.min("n_b").alias("_low"), F.max("n_b").alias("_high")).withColumnsRenamed({"token": "_token", "comp": "_comp"})
+    x = meet.join(others, (F.col("token") == F.col("_token")) & (F.col("_comp") != F.col("comp")) & (F.col("_low") <= n) & (F.col("_high") * 100 >= n * least))
+    x = x.select("token", F.col("_comp").alias("comp"), F.col("nid").alias("a"), *[F.col(c).alias(f"{c}_a") for c in carried])
+    sizes = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
+    sizes = sizes & (100 * F.col("n_b") >= least * F.col("n_a"))
     need = F.ceil(least * (F.col("n_a") + F.col("n_b")) / F.lit(100 + least))
+    # no more than the smaller number before the common shingle, itself, and the smaller number behind it
+    places = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need
+    # common shingles of the prefixes, and at most all behind the prefix that ends first
     behind = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
-    places = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
-    pairs = durable(pairs.where((F.col("c") + F.least(behind, places) >= need)).select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b")))
-    late = _links(pairs, nodes, docs, words, least, shared)
+    least_common = need - behind
+    enough = F.least("most_a", "most_b") >= least_common
+    # so the first common one leaves room for the rest in both prefixes
+    room = (F.col("pos_a") + least_common <= F.col("p_a")) & (F.col("pos_b") + least_common <= F.col("p_b"))
+    pairs = x.join(y, ["token", "comp"]).where(sizes & places & enough & room)
+    pairs = durable(pairs.select("a", "b", least_common.alias("need")).distinct())
+    prefixes = [nodes.select(F.col("nid").alias(k), F.col("prefix").alias(f"prefix_{k}")) for k in ("a", "b")]
+    pairs = pairs.join(prefixes[0], "a").join(prefixes[1], "b")
+    pairs = durable(pairs.where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.col("need")).select("a", "b"))
+    facts = _merged(facts, _links(pairs, nodes, docs, words, least, shared))
     comp = facts.select("nid", "comp")
-    late = late.join(comp.withColumnRenamed("nid", "a").withColumnRenamed("comp", "_ca"), "a").join(comp.withColumnRenamed("nid", "b").withColumnRenamed("comp", "_cb"), "b")
-    final = components(late.select(F.col("_ca").alias("a"), F.col("_cb").alias("b")))
-    comp = comp.join(final.select(F.col("id").alias("comp"), F.col("comp").alias("_final")), "comp", "left").select("nid", F.coalesce("_final", "comp").alias("comp"))
     named = durable(nodes.select("nid", "digest", "low").join(comp, "nid"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "comp").select("digest", "component_id")
