@@ -84,7 +84,7 @@ def _ranges(docs: DataFrame) -> Column:
         low, high = F.element_at(edges, number + 1), F.element_at(edges, number + 2)
         within = F.floor((F.col("doc_id") - low) / (high - low) * finer)
         number = number * finer + F.greatest(F.lit(0), F.least(F.lit(finer - 1), within))
-    return F.coalesce(number.cast("long"), F.lit(-1).cast("long"))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(number).cast("long")
 
 
 def edited(docs: DataFrame, k: int = K) -> DataFrame:
