@@ -10,7 +10,8 @@ their anchor at the same place. An anchor stands for the neighbouring strings th
    sorted: multikey quicksort to a depth of SHALLOW bytes, then a blind trie for every group that is still equal. The common prefixes of
    neighbours in both orders tell which strings two classes share.
 
-A gram with over CROWD classes is not sorted in one task: its strings are hashed one by one and counted, which gives the same. Document order does not matter.
+A gram with over CROWD classes is not sorted in one task: its contexts are parted by eighths of the starts and the bytes common to
+all strings that start there, then by smaller ranges, until a part is small enough or one string is left. Document order does not matter.
 
 Matches never cross rows. Nulls: a null text is empty; a null id is an id like any other. A text shorter than LENGTH keeps all. Rows
 with equal id and text are documents of their own, so they repeat each other. An empty table gives an empty result.
@@ -19,6 +20,7 @@ with equal id and text are documents of their own, so they repeat each other. An
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -206,8 +208,11 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[list[int
     return order, prefix
 
 
-def shared_strings(contexts: list[bytes], before: list[int], length: int) -> list[list[tuple[int, int]]]:
-    """Of contexts around one gram (before: bytes ahead of the anchor) the ranges (from, to) that strings in two of them cover."""
+def shared_strings(contexts: list[bytes], before: list[int], length: int, low: int = 0, high: int | None = None) -> list[list[tuple[int, int]]]:
+    """Of contexts around one gram (before: bytes ahead of the anchor) the ranges (from, to) that strings in two of them cover.
+
+    Only strings that start from low to high bytes ahead of the anchor count.
+    """
     n = len(contexts)
     if n < 2:
         return [[] for _ in contexts]
@@ -217,7 +222,7 @@ def shared_strings(contexts: list[bytes], before: list[int], length: int) -> lis
     l_order, l_prefix = deep_shallow(left)
     first = np.array([length - len(r) for r in right])  # a string starts from so many bytes before the anchor ...
     last = np.array(before)  # ... to so many
-    steps = np.arange(max(0, int(first.min())), int(last.max()) + 1)
+    steps = np.arange(max(low, int(first.min())), min(int(last.max()), length if high is None else high) + 1)
     if not len(steps):
         return [[] for _ in contexts]
     r_class, l_class = np.empty((n, len(steps)), np.int64), np.empty((n, len(steps)), np.int64)
@@ -245,47 +250,79 @@ def shared_strings(contexts: list[bytes], before: list[int], length: int) -> lis
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
+_FOUND = "gram long, context long, ranges array<struct<start: long, stop: long>>"
+_CONTEXT = "gram long, context long, before int, bytes binary, k1 long, k2 long, low int, high int"
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in r] for r in cols[2]], _RANGES)], ["gram", "context", "ranges"])
+
+
 def _sort_contexts(length: int):
-    """Rows arrive sorted by gram; one gram's classes, at most CROWD, are held at a time."""
+    """Rows arrive sorted by key (k1, k2); the classes of one key, at most CROWD, are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, held, out = None, [], []
+        key, held, out = None, [], []
 
         def close():
-            found = shared_strings([h[2] for h in held], [h[1] for h in held], length)
-            out.extend((gram, h[0], [{"start": a, "stop": b} for a, b in f]) for h, f in zip(held, found) if f)
-
-        def flush():
-            cols = list(zip(*out)) or [(), (), ()]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], _RANGES)], ["gram", "context", "ranges"])
+            if held:
+                found = shared_strings([h[3] for h in held], [h[2] for h in held], length, *held[0][6:])
+                out.extend((h[0], h[1], f) for h, f in zip(held, found) if f)
 
         for batch in batches:
-            for g, c, k, data in zip(*(batch.column(x).to_pylist() for x in ("gram", "context", "before", "bytes"))):
-                if g != gram:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[4:6] != key:
                     close()
-                    gram, held = g, []
-                held.append((c, k, data))
+                    key, held = row[4:6], []
+                held.append(row)
             if out:
-                yield flush()
+                yield _found(out)
+                out = []
         close()
         if out:
-            yield flush()
+            yield _found(out)
 
     return run
 
 
-def _hash_strings(length: int):
+def _split(length: int, size: int):
+    """A row for each range of `size` starts; its key is the hash of the bytes that all strings with these starts have in common."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, c, k, data in zip(*(batch.column(x).to_pylist() for x in ("gram", "context", "before", "bytes"))):
-                starts = range(len(data) - length + 1)
-                rows = [xxhash.xxh3_128_digest(data[s : s + length], seed=k - s) for s in starts]
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(rows), pa.int64()), pa.array([c] * len(rows), pa.int64()), pa.array(starts, pa.int64()), pa.array(rows, pa.binary())], ["gram", "context", "start", "digest"])
+            out = []
+            for gram, context, k, data, _, _, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                for a in range(low, high + 1, size):
+                    b = min(a + size - 1, high)
+                    if a <= k and b >= length - (len(data) - k):  # the context has strings with such starts
+                        core = data[max(0, k - a) : k + length - b]
+                        h = xxhash.xxh3_128_intdigest(core, seed=a * (length + 1) + min(a, k))
+                        out.append((gram, context, k, data, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), a, b))
+            cols = list(zip(*out)) or [()] * 8
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["gram", "context", "before", "bytes", "k1", "k2", "low", "high"])
 
     return run
 
 
+def _common(contexts: DataFrame, length: int, crowd: int) -> list[DataFrame]:
+    """The ranges shared by contexts of one key. Keys of over ``crowd`` contexts are split by starts, again and again, so that
+    contexts stay together only while ever more of their bytes are equal; with one start left, they all share that string.
+    """
+    out, key, contexts = [], ["k1", "k2"], durable(contexts)
+    for size in (length // 8, length // 64, 1):
+        sizes = contexts.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
+        marked = contexts.join(sizes, key).select(*contexts.columns, "_n")
+        few = marked.where(F.col("_n") <= crowd).drop("_n")
+        out.append(few.repartition(*key).sortWithinPartitions(*key).mapInArrow(_sort_contexts(length), _FOUND))
+        contexts = durable(marked.where(F.col("_n") > crowd).drop("_n").mapInArrow(_split(length, max(1, size)), _CONTEXT))
+    equal = contexts.join(contexts.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1"), key)
+    start = (F.col("before") - F.col("low")).cast("long")
+    out.append(equal.groupBy("gram", "context").agg(F.collect_list(F.struct(start.alias("start"), (start + length).alias("stop"))).alias("ranges")))
+    return out
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc_id, _text (hash of the text) and spans: ranges of bytes (start, stop) that repeated strings cover; they may overlap."""
     source = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text")).where(F.length("text") >= length)
@@ -300,19 +337,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int
     whole = classes.where("n > 1").select("gram", "context", F.array(F.struct(F.lit(0).cast("long").alias("start"), (F.col("one.hi") - F.col("one.lo") + length).alias("stop"))).alias("ranges"))
 
     several = classes.where("several").select("gram", "context", F.col("one.doc_id").alias("_d"), F.col("one._text").alias("_t"), F.col("one.lo").alias("lo"), F.col("one.at").alias("at"), F.col("one.hi").alias("hi"))
-    crowds = several.groupBy("gram").agg(F.count("*").alias("classes"))
-    several = several.join(crowds, "gram")
     cut = F.substring(F.col("text"), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + length).cast("int"))
     contexts = source.join(several, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")))
-    contexts = contexts.select("gram", "context", (F.col("at") - F.col("lo")).alias("before"), cut.alias("bytes"), "classes")
-    contexts = durable(contexts.dropDuplicates(["gram", "context"]))
-    names = ["gram", "context", "before", "bytes"]
-    ranges = "gram long, context long, ranges array<struct<start: long, stop: long>>"
-    few = contexts.where(F.col("classes") <= crowd).select(*names).repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_contexts(length), ranges)
-    strings = contexts.where(F.col("classes") > crowd).select(*names).mapInArrow(_hash_strings(length), "gram long, context long, start long, digest binary")
-    twice = strings.groupBy("digest").agg(F.count("*").alias("_n")).where("_n > 1").select("digest")
-    strings = strings.join(twice, "digest").groupBy("gram", "context").agg(F.collect_list(F.struct("start", (F.col("start") + length).alias("stop"))).alias("ranges"))
-    found = durable(whole.unionByName(few).unionByName(strings)).groupBy("gram", "context").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    contexts = contexts.select("gram", "context", (F.col("at") - F.col("lo")).cast("int").alias("before"), cut.alias("bytes")).dropDuplicates(["gram", "context"])
+    keyed = contexts.withColumns({"k1": F.col("gram"), "k2": F.lit(0).cast("long"), "low": F.lit(0), "high": F.lit(length - gram)})
+    found = reduce(DataFrame.unionByName, [whole, *_common(keyed, length, crowd)])
+    found = durable(found).groupBy("gram", "context").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
     spans = F.transform("ranges", lambda r: F.struct((F.col("lo") + r.start).alias("start"), (F.col("lo") + r.stop).alias("stop")))
     members = marks.select("doc_id", "_text", "lo", "gram", "context").distinct().join(found, ["gram", "context"])
