@@ -206,8 +206,8 @@ def _favourites(meetings: DataFrame) -> DataFrame:
     return often.groupBy("nid").agg(F.max(F.struct("c", "head")).alias("m")).select(F.col("nid").alias("a"), F.col("m.head").alias("b"))
 
 
-def groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, bits: int = TABLE) -> DataFrame:
-    """For every row: doc_id, _text (hash of the text), n_shingles and component_id, the smallest id its links reach."""
+def keyed_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, bits: int = TABLE) -> DataFrame:
+    """As groups, and _comp: the number of the component, null without shingles. Components without a link can share a component_id, never a _comp."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, words, bits))
     source = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("_text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -256,16 +256,21 @@ def groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, bits: int =
     comp = facts.select("nid", "comp")
     named = durable(nodes.select("nid", "digest", "low").join(comp, "nid"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "comp").select("digest", "component_id")
+    named = named.join(lowest, "comp").select("digest", "component_id", F.col("comp").alias("_comp"))
     result = rows.select("doc_id", "_text", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
-    return result.select("doc_id", "_text", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return result.select("doc_id", "_text", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "_comp")
+
+
+def groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, bits: int = TABLE) -> DataFrame:
+    """For every row: doc_id, _text (hash of the text), n_shingles and component_id, the smallest id its links reach."""
+    return keyed_groups(docs, words, least, bits).drop("_comp")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """docs with one row of each group, the one of smallest (doc_id, hash of the text); documents without words all stay."""
-    found = durable(groups(docs, words, least))
+    found = durable(keyed_groups(docs, words, least))
     place = F.struct("doc_id", "_text")
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(place).alias("_p")).select(F.col("_p.doc_id").alias("_d"), F.col("_p._text").alias("_t"), F.lit(True).alias("_first"))
+    first = found.where("n_shingles > 0").groupBy("_comp").agg(F.min(place).alias("_p")).select(F.col("_p.doc_id").alias("_d"), F.col("_p._text").alias("_t"), F.lit(True).alias("_first"))
     alone = found.where("n_shingles = 0").select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), F.lit(False).alias("_first")).distinct()
     rows, back = packed(docs, ["doc_id", "text"])
     rows = rows.withColumn("_h", F.xxhash64("text")).join(first.unionByName(alone), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))

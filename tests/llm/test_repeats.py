@@ -164,6 +164,17 @@ def test_one_of_each(docs, rows, none):
     assert jaccard.one_of_each(none).count() == 0
 
 
+def test_one_of_each_keeps_unlinked_texts_of_one_id(spark):
+    r = random.Random(13)
+    texts = [" ".join(f"{k}w{r.randrange(500)}" for _ in range(20)) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3] + " end"), (8, texts[4]), (None, texts[4]), (9, texts[5])]
+    # every two components are told apart by their texts, which share no word
+    roots = {x[1].split("w")[0] for x in rows}
+    kept = [(x.doc_id, x.text) for x in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == len(roots) == 6 and {t.split("w")[0] for _, t in kept} == roots
+    assert set(kept) <= set(rows)
+
+
 def test_suffix_bound_never_rejects_a_link():
     import numpy as np
 
