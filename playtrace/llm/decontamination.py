@@ -4,14 +4,17 @@ Words of benchmark items and documents become template tokens: a number, a name
 unit after a number turn into typed placeholders, all else into the hash of its lower-case form. Windows of
 WINDOW tokens are hash-joined; a window needs MIN_LITERAL tokens that are no placeholders. Windows of one document
 and item on the same diagonal are one alignment; there each token is compared again, and the slots must be
-consistent: one value of the item stands for one value of the document. Windows with another value are dropped. A
-document is contaminated if the windows left cover SHARE of an item's tokens, or LONG of them.
+consistent: one value of the item stands for one value of the document. Windows with another value are dropped.
+
+Windows are also joined without placeholders, on the tokens' lower-case forms, whatever their literals. So a copy of an item
+is found in full, also one of numbers or names only, or in other case (of ASCII letters). A
+document is contaminated if the windows of both joins cover SHARE of an item's tokens, or LONG of them.
 
 The benchmark is joined in slices of at most SLICE bytes of text, each broadcast; documents never move.
 
 Nulls: a null text has no words and matches nothing; null ids are reported like any other. Items with fewer tokens
-than a window match as a whole; items with fewer than MIN_LITERAL literal tokens match nothing, as they hold no wording to
-recognise. Repeated rows give repeated results; equal items are reported one by one.
+than a window match as a whole, even a single word; with fewer than MIN_LITERAL literal tokens only by a copy, as they hold no wording to
+recognise with other values. Items without tokens match nothing. Repeated rows give repeated results; equal items are reported one by one.
 """
 
 from __future__ import annotations
@@ -96,14 +99,32 @@ class Index:
         self.ids, self.t = ids, Templates(texts)
         bounds = np.searchsorted(self.t.doc, np.arange(len(ids) + 1))
         self.begin, self.length = bounds[:-1], np.diff(bounds)
-        self.by_size = {}
-        for n in sorted({min(WINDOW, int(x)) for x in self.length if x}):
-            first, h = self.t.windows(n)
-            if n < WINDOW:  # only items of just this length
-                own = self.length[self.t.doc[first]] == n
-                first, h = first[own], h[own]
-            order = np.argsort(h, kind="stable")
-            self.by_size[n] = h[order], first[order]
+        sizes = sorted({min(WINDOW, int(x)) for x in self.length if x})
+        self.by_size = {n: self._sorted(n, *self.t.windows(n)) for n in sizes}
+        self.exact = {n: self._sorted(n, *self.t.words.grams(n)) for n in sizes}
+
+    def _sorted(self, n: int, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if n < WINDOW:  # only items of just this length
+            own = self.length[self.t.doc[first]] == n
+            first, h = first[own], h[own]
+        order = np.argsort(h, kind="stable")
+        return h[order], first[order]
+
+    def copies(self, t: Templates) -> dict[tuple[int, int], set]:
+        """The tokens of items that stand in texts as they are, in windows: by (text, item)."""
+        found = defaultdict(set)
+        for n, (hashes, first) in self.exact.items():
+            at, h = t.words.grams(n)
+            low = np.searchsorted(hashes, h, "left")
+            hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h) if len(hashes) else []
+            if len(hit):  # where in a text a window stands does not matter, so once is enough
+                hit = hit[np.unique(np.stack([t.doc[at[hit]].astype(np.uint64), h[hit]]), axis=1, return_index=True)[1]]
+            for k in hit:
+                i = int(at[k])
+                for j in first[low[k] : np.searchsorted(hashes, h[k], "right")]:
+                    if np.array_equal(t.raw[i : i + n], self.t.raw[j : j + n]):
+                        found[int(t.doc[i]), int(self.t.doc[j])].update(range(int(j), int(j) + n))
+        return found
 
     def matches(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, covered tokens, changed slots) of all contaminations."""
@@ -118,10 +139,10 @@ class Index:
                 for j in first[low[k] : np.searchsorted(hashes, h[k], "right")]:
                     if np.array_equal(t.token[i : i + n], self.t.token[j : j + n]):
                         found[int(t.doc[i]), int(self.t.doc[j])][i - int(j)].add((int(j), n))
-        out = []
-        for (text, item), lines in sorted(found.items()):
-            covered, changed = set(), set()
-            for shift, windows in lines.items():
+        out, copied = [], self.copies(t)
+        for text, item in sorted(found.keys() | copied.keys()):
+            covered, changed = set(copied.get((text, item), ())), set()
+            for shift, windows in found.get((text, item), {}).items():
                 cells = {p for j, n in windows for p in range(j, j + n)}
                 values: dict[tuple, Counter] = defaultdict(Counter)
                 for p in cells:

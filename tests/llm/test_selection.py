@@ -193,6 +193,20 @@ def test_slots_must_be_consistent():
     assert all(m[2] < 13 for m in index.matches([b"take 9 of the red balls and 8 of the blue balls now"]))
 
 
+def test_copies_match_whatever_their_literals(spark):
+    items = ["What is 37 times 45?", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9", "THE GREAT FIRE OF LONDON", "Then Anna Bell met Carl Dean near Old Mill Lane in New York City", "Yes", "12, 13!", "take 5 balls and 5 cups and 5 pens now"]
+    changed = ["What is 38 times 45?", "3 1 4 2 5 9 2 7 5 3 5 8 8 7 9", "THE GREAT FIRE AT LONDON", "Then Anna Hill met Carl Ford near Old Barn Lane in Old York Town", "No", "12, 14!", "nothing of it"]
+    cases = [str, str.lower, str.upper]
+    docs = [(10 * i + k, f"Before it. {case(x)} {case('and')} after.") for i, x in enumerate(items) for k, case in enumerate(cases)]
+    docs += [(10 * i + 9, f"Before it. {x} and after.") for i, x in enumerate(changed)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(d, bench).collect()}
+    assert set(got) == {(10 * i + k, i) for i in range(len(items)) for k in range(3)}
+    assert all(r.matched_tokens == r.item_tokens and r.changed_slots == 0 for r in got.values())
+    assert sorted(r.doc_id for r in decontamination.clean_documents(d, bench).collect()) == [10 * i + 9 for i in range(len(items))]
+
+
 def test_slices_of_the_benchmark_give_the_same(spark, sf, monkeypatch):
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     want = sorted(map(tuple, decontamination.contaminated(docs, bench).collect()))
