@@ -16,7 +16,9 @@ from playtrace.session import durable
 
 # Limits of the rounds and of the reported lists.
 RESTARTS = 4
-ROUNDS = 20
+KMEANS_ROUNDS = 40
+MEDOID_ROUNDS = 50
+ROUNDS = 20  # only of the SQL twins, which unroll them; they agree where nothing moves after so many
 TOP_STATES = 4
 SAMPLE_ROWS = 24
 SAMPLE_STEPS = 60
@@ -88,7 +90,7 @@ def _best_run(assigned: DataFrame, cost: str) -> DataFrame:
     return costs.groupBy("game_id").agg(F.min(F.struct("c", "run")).alias("m")).select("game_id", F.col("m.run").alias("run"))
 
 
-def kmeans(vectors: DataFrame, k: int = 3, restarts: int = RESTARTS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def kmeans(vectors: DataFrame, k: int = 3, restarts: int = RESTARTS, rounds: int = KMEANS_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(game_id, session_id, cluster) for every session, and the squared error sse of every game; the best restart wins."""
     k = clamp_k(k)
     members, cells, facts = profiles(vectors)
@@ -106,7 +108,7 @@ def kmeans(vectors: DataFrame, k: int = 3, restarts: int = RESTARTS, rounds: int
     return members.join(assigned.select("game_id", "profile", "cluster"), ["game_id", "profile"]).select(*SESSION, "cluster"), sse
 
 
-def k_medoids(vectors: DataFrame, measure: str = "jensenshannon", k: int = 3, rounds: int = ROUNDS) -> DataFrame:
+def k_medoids(vectors: DataFrame, measure: str = "jensenshannon", k: int = 3, rounds: int = MEDOID_ROUNDS) -> DataFrame:
     """(game_id, session_id, cluster, medoid) for every session.
 
     A profile joins its nearest medoid; the profile nearest to a cluster's mean becomes its medoid. The edit distance

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -79,3 +80,30 @@ def test_silhouette_equals_its_definition(spark):
             o = min(sum(m) / len(m) for c, m in mean.items() if c != label[s])
             widths.append((o - i) / max(i, o))
     assert abs(clustering.silhouette(long, lab).first()["silhouette"] - sum(widths) / len(widths)) < 6e-4
+
+
+def plain_clusters(points, k, rounds, medoids):
+    """Clusters of numbers by the definition, and how many rounds moved something."""
+    first = sorted(points, key=lambda p: (hashlib.md5(f"{p}:0".encode()).hexdigest(), p))[:k]
+    centres, got = [points[p] for p in first], None
+    for done in range(rounds):
+        power = 1 if medoids else 2
+        before, got = got, {p: min(range(k), key=lambda c: (round(abs(x - centres[c]) ** power, 9), c)) for p, x in points.items()}
+        if got == before:
+            break
+        for c in range(k):
+            own = [points[p] for p in points if got[p] == c]
+            mean = sum(own) / len(own)
+            centres[c] = min(own, key=lambda x: round((x - mean) ** 2, 9)) if medoids else mean
+    return got, done
+
+
+@pytest.mark.parametrize("medoids,tag,n,base", [(False, 52, 40, 1.06), (True, 7, 60, 1.1)])
+def test_rounds_go_on_until_nothing_moves(spark, medoids, tag, n, base):
+    assert (clustering.KMEANS_ROUNDS, clustering.MEDOID_ROUNDS) == (40, 50)
+    points = {f"{tag}p{i}": base**i for i in range(n)}
+    want, done = plain_clusters(points, 8, 40, medoids)
+    assert 20 < done < 39 and want != plain_clusters(points, 8, 20, medoids)[0]
+    long = spark.createDataFrame([("g", p, "x", x) for p, x in points.items()], "game_id string, session_id string, feature string, value double").coalesce(1)
+    got = clustering.k_medoids(long, "manhattan", 8) if medoids else clustering.kmeans(long, 8, restarts=1)[0]
+    assert {r["session_id"]: r["cluster"] for r in got.collect()} == want
