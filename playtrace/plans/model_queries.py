@@ -47,14 +47,13 @@ def _explained(spark, d, settings):
         yield durable(rows), base, fitted.names, groups
 
 
-SMALL = {"estimators": 20}
-GBT = models.Settings(**SMALL)
-PASS = models.Settings(target="pass", **SMALL)
+GBT = models.Settings()
+PASS = models.Settings(target="pass")
 
 for _name, _settings in {
     "gbtree_score_metrics": GBT,
     "gbtree_pass_metrics": PASS,
-    "forest_stars_metrics": models.Settings(target="stars", algorithm="forest", **SMALL),
+    "forest_stars_metrics": models.Settings(target="stars", algorithm="forest"),
     "tree_session_length_metrics": models.Settings(target="sessionLen", algorithm="tree"),
     "linear_score_metrics": models.Settings(algorithm="linear"),
     "linear_pass_metrics": models.Settings(target="pass", algorithm="linear"),

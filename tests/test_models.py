@@ -94,3 +94,17 @@ def test_settings_are_kept_in_range():
     assert (s.target, s.algorithm, s.groups, s.threshold, s.estimators, s.learning_rate, s.max_depth, s.l2) == ("score", "gbtree", ("volume",), 0.6, 20, 0.1, 6, 0.1)
     assert Settings(algorithm="tree").cleaned().max_depth == 6 and Settings(algorithm="tree", max_depth=20).cleaned().max_depth == 10
     assert Settings(algorithm="forest").cleaned().max_depth == 5
+
+
+def test_registered_queries_use_the_default_number_of_trees(monkeypatch):
+    from playtrace.plans import model_queries, registry
+
+    registry.load()
+    used = []
+    monkeypatch.setattr(model_queries, "_metrics", lambda spark, d, s: used.append(s.cleaned()))
+    monkeypatch.setattr(model_queries, "_explained", lambda spark, d, s: used.append(s.cleaned()) or [])
+    monkeypatch.setattr(model_queries, "_union", lambda frames: None)
+    monkeypatch.setattr(registry, "ship", lambda spark: None)
+    for name in ("gbtree_score_metrics", "gbtree_pass_metrics", "forest_stars_metrics", "shap_importance"):
+        registry.QUERIES[name](None, None)
+    assert [(s.algorithm, s.target, s.estimators) for s in used] == [("gbtree", "score", 150), ("gbtree", "pass", 150), ("forest", "stars", 150), ("gbtree", "score", 150)]
