@@ -69,7 +69,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good), ("near_duplicates", unique), ("decontamination", clean), ("mixing", mixed), ("sharding", sharded)]
 
-#: A trained classifier and word shingles have no SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
+#: A trained classifier and word shingles have no SQL; tests/llm/test_queries.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
