@@ -96,6 +96,11 @@ def test_deep_shallow_sort():
 
 
 def plain_groups(rows, words, least):
+    return sorted(((i, n, low) for i, n, low, _ in plain_components(rows, words, least)), key=str)
+
+
+def plain_components(rows, words, least):
+    """For each row: id, size of its set, component_id, and the root of its component."""
     sets = []
     for r in rows:
         w = (r[1] or "").encode().lower().split()
@@ -119,7 +124,7 @@ def plain_groups(rows, words, least):
     for i, r in enumerate(rows):
         if r[0] is not None:
             low[find(i)].append(r[0])
-    return sorted(((r[0], len(sets[i]), (min(low[find(i)]) if low[find(i)] else None) if sets[i] else r[0]) for i, r in enumerate(rows)), key=str)
+    return [(r[0], len(sets[i]), (min(low[find(i)]) if low[find(i)] else None) if sets[i] else r[0], find(i)) for i, r in enumerate(rows)]
 
 
 def grouped(d, words, least, **options):
@@ -158,9 +163,9 @@ def test_one_of_each(docs, rows, none):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
     kept = [(r.doc_id, r.text) for r in kept.collect()]
-    groups = plain_groups(rows, 5, 80)
+    groups = plain_components(rows, 5, 80)
     empty = sum(1 for g in groups if g[1] == 0)
-    assert len(kept) == empty + len({g[2] for g in groups if g[1]})
+    assert len(kept) == empty + len({g[3] for g in groups if g[1]})
     assert jaccard.one_of_each(none).count() == 0
 
 
