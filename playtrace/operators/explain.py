@@ -8,8 +8,6 @@ a table look-up per leaf, done on whole Arrow batches.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
 from math import factorial
 
 import numpy as np
@@ -20,36 +18,13 @@ from pyspark.sql import functions as F
 from playtrace.functions.scalars import round_half_up
 from playtrace.operators import ordered
 from playtrace.operators.models import Fitted, score
-from playtrace.session import shared_dir
+from playtrace.operators.trees import Ensemble
 
 # Lengths of the reported lists.
 BEESWARM_FEATURES = 12
 WATERFALL_FEATURES = 9
 
 
-def node_table(fitted: Fitted, spark) -> list[tuple[float, dict[int, dict]]]:
-    """Weight and nodes of every tree: at most 400 trees of depth 6, or one of depth 10."""
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    fitted.model.write().save(path)
-    data = spark.read.parquet(f"{path}/data")
-    single = "treeID" not in data.columns
-    nodes = data.select(
-        F.lit(0).alias("tree") if single else F.col("treeID").alias("tree"),
-        *([F.col(c) for c in ("id", "prediction", "rawCount", "leftChild", "rightChild", "split")] if single else
-          [F.col(f"nodeData.{c}").alias(c) for c in ("id", "prediction", "rawCount", "leftChild", "rightChild", "split")]),
-    ).select("tree", "id", "prediction", "rawCount", "leftChild", "rightChild", "split.featureIndex", "split.leftCategoriesOrThreshold")
-    trees: dict[int, dict[int, dict]] = {}
-    for r in nodes.collect():
-        trees.setdefault(r["tree"], {})[r["id"]] = r.asDict()
-    if single:
-        weights = [1.0]
-    elif hasattr(fitted.model, "treeWeights") and fitted.settings.algorithm == "gbtree":
-        weights = list(fitted.model.treeWeights)
-    else:
-        weights = [1.0 / len(trees)] * len(trees)
-    return [(fitted.scale * weights[t], trees[t]) for t in sorted(trees)]
-
-
 def _shares(z: np.ndarray) -> np.ndarray:
     """Shapley share of each path feature for every agreement pattern of a leaf worth 1."""
     d = len(z)
@@ -67,60 +42,80 @@ def _shares(z: np.ndarray) -> np.ndarray:
     return out
 
 
-def leaf_tables(trees: list[tuple[float, dict[int, dict]]]) -> tuple[list[tuple], float]:
+def leaf_tables(model: Ensemble) -> tuple[list[tuple], float]:
     """Per leaf: path features, the interval each must lie in, and the share table; plus the expected value."""
     leaves, expected = [], 0.0
-    for weight, nodes in trees:
+    for tree in model.trees:
         stack = [(0, 1.0, {})]
         while stack:
             i, reach, path = stack.pop()
-            node = nodes[i]
-            if node["leftChild"] < 0:
-                value = weight * node["prediction"]
+            f = int(tree.feature[i])
+            if f < 0:
+                value = model.weight * tree.value[i]
                 expected += reach * value
                 if path and value:
                     feats = np.array(list(path))
                     lo, hi, z = (np.array([path[f][j] for f in path], dtype=float) for j in range(3))
                     leaves.append((feats, lo, hi, value * _shares(z)))
                 continue
-            f, cut = node["featureIndex"], node["leftCategoriesOrThreshold"][0]
-            for child, left in ((node["leftChild"], True), (node["rightChild"], False)):
-                share = nodes[child]["rawCount"] / node["rawCount"]
+            cut = tree.threshold[i]
+            for child, left in ((2 * i + 1, True), (2 * i + 2, False)):
+                share = tree.cover[child] / tree.cover[i]
                 lo, hi, z = path.get(f, (-np.inf, np.inf, 1.0))
                 step = (lo, min(hi, cut), z * share) if left else (max(lo, cut), hi, z * share)
                 stack.append((child, reach * share, {**path, f: step}))
     return leaves, expected
 
 
-def explain(fitted: Fitted, rows: DataFrame) -> tuple[DataFrame, float]:
-    """Every row with margin, prediction, feature values and SHAP values; and the base value."""
-    k = len(fitted.names)
-    scored = score(fitted, rows).withColumn("x", F.array(*[F.col(f"x{i}") for i in range(k)])).drop(*[f"x{i}" for i in range(k)])
-    if fitted.weights is not None:
-        at = lambda i: (F.col("x")[i] - F.lit(float(fitted.mean[i]))) / F.lit(float(fitted.std[i])) * F.lit(float(fitted.weights[i]))
-        return scored.withColumn("phi", F.array(*[at(i) for i in range(k)])), float(fitted.base0)
-    leaves, expected = leaf_tables(node_table(fitted, rows.sparkSession))
-    shared = rows.sparkSession.sparkContext.broadcast(leaves)  # bounded by the tree settings
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), k)
-            phi = np.zeros((len(pdf), k))
-            for feats, lo, hi, table in shared.value:
-                cols = x[:, feats]
-                pattern = ((cols > lo) & (cols <= hi)) @ (1 << np.arange(len(feats)))
-                phi[:, feats] += table[pattern]
-            yield pdf.assign(phi=list(phi))
-
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scored.schema)
-    return scored.mapInPandas(run, f"{kind}, phi array<double>"), float(fitted.base0 + expected)
-
-
-def long(explained: DataFrame, names: list[str], groups: dict[str, str]) -> DataFrame:
-    """One row per run and feature."""
-    label = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(groups[n]).alias("grp")) for n in names])
-    cells = F.arrays_zip(label.alias("f"), F.col("x"), F.col("phi"))
-    return explained.select("game_id", "id", F.explode(cells).alias("c")).select(
+def _tables(fitted: Fitted) -> dict[str, tuple[list[tuple], float]]:
+    """For each game the leaf tables, or for a linear model its one term, and the base value."""
+    if fitted.linear:
+        return {g: ([], m.base) for g, m in fitted.models.items()}
+    tables = {g: leaf_tables(m) for g, m in fitted.models.items()}
+    return {g: (leaves, fitted.models[g].base + expected) for g, (leaves, expected) in tables.items()}
+
+
+def base_values(fitted: Fitted, spark) -> DataFrame:
+    """(game_id, base, base_probability): what a model expects of a run it knows nothing of; the probability only for a yes/no target."""
+    rows = []
+    for game, (_, base) in sorted(_tables(fitted).items()):
+        p = (base if fitted.prob_space else 1 / (1 + np.exp(-base))) if fitted.settings.classify else None
+        rows.append((game, float(base), None if p is None else float(p)))
+    return spark.createDataFrame(rows, "game_id string, base double, base_probability double")
+
+
+def explain(fitted: Fitted, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row with margin, prediction, feature values x and SHAP values phi; and the base value of each game."""
+    scored = score(fitted, rows)
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((fitted.models if fitted.linear else {}, _tables(fitted)))  # bounded by the settings, for each game
+
+    @F.pandas_udf("array<double>")
+    def shares(game: pd.Series, values: pd.Series) -> pd.Series:
+        linear, tables = shared.value
+        out = pd.Series([None] * len(game), index=game.index, dtype=object)
+        for g, own in values.groupby(game):
+            x = np.stack(own.to_list()).astype(float)
+            if g in linear:
+                phi = (x - linear[g].mean) / linear[g].std * linear[g].weights
+            else:
+                phi = np.zeros(x.shape)
+                for feats, lo, hi, table in tables[g][0]:
+                    cols = x[:, feats]
+                    pattern = ((cols > lo) & (cols <= hi)) @ (1 << np.arange(len(feats)))
+                    phi[:, feats] += table[pattern]
+            out[own.index] = pd.Series(list(phi), index=own.index)
+        return out
+
+    return scored.withColumn("phi", shares("game_id", "x")), base_values(fitted, spark)
+
+
+def long(explained: DataFrame, names: dict[str, list[str]], groups: dict[str, str]) -> DataFrame:
+    """One row per run and feature; names by game."""
+    labels = [(g, [(n, groups[n]) for n in own]) for g, own in sorted(names.items())]
+    labels = explained.sparkSession.createDataFrame(labels, "game_id string, f array<struct<feature: string, grp: string>>")  # a row for each game
+    cells = F.arrays_zip("f", "x", "phi")
+    return explained.join(labels, "game_id").select("game_id", "id", F.explode(cells).alias("c")).select(
         "game_id", "id", "c.f.feature", "c.f.grp", F.col("c.x").alias("value"), F.col("c.phi").alias("phi")
     )
 

@@ -1,4 +1,4 @@
-"""Model, explanation and report queries; one model per game on all of its runs."""
+"""Model, explanation and report queries; a model for each game on all of its runs."""
 
 from __future__ import annotations
 
@@ -14,37 +14,31 @@ from playtrace.plans.registry import query, r, with_
 from playtrace.session import durable
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _each_game(spark, d, settings: models.Settings):
-    """Fit one model per game that has enough runs: (fitted, rows with train mark, groups)."""
+def _fitted(spark, d, settings: models.Settings):
+    """The models of all games that have enough runs, the rows with their train mark, and the features' groups."""
     s = settings.cleaned()
     steps = t.steps(spark, d)
     runs = t.runs(spark, d)
     design = durable(features.design(runs, steps))
     ready = features.readiness(design, runs, s.target).where("enough").select("game_id")
-    for (game,) in sorted(ready.collect()):
-        rows, names, groups = models.game_rows(design, steps, game, s)
-        split = durable(features.holdout(rows, s.seed))
-        yield models.fit(split.where("train"), names, s), split, groups
+    rows, names, groups = models.design_rows(design.join(ready, "game_id", "left_semi"), steps, s)
+    split = durable(features.holdout(rows, s.seed))
+    return models.fit(split.where("train"), names, s), split, groups
 
 
 def _metrics(spark, d, settings):
-    out = []
-    for fitted, split, _ in _each_game(spark, d, settings):
-        test = models.score(fitted, split.where(~F.col("train")))
-        base = metrics.constant_baseline(split.where("train"), test)
-        measure = metrics.classification if settings.classify else metrics.regression
-        out += [measure(test).withColumn("model", F.lit(settings.algorithm)), measure(base).withColumn("model", F.lit("constant"))]
-    return _union(out)
+    fitted, split, _ = _fitted(spark, d, settings)
+    test = durable(models.score(fitted, split.where(~F.col("train"))))
+    base = metrics.constant_baseline(split.where("train"), test)
+    measure = metrics.classification if settings.classify else metrics.regression
+    return measure(test).withColumn("model", F.lit(settings.algorithm)).unionByName(measure(base).withColumn("model", F.lit("constant")))
 
 
 def _explained(spark, d, settings):
-    for fitted, split, groups in _each_game(spark, d, settings):
-        rows, base = explain.explain(fitted, split.drop("train", "place"))
-        yield durable(rows), base, fitted.names, groups
+    """Explained rows, base values, names and groups."""
+    fitted, split, groups = _fitted(spark, d, settings)
+    rows, base = explain.explain(fitted, split.drop("train", "place"))
+    return durable(rows), base, fitted.names, groups
 
 
 GBT = models.Settings()
@@ -63,45 +57,57 @@ for _name, _settings in {
 
 @query("shap_importance")
 def shap_importance(spark, d):
-    return _union([explain.importance(explain.long(e, n, g)) for e, _, n, g in _explained(spark, d, GBT)])
+    e, _, names, groups = _explained(spark, d, GBT)
+    return explain.importance(explain.long(e, names, groups))
 
 
-@query("shap_additivity", with_("ev") + "SELECT DISTINCT game_id, a.algorithm, 0.0::DOUBLE AS gap FROM ev CROSS JOIN (VALUES ('tree'), ('linear')) a(algorithm)")
+@query("shap_additivity", with_("ev") + "SELECT DISTINCT game_id, a.algorithm, 0.0::DOUBLE AS gap FROM ev CROSS JOIN (VALUES ('gbtree'), ('forest'), ('tree'), ('linear')) a(algorithm)")
 def shap_additivity(spark, d):
-    """Largest gap between the margin and base value plus SHAP values, per game; should be 0."""
+    """Largest gap between the margin and base value plus SHAP values, for each game and algorithm; should be 0."""
     out = []
-    for algorithm in ("tree", "linear"):
-        for e, base, _, _ in _explained(spark, d, models.Settings(target="pass", algorithm=algorithm)):
-            total = F.aggregate("phi", F.lit(base), lambda a, x: a + x)
-            gap = round_half_up(F.max(F.abs(F.col("margin") - total)), 6)
-            out.append(e.groupBy("game_id").agg(gap.alias("gap")).withColumn("algorithm", F.lit(algorithm)))
-    return _union(out)
+    for algorithm in models.ALGORITHMS:
+        e, base, _, _ = _explained(spark, d, models.Settings(target="pass", algorithm=algorithm))
+        total = F.aggregate("phi", F.col("base"), lambda a, x: a + x)
+        gap = round_half_up(F.max(F.abs(F.col("margin") - total)), 6)
+        out.append(e.join(base, "game_id").groupBy("game_id").agg(gap.alias("gap")).withColumn("algorithm", F.lit(algorithm)))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("shap_beeswarm")
 def shap_beeswarm(spark, d):
-    return _union([explain.beeswarm(explain.long(e, n, g)) for e, _, n, g in _explained(spark, d, models.Settings(algorithm="tree"))])
+    e, _, names, groups = _explained(spark, d, models.Settings(algorithm="tree"))
+    return explain.beeswarm(explain.long(e, names, groups))
 
 
 @query("explained_runs")
 def explained_runs(spark, d):
-    pl = t.players(spark, d)
-    return _union([explain.runs_table(e, pl).drop("values", "phi") for e, _, _, _ in _explained(spark, d, models.Settings(algorithm="linear"))])
+    return explain.runs_table(_explained(spark, d, models.Settings(algorithm="linear"))[0], t.players(spark, d))
 
 
 @query("prediction_exemplars")
 def prediction_exemplars(spark, d):
-    return _union([explain.exemplars(e) for e, _, _, _ in _explained(spark, d, models.Settings(algorithm="linear"))])
+    return explain.exemplars(_explained(spark, d, models.Settings(algorithm="linear"))[0])
 
 
 @query("shap_waterfall")
 def shap_waterfall(spark, d):
     """The steps of every run's prediction, not only of a selected one."""
-    out = []
-    for e, base, n, g in _explained(spark, d, models.Settings(algorithm="tree", target="pass")):
-        at = e.select("game_id").distinct().withColumn("base", F.lit(base))
-        out.append(explain.waterfall(explain.long(e, n, g), at, e))
-    return _union(out)
+    e, base, names, groups = _explained(spark, d, models.Settings(algorithm="tree", target="pass"))
+    return explain.waterfall(explain.long(e, names, groups), base, e)
+
+
+@query("holdout_points")
+def holdout_points(spark, d):
+    """Actual against predicted values of the runs held out."""
+    fitted, split, _ = _fitted(spark, d, models.Settings(algorithm="linear"))
+    return models.score(fitted, split.where(~F.col("train"))).select("game_id", "id", round_half_up("y", 5).alias("actual"), round_half_up("p", 5).alias("predicted"))
+
+
+@query("model_base_values")
+def model_base_values(spark, d):
+    """Base value and base probability of each game's model."""
+    fitted, _, _ = _fitted(spark, d, PASS)
+    return explain.base_values(fitted, spark).select("game_id", round_half_up("base", 5).alias("base"), round_half_up("base_probability", 5).alias("base_probability"))
 
 
 SPLIT = with_("ev", "runs") + ", sz AS (SELECT game_id, count(*) AS n, CAST(greatest(1, floor(count(*) * 0.8)) AS BIGINT) AS cut, avg(CASE WHEN score >= 0.6 THEN 1.0 ELSE 0.0 END) AS pos FROM runs GROUP BY 1) "
@@ -113,15 +119,11 @@ SPLIT = with_("ev", "runs") + ", sz AS (SELECT game_id, count(*) AS n, CAST(grea
       {r('pos')} AS pos_rate FROM sz""",
 )
 def model_metadata(spark, d):
-    out = []
-    for fitted, split, _ in _each_game(spark, d, models.Settings(target="pass", algorithm="linear")):
-        out.append(
-            split.groupBy("game_id").agg(
-                F.count("*").alias("n"), F.count_if("train").alias("train_n"), F.count_if(~F.col("train")).alias("test_n"),
-                F.lit(len(fitted.names)).alias("features"), round_half_up(F.avg("y"), 4).alias("pos_rate"),
-            )
-        )
-    return _union(out)
+    fitted, split, _ = _fitted(spark, d, models.Settings(target="pass", algorithm="linear"))
+    return split.groupBy("game_id").agg(
+        F.count("*").alias("n"), F.count_if("train").alias("train_n"), F.count_if(~F.col("train")).alias("test_n"),
+        F.max(F.size("x")).cast("long").alias("features"), round_half_up(F.avg("y"), 4).alias("pos_rate"),
+    )
 
 
 @query("seeded_holdout", SPLIT + "SELECT game_id, true AS train, cut AS n FROM sz UNION ALL SELECT game_id, false, n - cut FROM sz")
