@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from playtrace.llm.common import Words, byte_codes, bytes_of, crc_of, mixed, query, slices, table
 from playtrace.session import durable
 
-ORDER, MU, BLOCK, RANGE, LANE = 2, 200.0, 8_000_000, 1 << 21, 2048
+ORDER, MU, BLOCK, RANGE, LANE = 2, 200.0, 5_000_000, 1 << 21, 2048
 BEGIN, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 
 _CODES = byte_codes(13)
