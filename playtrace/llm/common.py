@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,5 +138,30 @@ def slices(texts: list[bytes], most: int = 2_000_000):
 
 
 def bytes_of(column) -> list[bytes]:
-    """An Arrow column of binary values; null counts as empty."""
-    return [b"" if t is None else t for t in column.to_pylist()]
+    """An Arrow column of texts or binary values; null counts as empty."""
+    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
+
+
+def text_slices(*columns, most: int = 2_000_000) -> Iterator[tuple]:
+    """Neighbouring rows of some columns of texts, of about `most` bytes together: first and last index and the texts of each column, so that only these are copied."""
+    each = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
+    sizes, a = np.cumsum(sum(each)), 0
+    while a < len(sizes):
+        before = int(sizes[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield a, b, *(bytes_of(c[a:b]) for c in columns)
+        a = b
+
+
+def released(run):
+    """A function of Arrow batches that gives back the memory it held when a task ends; workers live on for the next tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.clear()
+            pa.default_memory_pool().release_unused()
+
+    return wrapped

@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates, which also finds questions with other numbers, names or units.
 
-Words of benchmark items and documents become template tokens: a number, a name (a capitalised word that does not begin a sentence) and a
+Words of benchmark items and documents become template tokens: a number (of digits or an English number word), a name (a capitalised word that does not begin a sentence) and a
 unit after a number turn into typed placeholders, all else into the hash of its lower-case form. Windows of
-WINDOW tokens are hash-joined; a window needs MIN_LITERAL tokens that are no placeholders. Windows of one document
+WINDOW tokens are looked up by hash; a window needs MIN_LITERAL tokens that are no placeholders. Windows of one document
 and item on the same diagonal are one alignment; there each token is compared again, and the slots must be
 consistent: one value of the item stands for one value of the document. Windows with another value are dropped.
 
@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from playtrace.llm.common import Words, byte_codes, bytes_of, query, slices, table
+from playtrace.llm.common import Words, byte_codes, query, released, table, text_slices
 
 WINDOW, MIN_LITERAL, SHARE, LONG, SLICE = 8, 4, 0.5, 30, 8_000_000
 
@@ -36,6 +37,12 @@ UNITS = """kg g mg lb lbs oz ton tons km m cm mm mi mile miles ft feet foot inch
 s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years
 percent dollar dollars euro euros cent cents pound pounds degree degrees mph kmh kw kwh w watt watts v volt volts""".split()
 
+# Words that are numbers.
+NUMBER_WORDS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion""".split()
+
+_CAPITAL = np.array([chr(c).isupper() for c in range(1 << 16)])  # of every script, by code point
+
 _CODES = byte_codes(8)
 _CODES[ord("A") : ord("Z") + 1] = _CODES[ord("a") : ord("z") + 1]
 _DIGIT, _WORD, _END = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -67,9 +74,8 @@ class Templates:
         kind = np.zeros(n, np.int8)
         if n:
             digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-            number = digits[w.end] > digits[w.start]
-            first, second = data[w.start], data[np.minimum(w.start + 1, len(data) - 1)]
-            capital = ((first >= ord("A")) & (first <= ord("Z"))) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+            number = (digits[w.end] > digits[w.start]) | np.isin(w.hash, _NUMBER_HASHES)
+            capital = _CAPITAL[_first_letters(data, w.start)]
             same = np.concatenate([[False], w.doc[1:] == w.doc[:-1]])
             ends = np.concatenate([[0], np.cumsum(_END[data])])
             before = np.concatenate([[0], w.end[:-1]])
@@ -89,13 +95,21 @@ class Templates:
         return first[enough], h[enough]
 
 
+def _first_letters(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The code point at each start, 0 beyond the sixteenth bit."""
+    a, b, c = (data[np.minimum(start + k, len(data) - 1)].astype(np.int64) for k in range(3))
+    two, three = (a & 31) << 6 | b & 63, (a & 15) << 12 | (b & 63) << 6 | c & 63
+    return np.select([a < 0x80, a < 0xE0, a < 0xF0], [a, two, three], 0)
+
+
+_NUMBER_HASHES = np.sort(Words([u.encode() for u in NUMBER_WORDS], _CODES).hash)
 _UNIT_HASHES = np.sort(Words([u.encode() for u in UNITS], _CODES).hash)
 
 
 class Index:
     """The windows of a slice of the benchmark, for look-up."""
 
-    def __init__(self, ids: list, texts: list[bytes]):
+    def __init__(self, ids: pa.Array, texts: list[bytes]):
         self.ids, self.t = ids, Templates(texts)
         bounds = np.searchsorted(self.t.doc, np.arange(len(ids) + 1))
         self.begin, self.length = bounds[:-1], np.diff(bounds)
@@ -159,17 +173,19 @@ class Index:
         return out
 
 
-def _indexes(benchmark: DataFrame) -> list[Index]:
-    """The benchmark in slices; it arrives on the driver one partition at a time."""
-    out, ids, texts, size = [], [], [], 0
+def _indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """The benchmark in slices, one at a time; it arrives on the driver one partition at a time."""
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
+    ids, texts, size = [], [], 0
     for row in benchmark.select("item_id", F.col("text").cast("binary").alias("text")).toLocalIterator():
         if size > SLICE:
-            out.append(Index(ids, texts))
+            yield Index(pa.array(ids, kind), texts)
             ids, texts, size = [], [], 0
         ids.append(row[0])
         texts.append(bytes(row[1] or b""))
         size += len(texts[-1])
-    return [*out, Index(ids, texts)] if ids else out
+    if ids:
+        yield Index(pa.array(ids, kind), texts)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -183,14 +199,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts, ids = bytes_of(batch.column("text")), batch.column("doc_id")
-                for a, b in slices(texts):
-                    hits = shared.value.matches(texts[a:b])
+                ids = batch.column("doc_id")
+                for a, _, texts in text_slices(batch.column("text")):
+                    hits = shared.value.matches(texts)
                     if hits:
-                        cols = [ids.take(pa.array([a + h[0] for h in hits])), pa.array([shared.value.ids[h[1]] for h in hits]), *(pa.array(x, pa.int32()) for x in ([h[2] for h in hits], [int(shared.value.length[h[1]]) for h in hits], [h[3] for h in hits]))]
+                        cols = [ids.take(pa.array([a + h[0] for h in hits])), shared.value.ids.take(pa.array([h[1] for h in hits])), *(pa.array(x, pa.int32()) for x in ([h[2] for h in hits], [int(shared.value.length[h[1]]) for h in hits], [h[3] for h in hits]))]
                         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "matched_tokens", "item_tokens", "changed_slots"])
 
-        return run
+        return released(run)
 
     out = None
     for index in _indexes(benchmark):
@@ -205,11 +221,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = [b"" if t is None else t.encode() for t in batch.column("text").to_pylist()]
-                bad = {a + h[0] for a, b in slices(texts) for h in shared.value.matches(texts[a:b])}
-                yield batch.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_())) if bad else batch
+                for a, b, texts in text_slices(batch.column("text")):
+                    bad = {h[0] for h in shared.value.matches(texts)}
+                    yield batch[a:b].filter(pa.array([i not in bad for i in range(b - a)], pa.bool_()))
 
-        return run
+        return released(run)
 
     for index in _indexes(benchmark):
         docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)

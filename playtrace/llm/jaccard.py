@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playtrace.llm.common import Words, byte_codes, bytes_of, mixed, packed, query, slices, table
+from playtrace.llm.common import Words, byte_codes, mixed, packed, query, released, table, text_slices
 from playtrace.llm.components import components
 from playtrace.session import durable
 
@@ -64,14 +64,13 @@ def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(words: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            texts = bytes_of(batch.column(0))
-            for a, b in slices(texts):
-                total += np.bincount((shingles(texts[a:b], words)[1] >> np.uint64(64 - bits)).astype(np.int64), minlength=len(total))
+            for _, _, texts in text_slices(batch.column(0)):
+                np.add.at(total, (shingles(texts, words)[1] >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         yield from _blocks({k: part for k, part in enumerate(total.reshape(-1, min(_BLOCK, len(total)))) if part.any()})
 
-    return run
+    return released(run)
 
 
 def _blocks(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +124,8 @@ def prefix_length(n, least: int):
 def _prefixes(words: int, least: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = bytes_of(batch.column("text"))
-            for a, b in slices(texts):
-                token, bounds = token_sets(texts[a:b], words, shared.value)
+            for a, b, texts in text_slices(batch.column("text")):
+                token, bounds = token_sets(texts, words, shared.value)
                 n = np.diff(bounds)
                 length = np.where(n > 0, prefix_length(n, least), 0)
                 ends = np.cumsum(length)
@@ -136,7 +134,7 @@ def _prefixes(words: int, least: int, shared):
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(token[take]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("_text")[a:b], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), prefix], ["doc_id", "_text", "n", "digest", "prefix"])
 
-    return run
+    return released(run)
 
 
 def _needed(n, m, least: int):
@@ -163,15 +161,14 @@ def linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
 def _verify(words: int, least: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = bytes_of(batch.column("text_a")), bytes_of(batch.column("text_b"))
             keep = []
-            for i, j in slices([x + y for x, y in zip(one, two)]):
-                token, at = token_sets(one[i:j] + two[i:j], words, shared.value)
+            for i, j, one, two in text_slices(batch.column("text_a"), batch.column("text_b")):
+                token, at = token_sets(one + two, words, shared.value)
                 n = j - i
                 keep += [linked(token[at[k] : at[k + 1]], token[at[n + k] : at[n + k + 1]], least) for k in range(n)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return released(run)
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: int, shared) -> DataFrame:

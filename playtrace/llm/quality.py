@@ -7,12 +7,12 @@ number is at most PER_LABEL for each label, and every document's cosines to all
 in blocks. The NEIGHBOURS most similar ones vote, weighted by similarity to the power SHARPNESS and, so that a rare label
 is not outvoted by numbers, by one over the number of its labelled vectors.
 
-The sample: the PER_LABEL labelled rows of each label whose ids come first in order of md5. Its ids, never texts or
-labels outside it, are the only thing learned from.
+The sample: the PER_LABEL labelled texts of each label that come first in order of the id's md5. Nothing outside it is learned from.
+Their terms are counted where the texts are; the driver gets a row of terms for each, 7.6 KB.
 
 Nulls: rows of labels with a null id or label teach nothing; a null or empty text (any text without terms) scores 0; a null
-id counts as held out. Repeated rows get equal results; an id with several texts or labels teaches all pairs of them
-that are in the sample. Without labelled rows every score is 0.5.
+id counts as held out. Repeated rows get equal results and teach once; an id with several texts or labels teaches all pairs of them,
+as far as they are among the first PER_LABEL. Without labelled rows every score is 0.5.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playtrace.llm.common import Words, byte_codes, bytes_of, crc_of, query, slices, table
+from playtrace.llm.common import Words, byte_codes, crc_of, query, released, slices, table, text_slices
 
 PER_LABEL, DIMENSIONS, NEIGHBOURS, SHARPNESS, THRESHOLD, SEED = 1000, 48, 15, 4, 0.7, 7
 WORD_BUCKETS = 512
@@ -102,8 +102,12 @@ class Model:
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Model:
-    counts = np.concatenate([terms(texts[a:b]) for a, b in slices(texts)]) if texts else np.zeros((0, _TERMS), np.float32)
-    rarity = np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
+    return model_of(np.concatenate([terms(texts[a:b]) for a, b in slices(texts)]) if texts else np.zeros((0, _TERMS), np.float32), labels, seed)
+
+
+def model_of(counts: np.ndarray, labels: list[int], seed: int = SEED) -> Model:
+    """The model of labelled rows of terms, at most 2 * PER_LABEL."""
+    rarity = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
     x = counts * rarity
     lengths = np.linalg.norm(x, axis=1, keepdims=True)
     x /= np.maximum(lengths, 1e-12)
@@ -116,21 +120,40 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, learnable: Column) -> tuple[list[bytes], list[int]]:
-    """At most PER_LABEL texts of each label, in a fixed order. Ids are chosen first; only their texts move."""
-    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
+def sample(docs: DataFrame, labels: DataFrame, learnable: Column) -> DataFrame:
+    """(quality, doc_id, _hash, text): the PER_LABEL labelled texts of each label that come first in order of the id's md5, the id and the text's hash."""
+    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
     order = [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
-    rank, part = Window.partitionBy("quality").orderBy(*order), Window.partitionBy("quality", "_part").orderBy(*order)
-    known = docs.select("doc_id").where(learnable & F.col("doc_id").isNotNull()).distinct()
-    chosen = marked.distinct().join(known, "doc_id").withColumn("_part", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 128)
-    chosen = chosen.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= PER_LABEL)  # of each part first, so that no task gets a whole label
-    chosen = chosen.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= PER_LABEL).select("doc_id", "quality")
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], chosen.schema)  # at most 2 * PER_LABEL rows
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    order = Window.partitionBy("doc_id", "quality").orderBy("text")
-    rows = rows.withColumn("_r", F.row_number().over(order)).where("_r <= 3 AND text IS NOT NULL").drop("_r")
-    got = sorted((tuple(r) for r in rows.select("quality", "doc_id", "text").collect()), key=lambda r: (r[0], r[1], bytes(r[2])))
-    return [bytes(r[2]) for r in got], [r[0] for r in got]
+
+    def first(rows: DataFrame, part: Column, order: list) -> DataFrame:
+        """PER_LABEL rows of each label; of each part first, so that no task gets a whole label."""
+        for within in (["quality", part], ["quality"]):
+            rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("_r") <= PER_LABEL)
+        return rows.drop("_r")
+
+    known = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(learnable & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    ids = first(marked.join(known.select("doc_id").distinct(), "doc_id"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 128, order)
+    ids = F.broadcast(ids)  # at most 2 * PER_LABEL rows
+    texts = known.withColumn("_hash", F.xxhash64("text"))
+    chosen = first(texts.join(ids, "doc_id").select("doc_id", "quality", "_hash").distinct(), F.pmod("_hash", F.lit(128)), [*order, "_hash"])
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "_hash"])
+    return rows.groupBy("quality", "doc_id", "_hash").agg(F.first("text").alias("text"))
+
+
+def _labelled(chosen: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """The terms and labels of a sample in a fixed order; terms are counted in tasks, so no text reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in text_slices(batch.column("text")):
+                rows = pa.array([x.tobytes() for x in terms(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b] for c in ("quality", "doc_id", "_hash")), rows], ["quality", "doc_id", "_hash", "terms"])
+
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    got = chosen.mapInArrow(released(run), f"quality int, doc_id {kind}, _hash long, terms binary").collect()
+    got.sort(key=lambda r: tuple(r)[:3])
+    counts = np.array([np.frombuffer(r["terms"], np.float32) for r in got]) if got else np.zeros((0, _TERMS), np.float32)
+    return counts, [r["quality"] for r in got]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -138,7 +161,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(*sample(docs, labels, ~held_out(F.col("doc_id"))))
+    return model_of(*_labelled(sample(docs, labels, ~held_out(F.col("doc_id")))))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -147,13 +170,12 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = bytes_of(batch.column("text"))
-            for a, b in slices(texts):
-                score = shared.value.score(texts[a:b])
+            for a, b, texts in text_slices(batch.column("text")):
+                score = shared.value.score(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("held_out")[a:b], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,11 +187,10 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [b"" if t is None else t.encode() for t in batch.column("text").to_pylist()]
-            score = np.concatenate([shared.value.score(texts[a:b]) for a, b in slices(texts)]) if texts else np.zeros(0)
-            yield batch.filter(pa.array(score >= THRESHOLD))
+            for a, b, texts in text_slices(batch.column("text")):
+                yield batch[a:b].filter(pa.array(shared.value.score(texts) >= THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(released(keep), docs.schema)
 
 
 @query("op7_neighbour_quality")

@@ -6,6 +6,9 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
+
+from pyspark.sql import functions as F
 
 from playtrace.llm import decontamination, language, mixing, quality, sharding
 from playtrace.llm.common import table
@@ -188,7 +191,7 @@ def test_templates_catch_other_values(spark):
 
 
 def test_slots_must_be_consistent():
-    index = decontamination.Index([1], [b"take 5 of the red balls and 5 of the blue balls now"])
+    index = decontamination.Index(pa.array([1]), [b"take 5 of the red balls and 5 of the blue balls now"])
     assert index.matches([b"take 9 of the red balls and 9 of the blue balls now"]) == [(0, 0, 13, 2)]
     assert all(m[2] < 13 for m in index.matches([b"take 9 of the red balls and 8 of the blue balls now"]))
 
@@ -222,3 +225,23 @@ def test_odd_documents(docs, rows, none):
     assert got.columns == ["doc_id", "item_id", "matched_tokens", "item_tokens", "changed_slots"]
     assert decontamination.clean_documents(docs, bench).columns == docs.columns
     assert decontamination.clean_documents(none, bench).count() == 0
+
+
+def test_templates_of_number_words_and_other_scripts(spark):
+    items = ["she bought twelve apples and gave seven of them to her friends at school", "вчера утром в парке Иван Петров встретил старого друга и долго говорил с ним о работе"]
+    changed = ["she bought twenty apples and gave nine of them to her friends at school", "вчера утром в парке Олег Смирнов встретил старого друга и долго говорил с ним о работе"]
+    bench = spark.createDataFrame([(i, x) for i, x in enumerate(items)] + [(None, None)], "item_id int, text string")
+    d = spark.createDataFrame([(i, f"Now, {x}.") for i, x in enumerate(changed)], "doc_id string, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(d, bench).collect()}
+    assert set(got) == {("0", 0), ("1", 1)} and all(r.changed_slots == 2 for r in got.values())
+    nothing = bench.selectExpr("CAST(NULL AS SMALLINT) AS item_id", "text")
+    assert {r.item_id for r in decontamination.contaminated(d, nothing).collect()} == {None}
+
+
+def test_all_texts_of_a_labelled_id_teach(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PER_LABEL", 4)
+    docs = spark.createDataFrame([(1, f"text {k % 9}") for k in range(30)] + [(2, "b"), (2, "b"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1)], "doc_id long, quality int")
+    got = quality.sample(docs, labels, F.lit(True)).collect()
+    assert sorted((r.quality, r.doc_id) for r in got) == [(0, 2), (1, 1), (1, 1), (1, 1), (1, 1)]
+    assert len({bytes(r.text) for r in got}) == 5
