@@ -12,21 +12,31 @@ from playtrace.llm import fingerprints, jaccard, line_dedup, suffixes, token_cou
 from playtrace.llm.components import components
 
 
+def runs(lines, least, long_words):
+    """All runs of a document, with their first lines."""
+    out = [(tuple(lines[s : s + least]), s) for s in range(len(lines) - least + 1)]
+    if least > 1:
+        out += [((x,), s) for s, x in enumerate(lines) if len(x.split()) >= long_words or len(lines) == 1 and x.split()]
+        if 1 < len(lines) < least and any(x.split() for x in lines):
+            out.append((tuple(lines), 0))
+    return out
+
+
 def test_lines_against_plain_version(spark):
     r = random.Random(2)
-    docs = [(i, "\n".join(r.choice("abcd") for _ in range(r.randint(0, 14)))) for i in range(50)] + [(90, None), (91, ""), (3, None)]
+    docs = [(i, "\n".join(r.choice(["a", "b", "c", "d d", "e e e", "f f f f"]) for _ in range(r.choice([0, 1, 1, 2, 2, 3, 6, 14])))) for i in range(50)] + [(90, None), (91, ""), (3, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     for gram, window in ((2, 2), (1, 2), (2, 4), (1, 1)):
         least, first = gram + window - 1, {}
         lines = {i: t.split("\n") for i, t in docs[:50]}
         for i in sorted(lines):
-            for s in range(len(lines[i]) - least + 1):
-                first.setdefault(tuple(lines[i][s : s + least]), (i, s))
+            for run, s in runs(lines[i], least, 3):
+                first.setdefault(run, (i, s))
         want = {}
         for i, own in lines.items():
-            gone = {p for s in range(len(own) - least + 1) if first[tuple(own[s : s + least])] != (i, s) for p in range(s, s + least)}
+            gone = {p for run, s in runs(own, least, 3) if first[run] != (i, s) for p in range(s, s + len(run))}
             want[i] = (len(own), len(gone), sum(p - 1 not in gone for p in gone), "\n".join(x for p, x in enumerate(own) if p not in gone))
-        got = {x.doc_id: (x.n_lines, x.n_removed, x.n_runs, x.kept_text) for x in line_dedup.without_repeats(d.where("doc_id < 50 AND text IS NOT NULL"), gram, window).collect()}
+        got = {x.doc_id: (x.n_lines, x.n_removed, x.n_runs, x.kept_text) for x in line_dedup.without_repeats(d.where("doc_id < 50 AND text IS NOT NULL"), gram, window, 3).collect()}
         assert got == want
     odd = {(x.doc_id, x.n_lines, x.kept_text) for x in line_dedup.without_repeats(d.where("doc_id >= 90")).collect()}
     assert odd == {(90, 0, None), (91, 1, "")}
