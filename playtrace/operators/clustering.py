@@ -6,7 +6,7 @@ restarts go through the same rounds together. A profile is compared with the cen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtrace.functions.scalars import round_half_up
@@ -50,11 +50,34 @@ def profiles(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return members, cells, first.select("game_id", "profile", "weight", size.alias("n2"))
 
 
-def _seeds(facts: DataFrame, k: int, runs: int) -> DataFrame:
-    """k profiles for each restart, the first in the order of a hash."""
-    rows = facts.select("game_id", "profile", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    rows = rows.withColumn("_h", F.md5(F.concat_ws(":", "profile", F.col("run").cast("string"))))
-    return ordered.top_k(rows, ["game_id", "run"], ["_h", "profile"], k, "_r").select("game_id", "run", (F.col("_r") - 1).alias("cluster"), "profile")
+def _drawn(rows: DataFrame, step: int, share: Column) -> DataFrame:
+    """(game_id, run, cluster, profile): one profile for each game and restart, with chances in proportion to share.
+
+    The smallest of -ln(u) / share wins, with u in (0, 1) from a hash of profile, restart and step, so every run draws alike.
+    """
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", "profile", F.col("run").cast("string"), F.lit(str(step)))), 1, 8), 16, 10)
+    u = (digits.cast("double") + 0.5) / float(1 << 32)
+    best = rows.where(share > 0).groupBy("game_id", "run").agg(F.min(F.struct((-F.log(u) / share).alias("key"), "profile")).alias("m"))
+    return best.select("game_id", "run", F.lit(step).alias("cluster"), F.col("m.profile").alias("profile"))
+
+
+def _seeds(cells: DataFrame, facts: DataFrame, k: int, runs: int) -> DataFrame:
+    """Up to k profiles for each restart: the first drawn by weight, each further one by weight times the squared distance to the nearest before it.
+
+    A game with fewer than k different profiles gets as many seeds as it has profiles.
+    """
+    rows = facts.select("game_id", "profile", "weight", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    seeds = durable(_drawn(rows, 0, F.col("weight")))
+    near = None
+    for step in range(1, k):
+        last = seeds.where(F.col("cluster") == step - 1)
+        centres = cells.join(last, ["game_id", "profile"]).select("game_id", "run", "cluster", "feature", "value")
+        d = _distances(cells, facts, centres).drop("cluster")
+        if near is not None:
+            d = d.unionByName(near)
+        near = durable(d.groupBy("game_id", "profile", "run").agg(F.max("weight").alias("weight"), F.min("d").alias("d")))
+        seeds = durable(seeds.unionByName(_drawn(near, step, F.col("weight") * F.col("d"))))
+    return seeds
 
 
 def _distances(cells: DataFrame, facts: DataFrame, centres: DataFrame) -> DataFrame:
@@ -95,7 +118,7 @@ def kmeans(vectors: DataFrame, k: int = 3, restarts: int = RESTARTS, rounds: int
     k = clamp_k(k)
     members, cells, facts = profiles(vectors)
     cells = durable(cells)
-    seeds = _seeds(facts, k, restarts)
+    seeds = _seeds(cells, facts, k, restarts)
     centres = durable(cells.join(seeds, ["game_id", "profile"]).select("game_id", "run", "cluster", "feature", "value"))
     assigned = durable(_nearest(_distances(cells, facts, centres)))
     for _ in range(rounds):
@@ -117,7 +140,7 @@ def k_medoids(vectors: DataFrame, measure: str = "jensenshannon", k: int = 3, ro
     k = clamp_k(k)
     members, cells, facts = profiles(vectors)
     cells = durable(cells)
-    medoids = durable(_seeds(facts, k, 1).drop("run"))
+    medoids = _seeds(cells, facts, k, 1).drop("run")
     assigned = None
     for _ in range(rounds):
         centres = cells.join(medoids, ["game_id", "profile"]).select("game_id", "cluster", "feature", "value")

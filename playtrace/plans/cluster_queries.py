@@ -20,9 +20,7 @@ PROFILES = """, vl AS MATERIALIZED (SELECT game_id, session_id, list({'f': featu
     pf AS MATERIALIZED (SELECT game_id, v, min(session_id) AS profile, count(*) AS weight FROM vl GROUP BY game_id, v),
     mem AS (SELECT game_id, session_id, profile FROM vl JOIN pf USING (game_id, v)),
     cell AS MATERIALIZED (SELECT vec.game_id, profile, weight, feature, value FROM vec JOIN pf ON pf.game_id = vec.game_id AND pf.profile = vec.session_id),
-    fact AS MATERIALIZED (SELECT game_id, profile, weight, sum(value * value) AS n2 FROM cell GROUP BY ALL),
-    sx AS (SELECT game_id, profile, CAST(run AS INTEGER) AS run, row_number() OVER (PARTITION BY game_id, run ORDER BY md5(profile || ':' || run), profile) - 1 AS cluster
-      FROM fact, range(4) r(run) QUALIFY cluster < 3) """
+    fact AS MATERIALIZED (SELECT game_id, profile, weight, sum(value * value) AS n2 FROM cell GROUP BY ALL) """
 
 
 def _dist(name: str, centres: str) -> str:
@@ -33,6 +31,19 @@ def _dist(name: str, centres: str) -> str:
         ON q.game_id = f.game_id AND q.profile = f.profile AND q.run = z.run AND q.cluster = z.cluster)"""
 
 
+def _seeds_sql(k: int = 3, runs: int = clustering.RESTARTS) -> str:
+    """Seeds drawn by weight, then by weight and squared distance to the nearest seed before."""
+    key = lambda step, share: f"-ln((('0x' || substr(md5(profile || ':' || run || ':{step}'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE) / ({share})"
+    first = lambda step, rows, share: f"SELECT game_id, run, {step} AS cluster, profile FROM {rows} WHERE {share} > 0 QUALIFY row_number() OVER (PARTITION BY game_id, run ORDER BY {key(step, share)}, profile) = 1"
+    out = f", r0 AS (SELECT game_id, profile, weight, CAST(run AS INTEGER) AS run FROM fact, range({runs}) r(run)), sd0 AS MATERIALIZED ({first(0, 'r0', 'weight')})"
+    for step in range(1, k):
+        out += f", sc{step} AS MATERIALIZED (SELECT game_id, run, cluster, feature, value FROM cell JOIN sd{step - 1} USING (game_id, profile))" + _dist(f"sq{step}", f"sc{step}")
+        before = f" UNION ALL SELECT game_id, profile, run, weight, d FROM sn{step - 1}" if step > 1 else ""
+        out += f", sn{step} AS MATERIALIZED (SELECT game_id, profile, run, max(weight) AS weight, min(d) AS d FROM (SELECT game_id, profile, run, weight, d FROM sq{step}{before}) GROUP BY ALL)"
+        out += f", sd{step} AS MATERIALIZED ({first(step, f'sn{step}', 'weight * d')})"
+    return out + ", sx AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM sd{i}" for i in range(k)) + ")"
+
+
 def _best(name: str, distances: str) -> str:
     return f", {name} AS MATERIALIZED (SELECT * FROM {distances} QUALIFY row_number() OVER (PARTITION BY game_id, profile, run ORDER BY d, cluster) = 1)"
 
@@ -44,7 +55,7 @@ def _mean(name: str, assigned: str) -> str:
 
 
 def _kmeans_sql(rounds: int = clustering.ROUNDS) -> str:
-    out = USABLE + PROFILES + ", c0 AS MATERIALIZED (SELECT game_id, run, cluster, feature, value FROM cell JOIN sx USING (game_id, profile))" + _dist("d0", "c0") + _best("a0", "d0")
+    out = USABLE + PROFILES + _seeds_sql() + ", c0 AS MATERIALIZED (SELECT game_id, run, cluster, feature, value FROM cell JOIN sx USING (game_id, profile))" + _dist("d0", "c0") + _best("a0", "d0")
     for i in range(1, rounds + 1):
         out += _mean(f"c{i}", f"a{i - 1}") + _dist(f"d{i}", f"c{i}") + _best(f"a{i}", f"d{i}")
     return out + f""", cost AS (SELECT game_id, run, round(sum(weight * d), 6) AS c FROM a{rounds} GROUP BY ALL),
@@ -66,7 +77,7 @@ def _measures(name: str, points: str, point: str, centres: str, centre: str) ->
 
 
 def _medoids_sql(measure: str, rounds: int = clustering.ROUNDS) -> str:
-    out = USABLE + PROFILES + ", m0 AS MATERIALIZED (SELECT game_id, cluster, profile FROM sx WHERE run = 0)"
+    out = USABLE + PROFILES + _seeds_sql() + ", m0 AS MATERIALIZED (SELECT game_id, cluster, profile FROM sx WHERE run = 0)"
     for i in range(rounds):
         out += f", k{i} AS MATERIALIZED (SELECT game_id, cluster, feature, value FROM cell JOIN m{i} USING (game_id, profile))" + _measures(f"n{i}", "cell", "profile", f"k{i}", "cluster")
         out += f", e{i} AS (SELECT n.game_id, n.profile, f.weight, 0 AS run, n.cluster, round({measure}, 9) AS d FROM n{i} n JOIN fact f ON f.game_id = n.game_id AND f.profile = n.profile)" + _best(f"a{i}", f"e{i}")
