@@ -6,11 +6,13 @@ restarts go through the same rounds together. A profile is compared with the cen
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtrace.functions.scalars import round_half_up
-from playtrace.operators import distance, network, ordered, sequences
+from playtrace.operators import distance, medoids, network, ordered, sequences
 from playtrace.operators.sequences import SEP, SESSION
 from playtrace.session import durable
 
@@ -61,18 +63,17 @@ def _drawn(rows: DataFrame, step: int, share: Column) -> DataFrame:
     return best.select("game_id", "run", F.lit(step).alias("cluster"), F.col("m.profile").alias("profile"))
 
 
-def _seeds(cells: DataFrame, facts: DataFrame, k: int, runs: int) -> DataFrame:
+def _seeds(facts: DataFrame, k: int, runs: int, squared: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Up to k profiles for each restart: the first drawn by weight, each further one by weight times the squared distance to the nearest before it.
 
+    squared: from seeds (game_id, run, cluster, profile), every profile's squared distance d to those of its game.
     A game with fewer than k different profiles gets as many seeds as it has profiles.
     """
     rows = facts.select("game_id", "profile", "weight", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     seeds = durable(_drawn(rows, 0, F.col("weight")))
     near = None
     for step in range(1, k):
-        last = seeds.where(F.col("cluster") == step - 1)
-        centres = cells.join(last, ["game_id", "profile"]).select("game_id", "run", "cluster", "feature", "value")
-        d = _distances(cells, facts, centres).drop("cluster")
+        d = squared(seeds.where(F.col("cluster") == step - 1)).select("game_id", "profile", "weight", "run", "d")
         if near is not None:
             d = d.unionByName(near)
         near = durable(d.groupBy("game_id", "profile", "run").agg(F.max("weight").alias("weight"), F.min("d").alias("d")))
@@ -118,8 +119,8 @@ def kmeans(vectors: DataFrame, k: int = 3, restarts: int = RESTARTS, rounds: int
     k = clamp_k(k)
     members, cells, facts = profiles(vectors)
     cells = durable(cells)
-    seeds = _seeds(cells, facts, k, restarts)
-    centres = durable(cells.join(seeds, ["game_id", "profile"]).select("game_id", "run", "cluster", "feature", "value"))
+    at = lambda seeds: cells.join(seeds, ["game_id", "profile"]).select("game_id", "run", "cluster", "feature", "value")
+    centres = durable(at(_seeds(facts, k, restarts, lambda seeds: _distances(cells, facts, at(seeds)))))
     assigned = durable(_nearest(_distances(cells, facts, centres)))
     for _ in range(rounds):
         before = assigned
@@ -132,27 +133,53 @@ def kmeans(vectors: DataFrame, k: int = 3, restarts: int = RESTARTS, rounds: int
 
 
 def k_medoids(vectors: DataFrame, measure: str = "jensenshannon", k: int = 3, rounds: int = MEDOID_ROUNDS) -> DataFrame:
-    """(game_id, session_id, cluster, medoid) for every session.
-
-    A profile joins its nearest medoid; the profile nearest to a cluster's mean becomes its medoid. The edit distance
-    has no mean, so it is offered only by distance.to_medoids.
-    """
-    k = clamp_k(k)
+    """(game_id, session_id, cluster, medoid) for every session, by one of the four measures of vectors."""
     members, cells, facts = profiles(vectors)
     cells = durable(cells)
-    medoids = _seeds(cells, facts, k, 1).drop("run")
-    assigned = None
+    found = _medoids(facts.withColumn("len", F.lit(0)), measure, medoids.vector_pairs(cells, measure), cells, clamp_k(k), rounds)
+    return members.join(found, ["game_id", "profile"]).select(*SESSION, "cluster", "medoid")
+
+
+def edit_medoids(steps: DataFrame, k: int = 3, rounds: int = MEDOID_ROUNDS) -> DataFrame:
+    """(game_id, session_id, cluster, medoid) for every session, by edit distance over the longer length; equal sequences are one profile."""
+    texts = durable(distance.step_strings(steps))
+    facts = durable(
+        texts.groupBy("game_id", "text").agg(F.min("session_id").alias("profile"), F.count("*").alias("weight")).withColumn("len", F.length("text"))
+    )
+    found = _medoids(facts.drop("text"), "sequence", medoids.text_pairs(facts.select("game_id", "profile", "text")), None, clamp_k(k), rounds)
+    members = texts.join(facts.select("game_id", "text", "profile"), ["game_id", "text"])
+    return members.join(found, ["game_id", "profile"]).select(*SESSION, "cluster", "medoid")
+
+
+def _medoids(facts: DataFrame, measure: str, pairs: medoids.Pairs, cells: DataFrame | None, k: int, rounds: int) -> DataFrame:
+    """(game_id, profile, cluster, medoid): a profile joins its nearest medoid, then the member of the least total distance becomes the medoid."""
+    whole = facts.select("game_id", F.lit(0).alias("part"), "profile")
+    length = facts.select("game_id", F.col("profile").alias("other"), F.col("len").alias("_len"))
+
+    def near(centres: DataFrame) -> DataFrame:
+        """Distances of every profile to the centres (game_id, run, cluster, profile) of its game."""
+        named = centres.withColumnRenamed("profile", "other").join(length, ["game_id", "other"])
+        d = pairs(whole, named.select("game_id", F.lit(0).alias("part"), "other")).drop("part")
+        d = d.join(facts, ["game_id", "profile"]).join(named, ["game_id", "other"])
+        return d.withColumn("d", F.round(medoids.scaled(F.col("raw"), F.col("len"), F.col("_len")), DIGITS))
+
+    squared = lambda seeds: near(seeds).withColumn("d", F.col("d") * F.col("d"))
+    centres, before = _seeds(facts, k, 1, squared), None
     for _ in range(rounds):
-        centres = cells.join(medoids, ["game_id", "profile"]).select("game_id", "cluster", "feature", "value")
-        near = distance.to_centres(cells, centres, ["profile"], ["cluster"]).select("game_id", "profile", F.lit(0).alias("run"), "cluster", F.round(measure, DIGITS).alias("d"))
-        before, assigned = assigned, durable(_nearest(near.join(facts.select("game_id", "profile", "weight"), ["game_id", "profile"])))
+        each = near(centres).groupBy("game_id", "profile", "run").agg(
+            F.max("weight").alias("weight"), F.max("len").alias("len"), F.array_sort(F.collect_list(F.struct("d", "cluster", "raw"))).alias("near")
+        )  # at most eight centres
+        assigned = durable(each.withColumn("cluster", F.col("near")[0]["cluster"]))
         if before is not None and not _moved(assigned, before):
             break
-        own = assigned.select("game_id", "profile", "cluster")
-        middle = _distances(cells, facts, _means(cells, assigned)).join(own, ["game_id", "profile", "cluster"])
-        medoids = durable(middle.groupBy("game_id", "cluster").agg(F.min(F.struct("d", "profile")).alias("m")).select("game_id", "cluster", F.col("m.profile").alias("profile")))
-    named = assigned.select("game_id", "profile", "cluster").join(medoids.withColumnRenamed("profile", "medoid"), ["game_id", "cluster"])
-    return members.join(named, ["game_id", "profile"]).select(*SESSION, "cluster", "medoid")
+        own = assigned.withColumn("part", F.col("cluster"))
+        rows = own.select("game_id", "part", "profile", "weight", "len")
+        pivots = own.select(*rows.columns, F.explode("near").alias("n")).select(*rows.columns, F.col("n.cluster").alias("other"), F.col("n.raw").alias("raw"))
+        least = medoids.best(medoids.totals(rows, pivots, measure, pairs, cells))
+        centres = durable(least.select("game_id", F.lit(0).alias("run"), F.col("part").alias("cluster"), "profile"))
+        before = assigned
+    named = centres.select("game_id", "cluster", F.col("profile").alias("medoid"))
+    return assigned.select("game_id", "profile", "cluster").join(named, ["game_id", "cluster"])
 
 
 def silhouette(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -235,5 +262,6 @@ def cluster(steps: DataFrame, algorithm: str = "kmeans", measure: str = "jensens
     """Assignment of every usable session by the chosen algorithm; games without enough sessions are left out."""
     ready = readiness(steps, k).where("enough").select("game_id")
     steps = steps.join(ready, "game_id", "left_semi").join(distance.usable(steps).select(*SESSION), SESSION, "left_semi")
-    long = distance.vectors(steps)
-    return kmeans(long, k)[0] if algorithm == "kmeans" else k_medoids(long, measure, k).drop("medoid")
+    if algorithm == "kmeans":
+        return kmeans(distance.vectors(steps), k)[0]
+    return (edit_medoids(steps, k) if measure == "sequence" else k_medoids(distance.vectors(steps), measure, k)).drop("medoid")

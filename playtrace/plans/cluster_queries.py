@@ -31,13 +31,16 @@ def _dist(name: str, centres: str) -> str:
         ON q.game_id = f.game_id AND q.profile = f.profile AND q.run = z.run AND q.cluster = z.cluster)"""
 
 
-def _seeds_sql(k: int = 3, runs: int = clustering.RESTARTS) -> str:
-    """Seeds drawn by weight, then by weight and squared distance to the nearest seed before."""
+def _seeds_sql(k: int = 3, runs: int = clustering.RESTARTS, pairs: str | None = None) -> str:
+    """Seeds drawn by weight, then by weight and squared distance to the nearest seed before; by the distances in pairs, if given."""
     key = lambda step, share: f"-ln((('0x' || substr(md5(profile || ':' || run || ':{step}'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE) / ({share})"
     first = lambda step, rows, share: f"SELECT game_id, run, {step} AS cluster, profile FROM {rows} WHERE {share} > 0 QUALIFY row_number() OVER (PARTITION BY game_id, run ORDER BY {key(step, share)}, profile) = 1"
     out = f", r0 AS (SELECT game_id, profile, weight, CAST(run AS INTEGER) AS run FROM fact, range({runs}) r(run)), sd0 AS MATERIALIZED ({first(0, 'r0', 'weight')})"
     for step in range(1, k):
-        out += f", sc{step} AS MATERIALIZED (SELECT game_id, run, cluster, feature, value FROM cell JOIN sd{step - 1} USING (game_id, profile))" + _dist(f"sq{step}", f"sc{step}")
+        if pairs:
+            out += f", sq{step} AS (SELECT p.game_id, p.profile, p.weight, s.run, p.d * p.d AS d FROM {pairs} p JOIN sd{step - 1} s ON s.game_id = p.game_id AND s.profile = p.other)"
+        else:
+            out += f", sc{step} AS MATERIALIZED (SELECT game_id, run, cluster, feature, value FROM cell JOIN sd{step - 1} USING (game_id, profile))" + _dist(f"sq{step}", f"sc{step}")
         before = f" UNION ALL SELECT game_id, profile, run, weight, d FROM sn{step - 1}" if step > 1 else ""
         out += f", sn{step} AS MATERIALIZED (SELECT game_id, profile, run, max(weight) AS weight, min(d) AS d FROM (SELECT game_id, profile, run, weight, d FROM sq{step}{before}) GROUP BY ALL)"
         out += f", sd{step} AS MATERIALIZED ({first(step, f'sn{step}', 'weight * d')})"
@@ -76,14 +79,27 @@ def _measures(name: str, points: str, point: str, centres: str, centre: str) ->
         ON q.game_id = x.game_id AND q.{point} = x.{point} AND q.{centre} = c.{centre})"""
 
 
-def _medoids_sql(measure: str, rounds: int = clustering.ROUNDS) -> str:
-    out = USABLE + PROFILES + _seeds_sql() + ", m0 AS MATERIALIZED (SELECT game_id, cluster, profile FROM sx WHERE run = 0)"
+# Step strings as profiles: equal ones are one, named by the smallest session.
+TEXTS = """, enc AS MATERIALIZED (SELECT game_id, session_id, replace(replace(replace(replace(replace(replace(path, ' > ', ''), 'click', 'c'), 'purchase', 'p'), 'error', 'e'), 'signup', 's'), 'view', 'v') AS txt FROM us),
+    fact AS MATERIALIZED (SELECT game_id, txt, min(session_id) AS profile, count(*) AS weight FROM enc GROUP BY game_id, txt),
+    pr AS MATERIALIZED (SELECT x.game_id, x.profile, y.profile AS other, x.weight, levenshtein(x.txt, y.txt) / greatest(length(x.txt), length(y.txt)) AS exact, round(exact, 9) AS d
+      FROM fact x JOIN fact y USING (game_id))"""
+
+
+def _all_pairs(measure: str) -> str:
+    """The distances of all profiles of a game; the twin may compare them all."""
+    return PROFILES + ", oth AS (SELECT game_id, profile AS other, feature, value FROM cell)" + _measures("pm", "cell", "profile", "oth", "other") + f""",
+      pr AS MATERIALIZED (SELECT n.game_id, n.profile, n.other, f.weight, greatest(0, {measure}) AS exact, round(greatest(0, {measure}), 9) AS d FROM pm n JOIN fact f ON f.game_id = n.game_id AND f.profile = n.profile)"""
+
+
+def _medoids_sql(measure: str, rounds: int = clustering.MEDOID_ROUNDS) -> str:
+    out = USABLE + (TEXTS if measure == "sequence" else _all_pairs(measure)) + _seeds_sql(3, 1, "pr") + ", m0 AS MATERIALIZED (SELECT game_id, cluster, profile FROM sx)"
     for i in range(rounds):
-        out += f", k{i} AS MATERIALIZED (SELECT game_id, cluster, feature, value FROM cell JOIN m{i} USING (game_id, profile))" + _measures(f"n{i}", "cell", "profile", f"k{i}", "cluster")
-        out += f", e{i} AS (SELECT n.game_id, n.profile, f.weight, 0 AS run, n.cluster, round({measure}, 9) AS d FROM n{i} n JOIN fact f ON f.game_id = n.game_id AND f.profile = n.profile)" + _best(f"a{i}", f"e{i}")
-        out += _mean(f"c{i}", f"a{i}") + _dist(f"d{i}", f"c{i}")
-        out += f""", m{i + 1} AS MATERIALIZED (SELECT a.game_id, a.cluster, a.profile FROM a{i} a JOIN d{i} d ON d.game_id = a.game_id AND d.profile = a.profile AND d.cluster = a.cluster
-          QUALIFY row_number() OVER (PARTITION BY a.game_id, a.cluster ORDER BY d.d, a.profile) = 1)"""
+        out += f""", a{i} AS MATERIALIZED (SELECT p.game_id, p.profile, p.weight, m.cluster FROM pr p JOIN m{i} m ON m.game_id = p.game_id AND m.profile = p.other
+          QUALIFY row_number() OVER (PARTITION BY p.game_id, p.profile ORDER BY p.d, m.cluster) = 1)"""
+        out += f""", m{i + 1} AS MATERIALIZED (SELECT game_id, cluster, profile FROM (SELECT a.game_id, a.cluster, p.other AS profile, sum(p.weight * p.exact) / sum(p.weight) AS mean FROM a{i} a
+            JOIN pr p ON p.game_id = a.game_id AND p.profile = a.profile JOIN a{i} b ON b.game_id = a.game_id AND b.cluster = a.cluster AND b.profile = p.other GROUP BY ALL)
+          QUALIFY row_number() OVER (PARTITION BY game_id, cluster ORDER BY round(mean, 9), profile) = 1)"""
     last = rounds - 1
     return out + f""" SELECT a.game_id, a.cluster, m.profile AS medoid, CAST(sum(a.weight) AS BIGINT) AS size FROM a{last} a
       JOIN m{rounds} m ON m.game_id = a.game_id AND m.cluster = a.cluster GROUP BY ALL"""
@@ -194,13 +210,14 @@ def kmeans_silhouette(spark, d):
 
 def _medoid_query(name: str, measure: str) -> None:
     def run(spark, d):
-        assigned = clustering.k_medoids(distance.vectors(_usable(spark, d)), measure)
+        usable = _usable(spark, d)
+        assigned = clustering.edit_medoids(usable) if measure == "sequence" else clustering.k_medoids(distance.vectors(usable), measure)
         return assigned.groupBy("game_id", "cluster", "medoid").agg(F.count("*").alias("size"))
 
     query(name, _medoids_sql(measure))(run)
 
 
-for _name, _measure in (("medoid_clusters", "jensenshannon"), ("medoid_clusters_manhattan", "manhattan"), ("medoid_clusters_cosine", "cosine")):
+for _name, _measure in (("medoid_clusters", "jensenshannon"), ("medoid_clusters_manhattan", "manhattan"), ("medoid_clusters_cosine", "cosine"), ("medoid_clusters_sequence", "sequence")):
     _medoid_query(_name, _measure)
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from playtrace.operators import clustering, distance
+from playtrace.operators import clustering, distance, medoids
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def _same_partition(assigned, expect):
     return sorted(map(sorted, groups.values())) == sorted(map(sorted, expect))
 
 
-@pytest.mark.parametrize("algorithm,measure", [("kmeans", ""), ("pam", "jensenshannon"), ("pam", "cosine"), ("pam", "euclidean"), ("pam", "manhattan")])
+@pytest.mark.parametrize("algorithm,measure", [("kmeans", ""), ("pam", "jensenshannon"), ("pam", "cosine"), ("pam", "euclidean"), ("pam", "manhattan"), ("pam", "sequence")])
 def test_two_groups_are_found(two_groups, algorithm, measure):
     got = clustering.cluster(two_groups, algorithm, measure, 2)
     assert _same_partition(got, [[f"s{i}" for i in range(10)], [f"t{i}" for i in range(10)]])
@@ -98,11 +98,12 @@ def test_seeds_are_drawn_by_squared_distance(spark):
     points = {f"p{i}": float(i % 3) / 100 for i in range(9)} | {"far": 50.0}
     long = spark.createDataFrame([("g", p, "x", x + 1) for p, x in points.items()], "game_id string, session_id string, feature string, value double")
     _, cells, facts = clustering.profiles(long)
-    seeds = clustering._seeds(cells, facts, 3, 20).collect()
+    squared = lambda seeds: clustering._distances(cells, facts, cells.join(seeds, ["game_id", "profile"]).select("game_id", "run", "cluster", "feature", "value"))
+    seeds = clustering._seeds(facts, 3, 20, squared).collect()
     by = {run: [r["profile"] for r in sorted((x for x in seeds if x["run"] == run), key=lambda x: x["cluster"])] for run in range(20)}
     assert all("far" in own[:2] and len(set(own)) == 3 for own in by.values())
     assert {own[0] for own in by.values()} >= {"p0", "p1", "p2"}  # the first is drawn by weight
-    assert len(clustering._seeds(cells, facts, 8, 1).collect()) == 4
+    assert len(clustering._seeds(facts, 8, 1, squared).collect()) == 4
 
 
 def plain_clusters(points, k, rounds, medoids):
@@ -116,8 +117,8 @@ def plain_clusters(points, k, rounds, medoids):
             break
         for c in range(k):
             own = [points[p] for p in points if got[p] == c]
-            mean = sum(own) / len(own)
-            centres[c] = points[min((round((points[p] - mean) ** 2, 9), p) for p in points if got[p] == c)[1]] if medoids else mean
+            total = lambda p: sum(abs(points[p] - x) for x in own) / len(own)  # noqa: B023, E731
+            centres[c] = points[min((round(total(p), 9), p) for p in points if got[p] == c)[1]] if medoids else sum(own) / len(own)
     return got, done
 
 
@@ -130,3 +131,83 @@ def test_rounds_go_on_until_nothing_moves(spark, medoids, tag, n):
     long = spark.createDataFrame([("g", p, "x", x) for p, x in points.items()], "game_id string, session_id string, feature string, value double").coalesce(1)
     got = clustering.k_medoids(long, "manhattan", 8) if medoids else clustering.kmeans(long, 8, restarts=1)[0]
     assert {r["session_id"]: r["cluster"] for r in got.collect()} == want
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def entropy_distance(a, b):
+    p, q = ({f: v / sum(x.values()) for f, v in x.items()} for x in (a, b))
+    mid = {f: (p.get(f, 0) + q.get(f, 0)) / 2 for f in p | q}
+    part = lambda x: sum(v * math.log2(v / mid[f]) for f, v in x.items() if v)
+    return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+
+PLAIN = {
+    "euclidean": lambda a, b: math.sqrt(sum((a.get(f, 0) - b.get(f, 0)) ** 2 for f in a | b)),
+    "manhattan": lambda a, b: sum(abs(a.get(f, 0) - b.get(f, 0)) for f in a | b),
+    "cosine": lambda a, b: 1 - sum(a[f] * b.get(f, 0) for f in a) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())),
+    "jensenshannon": entropy_distance,
+    "sequence": lambda a, b: edits(a, b) / max(len(a), len(b)),
+}
+
+
+@pytest.mark.parametrize("measure", list(PLAIN))
+def test_medoids_have_the_least_total_distance(spark, measure):
+    """Against all pairs, in two clusters of very unequal size and with weights; ties go to the first profile."""
+    rnd = random.Random(measure)
+    text = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 12)))
+    vector = lambda: {f: rnd.randint(1, 9) / 10 for f in rnd.sample("uvwxyz", rnd.randint(1, 4))}
+    what = {f"p{i:03}": (i % 9 == 0, rnd.choice([1, 1, 2, 30]), text() if measure == "sequence" else vector()) for i in range(150)}
+    rows = [("g", int(c), p, w, len(x) if measure == "sequence" else 0) for p, (c, w, x) in what.items()]
+    members = spark.createDataFrame(rows, "game_id string, part int, profile string, weight long, len int")
+    if measure == "sequence":
+        cells, pairs = None, medoids.text_pairs(spark.createDataFrame([("g", p, x) for p, (_, _, x) in what.items()], "game_id string, profile string, text string"))
+    else:
+        cells = spark.createDataFrame([("g", p, f, v) for p, (_, _, x) in what.items() for f, v in x.items()], "game_id string, profile string, feature string, value double")
+        pairs = medoids.vector_pairs(cells, measure)
+    pivot = pairs(members.select("game_id", "part", "profile"), spark.createDataFrame([("g", 0, "p001"), ("g", 1, "p000")], "game_id string, part int, other string"))
+    found = medoids.totals(members, pivot.join(members, ["game_id", "part", "profile"]), measure, pairs, cells)
+    want = {}
+    for part in (0, 1):
+        own = {p: (w, x) for p, (c, w, x) in what.items() if int(c) == part}
+        total = {p: sum(w * PLAIN[measure](x, y) for w, y in own.values()) for p, (_, x) in own.items()}
+        all_ = sum(w for w, _ in own.values())
+        want[part] = min((round(total[p] / all_, 9), p) for p in own)[1]
+        for r in found.where(F.col("part") == part).collect():
+            assert r["total"] is None or abs(r["total"] - total[r["profile"]]) < 1e-6
+    assert {r["part"]: r["profile"] for r in medoids.best(found).collect()} == want
+
+
+def test_few_members_are_compared_with_their_cluster(spark):
+    """Bounds of pivots leave most members of a cluster out, and an empty table stays empty."""
+    rnd = random.Random(8)
+    n = 1500
+    points = {f"p{i:04}": (rnd.gauss(5, 1), rnd.gauss(5, 1)) for i in range(n)}
+    cells = spark.createDataFrame([("g", p, f, v) for p, x in points.items() for f, v in zip("xy", x)], "game_id string, profile string, feature string, value double")
+    members = spark.createDataFrame([("g", 0, p, 1, 0) for p in points], "game_id string, part int, profile string, weight long, len int")
+    pairs = medoids.vector_pairs(cells, "euclidean")
+    far = pairs(members.select("game_id", "part", "profile"), members.limit(3).select("game_id", "part", F.col("profile").alias("other")))
+    found = medoids.totals(members, far.join(members, ["game_id", "part", "profile"]), "euclidean", pairs, cells)
+    total = {p: sum(math.dist(x, y) for y in points.values()) for p, x in points.items()}
+    assert medoids.best(found).first()["profile"] == min(total, key=lambda p: (round(total[p] / n, 9), p))
+    assert found.agg(F.sum("compared")).first()[0] < n * n / 4
+    none = members.limit(0)
+    assert medoids.best(medoids.totals(none, far.join(none, ["game_id", "part", "profile"]), "euclidean", pairs, cells)).isEmpty()
+
+
+def test_edit_medoids_keep_every_session(make_steps):
+    rnd = random.Random(5)
+    sessions = {(g, f"s{i}"): "".join(rnd.choice("abcd") for _ in range(rnd.randint(2, 9))) for g in "gh" for i in range(40)}
+    rows = clustering.edit_medoids(make_steps(sessions), 3).collect()
+    assert sorted((r["game_id"], r["session_id"]) for r in rows) == sorted(sessions)
+    text = {(r["game_id"], r["medoid"]) for r in rows}
+    for r in rows:  # everyone is with the nearest medoid of its game
+        own = PLAIN["sequence"](sessions[r["game_id"], r["session_id"]], sessions[r["game_id"], r["medoid"]])
+        assert own <= min(PLAIN["sequence"](sessions[r["game_id"], r["session_id"]], sessions[m]) for m in text if m[0] == r["game_id"]) + 1e-9
