@@ -170,14 +170,21 @@ def _medoids(facts: DataFrame, measure: str, pairs: medoids.Pairs, cells: DataFr
             F.max("weight").alias("weight"), F.max("len").alias("len"), F.array_sort(F.collect_list(F.struct("d", "cluster", "raw"))).alias("near")
         )  # at most eight centres
         assigned = durable(each.withColumn("cluster", F.col("near")[0]["cluster"]))
-        if before is not None and not _moved(assigned, before):
-            break
         own = assigned.withColumn("part", F.col("cluster"))
+        if before is not None:  # a cluster with the same members keeps its medoid
+            old = before.select("game_id", "profile", F.col("cluster").alias("old"))
+            moved = assigned.select("game_id", "profile", "cluster").join(old, ["game_id", "profile"]).where("cluster <> old")
+            changed = durable(moved.select("game_id", F.explode(F.array("cluster", "old")).alias("part")).distinct())
+            if changed.isEmpty():
+                break
+            own = own.join(changed, ["game_id", "part"], "left_semi")
         rows = own.select("game_id", "part", "profile", "weight", "len")
         pivots = own.select(*rows.columns, F.explode("near").alias("n")).select(*rows.columns, F.col("n.cluster").alias("other"), F.col("n.raw").alias("raw"))
         least = medoids.best(medoids.totals(rows, pivots, measure, pairs, cells))
-        centres = durable(least.select("game_id", F.lit(0).alias("run"), F.col("part").alias("cluster"), "profile"))
-        before = assigned
+        new = least.select("game_id", F.lit(0).alias("run"), F.col("part").alias("cluster"), "profile")
+        if before is not None:
+            new = new.unionByName(centres.join(new, ["game_id", "cluster"], "left_anti"))
+        centres, before = durable(new), assigned
     named = centres.select("game_id", "cluster", F.col("profile").alias("medoid"))
     return assigned.select("game_id", "profile", "cluster").join(named, ["game_id", "cluster"])
 

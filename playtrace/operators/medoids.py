@@ -6,8 +6,9 @@ Rows named ``profile`` stand for ``weight`` equal sessions; ``part`` is a cluste
 * Manhattan: the total is a sum over features, and each feature's follows from running sums over its sorted values.
 * Euclidean, Jensen-Shannon and edit distance: bounds from pivots. By the triangle inequality a member's total is at least
   the sum over groups of members of |group weight * distance to the pivot - the group's total distance to the pivot|.
-  Members of the least bounds are compared with their whole cluster, some of them become pivots, and the search ends when no
-  bound is below the best total. Every measure here is a metric, but for the edit distance over the longer length: there the
+  Members of the least bounds and drawn ones are compared with their whole cluster. Their totals bound those of the members near
+  them, some of them become pivots, and the search ends when no bound is below the best total. In many dimensions bounds are
+  weak and most members are compared, but never more than a batch at once. Every measure here is a metric, but for the edit distance over the longer length: there the
   plain edit distance makes the bounds, in groups of alike length.
 """
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from playtrace.operators import distance, ordered
 from playtrace.session import durable
 
-BATCH = 64  # members of a cluster compared in the first step; four times as many in each further one
-PIVOTS = 4  # of these, how many become pivots
+BATCH = 96  # members of a cluster of least bounds, and as many drawn ones, compared in the first step; twice as many in each further one
+PIVOTS = 16  # drawn members of a step that become pivots
 BINS = 16  # groups of a pivot's distances in a range of one
 DIGITS = 9  # means are compared to so many digits, as sums have no fixed order
 PART = ["game_id", "part"]
@@ -86,22 +87,29 @@ def _searched(members: DataFrame, near: DataFrame, pairs: Pairs) -> DataFrame:
         best = state.groupBy(*PART).agg(F.min("total").alias("best"), F.sum("weight").alias("all"))
         able = F.col("total").isNull() & (F.col("best").isNull() | (F.col("low") <= F.col("best") + F.col("all") * 10.0 ** (1 - DIGITS)))
         left = state.join(best, PART).where(able)
-        tried = ordered.top_k(left, PART, ["low", "profile"], batch).select(*PART, F.col("profile").alias("other"), F.col("len").alias("_len"), "rank")
-        tried = durable(tried)
+        least = ordered.top_k(left, PART, ["low", "profile"], batch)
+        drawn = ordered.top_k(left.withColumn("_h", F.xxhash64("profile")), PART, ["_h", "profile"], batch).drop("_h")
+        both = least.withColumn("pivot", F.lit(False)).unionByName(drawn.withColumn("pivot", F.col("rank") <= PIVOTS))
+        tried = durable(both.groupBy(*PART, F.col("profile").alias("other")).agg(F.max("len").alias("_len"), F.max("all").alias("_all"), F.max("pivot").alias("pivot")))
         if tried.isEmpty():
             return state
-        d = pairs(everyone, tried.select(*PART, "other")).join(members, [*PART, "profile"]).join(tried.drop("rank"), [*PART, "other"])
-        totals = d.groupBy(*PART, F.col("other").alias("profile")).agg(
-            F.sum(F.col("weight") * scaled(F.col("raw"), F.col("len"), F.col("_len"))).alias("_total"), F.count("*").alias("_compared")
+        d = pairs(everyone, tried.select(*PART, "other")).join(members, [*PART, "profile"])
+        totals = durable(
+            d.join(tried, [*PART, "other"]).groupBy(*PART, "other", "_len", "_all").agg(
+                F.sum(F.col("weight") * scaled(F.col("raw"), F.col("len"), F.col("_len"))).alias("_total"), F.count("*").alias("_compared")
+            )
         )
-        pivots = pairs(everyone, tried.where(F.col("rank") <= PIVOTS).select(*PART, "other")).join(members, [*PART, "profile"])
-        bounds = _bounds(pivots).withColumnRenamed("low", "_low")
+        pivots = pairs(everyone, tried.where("pivot").select(*PART, "other")).join(members, [*PART, "profile"])
+        # of vectors, also: a total differs by no more than the distance times all weights
+        around = d.join(totals, [*PART, "other"]).where("_len = 0").groupBy(*PART, "profile").agg(F.max(F.col("_total") - F.col("_all") * F.col("raw")).alias("low"))
+        bounds = _bounds(pivots).unionByName(around).groupBy(*PART, "profile").agg(F.max("low").alias("_low"))
+        totals = totals.select(*PART, F.col("other").alias("profile"), "_total", "_compared")
         state = durable(
             state.join(bounds, [*PART, "profile"], "left").join(totals, [*PART, "profile"], "left").select(
                 *members.columns, F.greatest("low", "_low").alias("low"), F.coalesce("total", "_total").alias("total"), F.coalesce("compared", "_compared").alias("compared")
             )
         )
-        batch *= 4
+        batch *= 2
 
 
 def _cosine_totals(members: DataFrame, cells: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def plain_clusters(points, k, rounds, medoids):
     return got, done
 
 
-@pytest.mark.parametrize("medoids,tag,n", [(False, 0, 200), (True, 2, 250)])
+@pytest.mark.parametrize("medoids,tag,n", [(False, 0, 200), (True, 4, 150)])
 def test_rounds_go_on_until_nothing_moves(spark, medoids, tag, n):
     assert (clustering.KMEANS_ROUNDS, clustering.MEDOID_ROUNDS) == (40, 50)
     points = {f"{tag}p{i}": float(i) for i in range(n)}

@@ -158,3 +158,25 @@ def test_readiness_findings(spark):
     assert kinds["points"] == "number" and kinds["stars"] == "empty" and kinds["case"] == "text"
     facts, _, sample = profile.pre_check(raw)
     assert facts["warnings"] and sample.count() == 8
+
+
+@pytest.mark.parametrize("offset,limit", [(0, 3), (2, 5), (40, 20), (97, 10), (110, 100), (10**9, 5)])
+def test_a_page_is_cut_from_few_ranges_of_ids(spark, monkeypatch, offset, limit):
+    """Crowded and empty stretches of ids, games of very unequal size, an event of an unknown player."""
+    monkeypatch.setattr(exports, "PAGE_ROWS", 8)
+    monkeypatch.setattr(exports, "RANGES", 4)
+    ids = {"a": [*range(60), *range(10_000, 10_050), 2**40], "b": [5, 2**33], "c": [7]}
+    rows = [(i, 9 if g == "c" else 1, g, "s", 0, "t", 1000, "{}", None) for g, own in ids.items() for i in own]
+    events = spark.createDataFrame(rows, "id long, player_id long, game_id string, session_id string, seq int, type string, t_ms long, payload string, created_at timestamp_ntz")
+    players = spark.createDataFrame([(1, "ann")], "id long, username string")
+    got = [(r["game_id"], r["rank"], r["id"], r["total"]) for r in exports.feed(events, players, limit=limit, offset=offset).collect()]
+    want = [(g, k, i, len(own)) for g, own in ids.items() if g != "c" for k, i in enumerate(sorted(own, reverse=True), 1) if offset < k <= offset + limit]
+    assert sorted(got) == want
+    if offset == 40:  # the ranges that are ordered hold little more than the page
+        spans, _, _ = exports._spans(events.select("game_id", "id"), 40, 46)
+        assert [r["game_id"] for r in spans.collect()] == ["a"] and spans.first()["events"] < 40
+
+
+def test_a_page_of_no_events(spark):
+    events = spark.createDataFrame([], "id long, player_id long, game_id string, session_id string, seq int, type string, t_ms long, payload string, created_at timestamp_ntz")
+    assert exports.feed(events, spark.createDataFrame([(1, "ann")], "id long, username string")).isEmpty()
