@@ -20,7 +20,6 @@ from playtrace.session import durable
 RESTARTS = 4
 KMEANS_ROUNDS = 40
 MEDOID_ROUNDS = 50
-ROUNDS = 20  # only of the SQL twins, which unroll them; they agree where nothing moves after so many
 TOP_STATES = 4
 SAMPLE_ROWS = 24
 SAMPLE_STEPS = 60

@@ -57,7 +57,7 @@ def _mean(name: str, assigned: str) -> str:
       JOIN (SELECT game_id, run, cluster, sum(weight) AS total FROM {assigned} GROUP BY ALL) t ON t.game_id = a.game_id AND t.run = a.run AND t.cluster = a.cluster GROUP BY ALL)"""
 
 
-def _kmeans_sql(rounds: int = clustering.ROUNDS) -> str:
+def _kmeans_sql(rounds: int = clustering.KMEANS_ROUNDS) -> str:
     out = USABLE + PROFILES + _seeds_sql() + ", c0 AS MATERIALIZED (SELECT game_id, run, cluster, feature, value FROM cell JOIN sx USING (game_id, profile))" + _dist("d0", "c0") + _best("a0", "d0")
     for i in range(1, rounds + 1):
         out += _mean(f"c{i}", f"a{i - 1}") + _dist(f"d{i}", f"c{i}") + _best(f"a{i}", f"d{i}")
