@@ -159,8 +159,10 @@ PLAIN = {
 
 
 @pytest.mark.parametrize("measure", list(PLAIN))
-def test_medoids_have_the_least_total_distance(spark, measure):
-    """Against all pairs, in two clusters of very unequal size and with weights; ties go to the first profile."""
+def test_medoids_have_the_least_total_distance(spark, monkeypatch, measure):
+    """Against all pairs, in two clusters of very unequal size and with weights, in several steps; ties go to the first profile."""
+    monkeypatch.setattr(medoids, "BATCH", 10)
+    monkeypatch.setattr(medoids, "PIVOTS", 4)
     rnd = random.Random(measure)
     text = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 12)))
     vector = lambda: {f: rnd.randint(1, 9) / 10 for f in rnd.sample("uvwxyz", rnd.randint(1, 4))}
