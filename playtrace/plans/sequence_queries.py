@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from playtrace.functions.scalars import round_half_up
@@ -295,13 +297,67 @@ def network_centrality_by_frequency(spark, d):
     return network.centrality(*network.model(t.steps(spark, d), "frequency"))
 
 
-@query("bootstrap_edges")
+def mixed_sql(z: str, name: str) -> str:
+    """bootstrap.mixed as columns, the last one called ``name``; 64-bit wrap-around by a remainder of 128-bit products."""
+    wrap = f"% {1 << 64}::UHUGEINT"
+    return f"""({z}) {wrap} AS {name}0, (xor({name}0, {name}0 >> 30) * {bootstrap.MIX1}::UHUGEINT) {wrap} AS {name}1,
+      (xor({name}1, {name}1 >> 27) * {bootstrap.MIX2}::UHUGEINT) {wrap} AS {name}2, xor({name}2, {name}2 >> 31) AS {name}"""
+
+
+def bootstrap_sql(weight: str, iterations: int, level: float, seed: int = 42) -> str:
+    """The resample of operators/bootstrap.py, up to the weights ``w`` of every observed edge in every replicate."""
+    offset, step, digits = f"{bootstrap.seed_offset(seed)}::UHUGEINT", f"{bootstrap.STEP}::UHUGEINT", bootstrap.KEY_BITS // 4
+    lo, hi = math.floor(level / 2 * iterations), min(iterations - 1, math.ceil((1 - level / 2) * iterations) - 1)
+    resampled = '"count"::DOUBLE' if weight == "frequency" else '"count" / sum("count") OVER (PARTITION BY game_id, replicate, src)'
+    return NET + f""", one AS (SELECT game_id, session_id, src, dst, count(*) AS n FROM tr GROUP BY ALL),
+  sets AS (SELECT game_id, session_id, string_agg(src || chr(31) || dst || chr(31) || n, chr(30) ORDER BY src, dst) AS edges FROM one GROUP BY ALL),
+  prof AS (SELECT game_id, coalesce(edges, '') AS edges, count(*) AS weight, min(session_id) AS example,
+    ('0x' || substr(md5(game_id || chr(30) || coalesce(edges, '')), 1, {digits}))::BIGINT AS key
+    FROM (SELECT DISTINCT game_id, session_id FROM ev) LEFT JOIN sets USING (game_id, session_id) GROUP BY ALL),
+  games AS (SELECT game_id, CAST(sum(weight) AS BIGINT) AS sessions, ('0x' || substr(md5(game_id), 1, {digits}))::UHUGEINT AS game_key FROM prof GROUP BY 1),
+  laid AS (SELECT prof.*, sessions, sum(weight) OVER (PARTITION BY game_id ORDER BY key) - weight AS start FROM prof JOIN games USING (game_id)),
+  means AS (SELECT DISTINCT game_id, weight, weight * (greatest(0, sessions - {bootstrap.SPARE} * sqrt(sessions)) / sessions) AS mean FROM laid),
+  tbl AS (SELECT game_id, weight, k, sum(p) OVER (PARTITION BY game_id, weight ORDER BY k) AS below FROM (
+    SELECT *, CASE WHEN mean = 0 THEN (k = 0)::INT ELSE exp(k * ln(mean) - mean - lgamma(k + 1.0)) END AS p FROM (
+      SELECT *, unnest(range(greatest(0, floor(mean - 9 * sqrt(mean) - 20)::BIGINT), ceil(mean + 9 * sqrt(mean) + 20)::BIGINT + 1)) AS k FROM means))),
+  inv AS (SELECT game_id, weight, 0.0::DOUBLE AS above, min(k) AS k FROM tbl GROUP BY 1, 2
+    UNION ALL SELECT game_id, weight, max(below), k + 1 FROM tbl GROUP BY game_id, weight, k),
+  reps AS (SELECT unnest(range({iterations})) AS replicate),
+  luck AS (SELECT game_id, key, weight, replicate, {mixed_sql(f"key::UHUGEINT + {offset} + (replicate + 1)::UHUGEINT * {step}", "z")},
+    (z >> 11)::DOUBLE / {1 << 53} AS u FROM prof, reps),
+  pois AS (SELECT l.game_id, l.key, l.replicate, i.k AS times FROM (SELECT game_id, key, weight, replicate, u FROM luck) l
+    ASOF JOIN (SELECT game_id, weight, above, max(k) AS k FROM inv GROUP BY 1, 2, 3) i ON l.game_id = i.game_id AND l.weight = i.weight AND l.u >= i.above),
+  short AS (SELECT g.game_id, replicate, sessions, {mixed_sql(f"game_key + {offset} + (replicate + 1)::UHUGEINT * {step}", "s")},
+    unnest(range(greatest(0, sessions - drawn))) AS j
+    FROM (SELECT game_id, replicate, CAST(sum(times) AS BIGINT) AS drawn FROM pois GROUP BY 1, 2) JOIN games g USING (game_id)),
+  thrown AS (SELECT game_id, replicate, {mixed_sql(f"s + (j + 1)::UHUGEINT * {step}", "z")},
+    floor((z >> 11)::DOUBLE / {1 << 53} * sessions)::BIGINT AS place FROM short),
+  extra AS (SELECT t.game_id, l.key, t.replicate, count(*) AS times FROM (SELECT game_id, replicate, place FROM thrown) t
+    ASOF JOIN laid l ON t.game_id = l.game_id AND t.place >= l.start GROUP BY 1, 2, 3),
+  times AS (SELECT game_id, key, replicate, CAST(sum(times) AS BIGINT) AS times FROM (FROM pois UNION ALL FROM extra) GROUP BY 1, 2, 3),
+  resampled AS (SELECT *, {resampled} AS w FROM (
+    SELECT t.game_id, t.replicate, o.src, o.dst, CAST(sum(times * o.n) AS BIGINT) AS "count" FROM times t JOIN prof p USING (game_id, key)
+    JOIN one o ON o.game_id = p.game_id AND o.session_id = p.example WHERE times > 0 GROUP BY 1, 2, 3, 4)),
+  judged AS (SELECT e.game_id, e.src, e.dst, {'any_value(e."count")::DOUBLE' if weight == "frequency" else "any_value(e.probability)"} AS weight,
+    list_sort(list(coalesce(w, 0))) AS ws, count(w) AS present
+    FROM ed e JOIN games g ON g.game_id = e.game_id AND sessions >= {bootstrap.MIN_SESSIONS}, reps
+    LEFT JOIN resampled x ON x.game_id = e.game_id AND x.src = e.src AND x.dst = e.dst AND x.replicate = reps.replicate GROUP BY 1, 2, 3),
+  boot AS (SELECT game_id, src, dst, {r('weight')} AS weight, {r('list_sum(ws) / ' + str(iterations))} AS bootstrap_mean,
+    {r(f'ws[{lo + 1}]')} AS ci_lower, {r(f'ws[{hi + 1}]')} AS ci_upper, {r(f'({iterations} - present) / {iterations}')} AS p_value,
+    ({iterations} - present) / {iterations} <= {level} AND ws[{lo + 1}] > 0 AS significant FROM judged)"""
+
+
+@query("bootstrap_edges", bootstrap_sql("probability", *bootstrap.settings()) + " SELECT * FROM boot")
 def bootstrap_edges(spark, d):
     steps = t.steps(spark, d)
     return bootstrap.table_order(bootstrap.validate(sequences.transitions(steps), sequences.session_ends(steps)))
 
 
-@query("bootstrap_summary")
+@query(
+    "bootstrap_summary",
+    bootstrap_sql("frequency", *bootstrap.settings())
+    + " SELECT game_id, count(*) FILTER (WHERE significant) AS significant, count(*) AS total FROM boot GROUP BY 1",
+)
 def bootstrap_summary(spark, d):
     steps = t.steps(spark, d)
     return bootstrap.summary(bootstrap.validate(sequences.transitions(steps), sequences.session_ends(steps), "frequency"))

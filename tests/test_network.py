@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from playtrace.operators import bootstrap, network, sequences
@@ -65,6 +66,39 @@ def test_bootstrap_replicates_draw_as_many_sessions(make_steps, monkeypatch):
     assert 6 < sum(r["kinds"] for r in per) / 60 < 9.3  # about 12 (1 - 1/e)
 
 
+def test_bootstrap_does_not_depend_on_buckets(make_steps, monkeypatch):
+    steps = make_steps({("g", f"s{i}"): ["x", f"y{i % 9}", f"z{i % 4}"] for i in range(150)} | {("h", "1"): "ab", ("h", "2"): "a"})
+    tr, ends = sequences.transitions(steps), sequences.session_ends(steps)
+    whole = sorted(map(tuple, bootstrap.replicate_counts(tr, ends, 50).collect()))
+    monkeypatch.setattr(bootstrap, "BUCKET_PROFILES", 3)
+    monkeypatch.setattr(bootstrap, "THROWN", 7)
+    assert whole == sorted(map(tuple, bootstrap.replicate_counts(tr, ends, 50).collect()))
+    first = {}
+    for game, replicate, src, _, n in whole:
+        first[game, replicate, src] = first.get((game, replicate, src), 0) + n
+    assert all(first["g", i, "x"] == 150 for i in range(50))
+    assert all(first.get(("h", i, "a"), 0) <= 2 for i in range(50))  # a session of one step is drawn too
+    assert any(("h", i, "a") not in first for i in range(50))
+
+
+def test_bootstrap_counts_follow_the_binomial(make_steps):
+    steps = make_steps({("g", f"s{i}"): "ab" if i < 360 else "cd" for i in range(400)})
+    counts = bootstrap.replicate_counts(sequences.transitions(steps), sequences.session_ends(steps), 600)
+    n = np.array([r["count"] for r in counts.where("src = 'a'").collect()])
+    assert len(n) == 600
+    assert abs(n.mean() - 360) < 4 * 6 / 600**0.5 and abs(n.std() - 6) < 0.8  # B(400, .9): deviation 6
+
+
+def test_poisson_table_is_the_distribution():
+    for mean in (0.3, 5.0, 2_000.0, 4e6):
+        low, below = bootstrap._poisson(mean)
+        p = np.diff(below, prepend=0.0)
+        k = low + np.arange(len(p))
+        assert abs(below[-1] - 1) < 1e-6
+        assert abs((p * k).sum() / mean - 1) < 1e-5 and abs((p * (k - mean) ** 2).sum() / mean - 1) < 1e-3
+    assert bootstrap._poisson(0.0)[0] == 0
+
+
 def test_bootstrap_needs_three_sessions(make_steps):
     assert not _validated(make_steps({("g", "1"): "ab", ("g", "2"): "ab"}))
 
