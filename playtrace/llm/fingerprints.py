@@ -6,7 +6,9 @@ shingles. Everything is a column expression. A text of fewer words is one shingl
 which resembles only itself.
 
 ``edited`` gives each document the beginning of the next one in place of its second half. The next document is found in
-ranges of ids: each range is sorted by itself, with the first document of the following range at its end.
+ranges of (id, first characters of the text): each range is sorted by itself, with the first document of the following
+range at its end. The ranges are cut at quantiles of a sample, as many as the bytes of the table ask for; they only share
+out the work, so the sample changes no result. Ids may be of any type that can be ordered.
 
 Nulls: a null text counts as empty; null ids come first in the order. Rows with equal ids follow each other in the order of
 their texts. In a table of one row the next document is the document itself.
@@ -16,10 +18,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playtrace.llm.common import WORD, query, table
+from playtrace.session import durable
 
-K, SHINGLE, RANGES = 128, 5, 256
+K, SHINGLE = 128, 5
+RANGES, MAX_RANGES = 256, 1 << 16
+RANGE_BYTES = 64 << 20
+SAMPLES = 8  # sampled rows for each range; at most 524,288, in one row
+BEGINNING = 64  # characters of a text that part rows of one id
 
 
 def sketch(text: Column, k: int = K, shingle: int = SHINGLE) -> Column:
@@ -63,39 +71,41 @@ def written(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def _choose(value: Column, cuts: list, low: int = 0) -> Column:
-    """The number of cuts at or below value, by halving."""
-    if not cuts:
-        return F.lit(low)
-    m = len(cuts) // 2
-    return F.when(value < F.lit(cuts[m]), _choose(value, cuts[:m], low)).otherwise(_choose(value, cuts[m + 1 :], low + m + 1))
+def _place() -> Column:
+    """What ranges are cut by; in Spark's order of structs nulls come first."""
+    return F.struct(F.col("doc_id"), F.substring("text", 1, BEGINNING).alias("beginning"))
 
 
-def _ranges(docs: DataFrame) -> Column:
-    """The number of a row's range of ids: quantiles, each cut evenly when the session asks for more partitions; -1 for null."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], 20 * RANGES), F.min("doc_id"), F.max("doc_id")).first()
-    if cuts[0] is None:
-        return F.lit(-1)
-    inner = sorted({c for c in cuts[0] if c > cuts[1]})
-    number = _choose(F.col("doc_id"), inner)
-    finer = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // RANGES)
-    if finer > 1:
-        edges = F.array(*[F.lit(float(c)) for c in [cuts[1], *inner, cuts[2] + 1]])
-        low, high = F.element_at(edges, number + 1), F.element_at(edges, number + 2)
-        within = F.floor((F.col("doc_id") - low) / (high - low) * finer)
-        number = number * finer + F.greatest(F.lit(0), F.least(F.lit(finer - 1), within))
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(number).cast("long")
+def _ranged(rows: DataFrame) -> DataFrame:
+    """The rows with the number of their range, ``_range``. The number of cuts at or below a row is found in two steps of about their root."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(MAX_RANGES, max(2, RANGES, partitions, -(-size // RANGE_BYTES)))
+    step = int((n - 1) ** 0.5)
+    chance = F.xxhash64("doc_id", F.monotonically_increasing_id())
+    sample = rows.select(_place().alias("place"), chance.alias("chance")).orderBy("chance").limit(n * SAMPLES)
+    at = lambda i: F.element_at("all", F.floor(i.cast("long") * F.size("all") / n).cast("int") + 1)
+    fine = F.when(F.size("all") > 0, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), at))
+    cuts = durable(sample.agg(F.sort_array(F.collect_list("place")).alias("all")).select(fine.alias("fine")))
+    coarse = cuts.select(F.filter("fine", lambda _, i: i % step == 0)).scalar()
+    below = lambda some, place: F.size(F.filter(some, lambda cut: cut <= place))
+    marked = rows.withColumns({"_place": _place(), "_coarse": coarse, "_fine": cuts.scalar()})
+    marked = marked.withColumn("_block", F.greatest(below(F.col("_coarse"), F.col("_place")) - 1, F.lit(0)) * step)
+    rest = below(F.slice("_fine", F.col("_block") + 1, step), F.col("_place"))
+    return marked.withColumn("_range", F.col("_block") + rest).drop("_coarse", "_fine", "_block")
 
 
 def edited(docs: DataFrame, k: int = K) -> DataFrame:
     """For every row: doc_id, text, next_text, edited_text, and the sketches sketch, next_sketch, edited_sketch."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("_range", _ranges(docs))
-    ids = rows.groupBy("_range").agg(F.min("doc_id").alias("_first"))  # one id for each range, whose number is bounded
-    heads = rows.join(F.broadcast(ids.withColumnRenamed("_range", "_r")), (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_first")), "leftsemi")
-    heads = heads.groupBy("_range", "doc_id").agg(F.min("text").alias("text"))  # one row for each range
-    order = Window.partitionBy(F.lit(0)).orderBy("_range")  # over the ranges, whose number is bounded
-    ring = heads.select("doc_id", "text", F.coalesce(F.lag("_range").over(order), F.max("_range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_range"))
+    rows = _ranged(docs.select("doc_id", text.alias("text")))
+    firsts = rows.groupBy("_range").agg(F.min("_place").alias("_first"))  # one row for each range, whose number is bounded
+    order = Window.partitionBy(F.lit(0)).orderBy("_range")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = firsts.select("_range", "_first", F.coalesce(F.lag("_range").over(order), F.max("_range").over(whole)).alias("_before"))
+    heads = rows.withColumnRenamed("_range", "_r").join(F.broadcast(before), (F.col("_r") == F.col("_range")) & F.col("_place").eqNullSafe(F.col("_first")))
+    ring = heads.groupBy("_before", "doc_id").agg(F.min("text").alias("text")).withColumnRenamed("_before", "_range")
+    rows = rows.drop("_place")
     both = rows.withColumn("_copy", F.lit(0)).unionByName(ring.withColumn("_copy", F.lit(1))).withColumn("sketch", sketch(F.col("text"), k))
     follow = Window.partitionBy("_range").orderBy("_copy", "doc_id", "text")
     both = both.withColumns({"next_text": F.lead("text").over(follow), "next_sketch": F.lead("sketch").over(follow)}).where("_copy = 0")

@@ -1,5 +1,6 @@
 """Line and byte repeats, near copies, fingerprints, token counts."""
 
+import datetime
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -320,3 +321,19 @@ def test_recount(spark, docs, rows, none):
     assert all(r._n_edited == whole((r.text or "") + " end") for r in got)
     none_at_all = F.lit(None).cast("array<struct<start:int,stop:int,text:string>>")
     assert all(r._n_edited == r._n_tokens for r in token_counts.recount(token_counts.count_trees(docs, ["text"]), none_at_all).collect())
+
+
+def test_fingerprints_with_ids_of_any_type(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGES", 40)
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abc d") for _ in range(rnd.randrange(90))) for _ in range(300)]
+    kinds = {
+        "string": [None if i % 3 else f"é{i % 70}" for i in range(300)],  # most rows share the null id
+        "long": [(1 << 60) + i % 50 for i in range(300)],
+        "date": [datetime.date(2024, 1, 1 + i % 28) for i in range(300)],
+    }
+    for kind, ids in kinds.items():
+        got = fingerprints.edited(spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string").repartition(5))
+        order = sorted(zip(ids, texts), key=lambda r: (r[0] is not None, r[0].encode() if isinstance(r[0], str) else r[0] or 0, r[1].encode()))
+        want = [(i, t, order[(n + 1) % len(order)][1]) for n, (i, t) in enumerate(order)]
+        assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text, r.next_text)) for r in got.collect()), kind
