@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -18,6 +18,7 @@ from playtrace.session import shared_dir
 
 # What a client sends along with an event, so a resent one has the same.
 RESEND_KEY = ("game_id", "player_id", "session_id", "seq", "t_ms")
+FAN = 8  # tables of one level that are merged into one of the next
 IDLE_MS = 24 * 3_600_000  # a session silent for so long behind the watermark is over
 
 
@@ -60,34 +61,66 @@ def append_to(stream: DataFrame, path: str, late: list[int] | None = None) -> Da
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _keep_batches(stream: DataFrame, path: str, mode: str) -> DataFrame:
-    """Write each micro-batch under its number, so a repeated batch replaces itself."""
-    spark = stream.sparkSession
+def _complete_tables(spark, path: str) -> list[tuple[int, int]]:
+    """(level, first batch) of every table below ``path`` that was written to its end."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*/*/_SUCCESS")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    parents = [f.getPath().getParent() for f in found]
+    return sorted((int(p.getParent().getName()), int(p.getName())) for p in parents)
 
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    _drain(stream.writeStream.foreachBatch(save).outputMode(mode), spark)
-    return spark.read.parquet(path)
+def _covering(tables: list[tuple[int, int]], number: int) -> int:
+    """The highest level whose table holds this batch, or -1."""
+    return max((level for level, start in tables if start <= number < start + FAN**level), default=-1)
 
 
-def last_seen(stream: DataFrame, path: str) -> DataFrame:
-    """Latest event time of each player: every batch adds its maxima, readers merge them."""
-    spark = stream.sparkSession
+def _add_batch(batch: DataFrame, number: int, path: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Keep a batch as a table of level 0; FAN neighbouring tables of a level become one of the next.
+
+    A table's name says which batches it holds, so a repeated batch replaces itself or is known to be merged already.
+    Tables that were merged before this batch are deleted, so a reader has the time of a batch to finish.
+    """
+    spark = batch.sparkSession
+    before = _complete_tables(spark, path)
+    level = _covering(before, number)
+    if level < 1:
+        merge(batch).write.mode("overwrite").parquet(f"{path}/0/{number}")
+        level = 0
+    while (number + 1) % FAN ** (level + 1) == 0:
+        start = number + 1 - FAN ** (level + 1)
+        parts = [f"{path}/{level}/{at}" for of, at in _complete_tables(spark, path) if of == level and start <= at <= number]
+        level += 1
+        merge(spark.read.parquet(*parts)).write.mode("overwrite").parquet(f"{path}/{level}/{start}")
+    for low, start in before:
+        if _covering(before, start) > low:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{low}/{start}")
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _read_merged(spark, path: str, merge: Callable[[DataFrame], DataFrame], schema) -> DataFrame:
+    """All batches, each from the table of the highest level that holds it."""
+    tables = _complete_tables(spark, path)
+    top = [f"{path}/{level}/{start}" for level, start in tables if _covering(tables, start) == level]
+    return merge(spark.read.schema(schema).parquet(*top) if top else spark.createDataFrame([], schema))
 
-    def save(batch: DataFrame, number: int) -> None:
-        top = batch.groupBy("player_id").agg(F.max("created_at").alias("last_seen_at"))
-        top.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    _drain(stream.writeStream.foreachBatch(save), spark)
-    return spark.read.parquet(path).groupBy("player_id").agg(F.max("last_seen_at").alias("last_seen_at"))
+def last_seen(stream: DataFrame, path: str) -> DataFrame:
+    """Latest event time of each player: every batch adds its maxima, readers merge them. ``path`` belongs to this stream."""
+    spark = stream.sparkSession
+    latest = lambda df: df.groupBy("player_id").agg(F.max("last_seen_at").alias("last_seen_at"))
+    seen = stream.select("player_id", F.col("created_at").alias("last_seen_at"))
+    _drain(seen.writeStream.foreachBatch(lambda batch, number: _add_batch(batch, number, path, latest)), spark)
+    return _read_merged(spark, path, latest, seen.schema)
 
 
 def running_totals(stream: DataFrame, path: str) -> DataFrame:
-    """Events per game, refreshed by every batch; the newest figure of each game counts."""
+    """Events per game, refreshed by every batch; the newest figure of each game counts. ``path`` belongs to this stream."""
+    spark = stream.sparkSession
+    newest = lambda df: df.groupBy("game_id").agg(F.max_by("events", "batch").alias("events"), F.max("batch").alias("batch"))
     counts = stream.groupBy("game_id").agg(F.count("*").alias("events"))
-    every = _keep_batches(counts, path, "update")
-    return every.groupBy("game_id").agg(F.max_by("events", "batch").alias("events"))
+    save = lambda batch, number: _add_batch(batch.withColumn("batch", F.lit(number).cast("long")), number, path, newest)
+    _drain(counts.writeStream.foreachBatch(save).outputMode("update"), spark)
+    return _read_merged(spark, path, newest, "game_id string, events long, batch long").select("game_id", "events")
 
 
 def _pairs(steps: list[tuple]) -> Counter:

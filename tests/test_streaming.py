@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from playtrace.operators import sequences
 from playtrace.streaming import feeds
 
@@ -70,3 +72,20 @@ def test_last_seen_and_totals(spark, tmp_path):
     seen = {r["player_id"]: r["last_seen_at"] for r in feeds.last_seen(stream, str(tmp_path / "seen")).collect()}
     assert seen == {p: DAY + dt.timedelta(seconds=27 + p) for p in range(3)}
     assert feeds.running_totals(stream, str(tmp_path / "totals")).first()["events"] == 30
+
+
+def test_batches_are_merged_into_few_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "FAN", 3)
+    path = str(tmp_path / "t")
+    newest = lambda df: df.groupBy("k").agg(F.max_by("v", "batch").alias("v"), F.max("batch").alias("batch"))
+    schema = "k long, v long, batch long"
+    add = lambda n: feeds._add_batch(spark.createDataFrame([(n % 4, n * 10, n)], schema), n, path, newest)
+    for n in range(20):
+        add(n)
+        if n in (2, 8, 9):  # the stream stops before it has noted the batch, and repeats it
+            add(n)
+        want = {k: max(i * 10 for i in range(n + 1) if i % 4 == k) for k in range(min(4, n + 1))}
+        assert {r["k"]: r["v"] for r in feeds._read_merged(spark, path, newest, schema).collect()} == want
+    tables = feeds._complete_tables(spark, path)
+    assert (2, 0) in tables and (2, 9) in tables and (1, 18) not in tables and len(tables) <= 2 + 2 + 2 * 3
+    assert feeds._read_merged(spark, str(tmp_path / "none"), newest, schema).count() == 0
