@@ -6,7 +6,7 @@ Rows named ``profile`` stand for ``weight`` equal sessions; ``part`` is a cluste
 * Manhattan: the total is a sum over features, and each feature's follows from running sums over its sorted values.
 * Euclidean, Jensen-Shannon and edit distance: bounds from pivots. By the triangle inequality a member's total is at least
   the sum over groups of members of |group weight * distance to the pivot - the group's total distance to the pivot|.
-  Members of the least bounds and drawn ones are compared with their whole cluster. Their totals bound those of the members near
+  Members of the least bounds and drawn ones are compared with their whole cluster, in numpy, a block of members against a chunk of them at a time. Their totals bound those of the members near
   them, some of them become pivots, and the search ends when no bound is below the best total. In many dimensions bounds are
   weak and most members are compared, but never more than a batch at once. Every measure here is a metric, but for the edit distance over the longer length: there the
   plain edit distance makes the bounds, in groups of alike length.
@@ -14,46 +14,195 @@ Rows named ``profile`` stand for ``weight`` equal sessions; ``part`` is a cluste
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtrace.operators import distance, ordered
 from playtrace.session import durable
 
-BATCH = 96  # members of a cluster of least bounds, and as many drawn ones, compared in the first step; twice as many in each further one
+BATCH = 96  # members of a cluster of least bounds, and as many drawn ones, compared in the first step
+GROWTH = 8  # times as many in each further step
+BLOCK, CHUNK = 2048, 512  # members, and others, whose distances a task computes together
 PIVOTS = 16  # drawn members of a step that become pivots
 BINS = 16  # groups of a pivot's distances in a range of one
 DIGITS = 9  # means are compared to so many digits, as sums have no fixed order
 PART = ["game_id", "part"]
 
-#: (game_id, part, profile), (game_id, part, other) -> (game_id, part, profile, other, raw) for all pairs of one part.
-Pairs = Callable[[DataFrame, DataFrame], DataFrame]
 
+def _vectors(points: pa.Array, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points (lists of feature and value) as three flat arrays: row, feature's number, value."""
+    flat = points.flatten()
+    codes = flat.field("feature").dictionary_encode()
+    number = np.array([place.setdefault(f, len(place)) for f in codes.dictionary.to_pylist()], np.int64)
+    rows = np.repeat(np.arange(len(points)), np.diff(points.offsets.to_numpy()))
+    return rows, number[codes.indices.to_numpy(zero_copy_only=False)], flat.field("value").to_numpy(zero_copy_only=False)
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.where(x > 0, x, 1.0))
+
+
+def _vector_distances(measure: str, members: pa.Array, others: pa.Array) -> Iterator[np.ndarray]:
+    """For each other vector its distances to all members; only the features of the other one are looked at."""
+    place: dict[str, int] = {}
+    (row, feature, value), (at, own, have) = _vectors(members, place), _vectors(others, place)
+    table = np.zeros((len(place), len(members)))
+    table[feature, row] = value
+    total, square = np.bincount(row, value, len(members)), np.bincount(row, value * value, len(members))
+    entropic = measure == "jensenshannon"
+    if entropic:
+        table = np.divide(table, total, out=table, where=total > 0)
+        logs = _xlogx(table)
+    ends = np.searchsorted(at, np.arange(len(others) + 1))
+    for i in range(len(others)):
+        f, v = own[ends[i] : ends[i + 1]], have[ends[i] : ends[i + 1]]
+        x = table[f]
+        if entropic:
+            q = (v / v.sum())[:, None]
+            both = x + q
+            js = 0.5 * (logs[f] + _xlogx(q) - both * np.log(both / 2)).sum(0) + 0.5 * np.log(2.0) * (1 - x.sum(0))
+            yield np.sqrt(np.maximum(0.0, js) / np.log(2.0))
+        elif measure == "manhattan":
+            yield np.maximum(0.0, total + v.sum() - 2 * np.minimum(x, v[:, None]).sum(0))
+        else:
+            dot, n2 = v @ x, (v * v).sum()
+            if measure == "euclidean":
+                yield np.sqrt(np.maximum(0.0, square + n2 - 2 * dot))
+            else:
+                length = np.sqrt(square) * np.sqrt(n2)
+                yield np.maximum(0.0, 1 - np.divide(dot, length, out=np.zeros(len(dot)), where=length > 0))
+
+
+def _signs(texts: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in texts.to_pylist()]
+
+
+def _edit_distances(members: pa.Array, others: pa.Array) -> Iterator[np.ndarray]:
+    """For each other text its edit distances to all members, a row of the usual table for all of them at once.
+
+    Members go by length, longest first, so the ones that have ended are left out. Within a row, running minima replace the
+    step from cell to cell: the row's j-th value is j + min over i <= j of (the best of the row before at i) - i.
+    """
+    texts = _signs(members)
+    size = np.array([len(x) for x in texts], np.int64)
+    order = np.argsort(-size, kind="stable")
+    wide = int(size.max(initial=0))
+    table = np.zeros((wide, len(texts)), np.uint32)  # a column for each member
+    for j, i in enumerate(order):
+        table[: size[i], j] = texts[i]
+    left = np.array([(size > j).sum() for j in range(wide)])
+    kind = np.int16 if wide < 8_000 and max(map(len, _signs(others)), default=0) < 8_000 else np.int64
+    for other in _signs(others):
+        if not len(other):
+            yield size.astype(float)
+            continue
+        n = len(other)
+        steps = np.arange(n + 1, dtype=kind)[:, None]
+        row = np.repeat(steps, len(texts), axis=1)  # cell i: distance of the member's first signs to the other's first i
+        for j in range(wide):
+            k = left[j]
+            before = row[:, :k]
+            fresh = np.empty((n + 1, k), kind)
+            fresh[0] = j + 1
+            np.minimum(before[1:] + kind(1), before[:-1] + (other[:, None] != table[j, :k]), out=fresh[1:])
+            fresh -= steps
+            np.minimum.accumulate(fresh, axis=0, out=fresh)
+            fresh += steps
+            row[:, :k] = fresh
+        out = np.empty(len(texts))
+        out[order] = row[n]
+        yield out
+
+
+class Pairs:
+    """Distances within parts, on Arrow batches: blocks of members against chunks of others of the same part, so no task holds a whole part.
+
+    points: game_id, profile, point; distances: members' points, others' points -> for each other, its distances to the members.
+    """
 
-def vector_pairs(cells: DataFrame, measure: str) -> Pairs:
-    """Distances of vectors (game_id, profile, feature, value)."""
+    def __init__(self, points: DataFrame, distances: Callable[[pa.Array, pa.Array], Iterator[np.ndarray]]):
+        self.points, self.distances = points, distances
 
-    def between(left: DataFrame, right: DataFrame) -> DataFrame:
-        key = F.struct(*PART).alias("game_id")
-        points = cells.join(left, ["game_id", "profile"]).select(key, "profile", "feature", "value")
-        centres = cells.withColumnRenamed("profile", "other").join(right, ["game_id", "other"]).select(key, "other", "feature", "value")
-        d = distance.to_centres(points, centres, ["profile"], ["other"])
-        return d.select("game_id.game_id", "game_id.part", "profile", "other", F.greatest(F.lit(0.0), measure).alias("raw"))
+    def __call__(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """(game_id, part, profile), (game_id, part, other) -> (game_id, part, profile, other, raw) for all pairs of one part."""
+        return self._run(self.blocks(left), self._chunks(right.select(*PART, "other"), []), _rows, "profile string, other string, raw double")
 
-    return between
+    def blocks(self, members: DataFrame) -> DataFrame:
+        """Members of a part in blocks: game_id, part, and a list of their other columns and points."""
+        return _grouped(members.join(self.points, ["game_id", "profile"]), "profile", BLOCK, "_members")
 
+    def _chunks(self, others: DataFrame, extra: list[str]) -> DataFrame:
+        named = self.points.select("game_id", F.col("profile").alias("other"), "point")
+        return _grouped(others.select(*PART, "other", *extra).join(named, ["game_id", "other"]), "other", CHUNK, "_others")
+
+    def totals(self, blocks: DataFrame, others: DataFrame) -> DataFrame:
+        """(game_id, part, other, total, compared): the weighted total of the others (game_id, part, other, _len) to all members of their part."""
+        parts = self._run(blocks, self._chunks(others, ["_len"]), _part_totals, "other string, _t double, _n long")
+        return parts.groupBy(*PART, "other").agg(F.sum("_t").alias("_total"), F.sum("_n").alias("_compared"))
+
+    def around(self, blocks: DataFrame, others: DataFrame) -> DataFrame:
+        """(game_id, part, profile, low): the largest _total - _all * distance over the others (game_id, part, other, _total, _all)."""
+        parts = self._run(blocks, self._chunks(others, ["_total", "_all"]), _part_lows, "profile string, low double")
+        return parts.groupBy(*PART, "profile").agg(F.max("low").alias("low"))
+
+    def _run(self, blocks: DataFrame, chunks: DataFrame, reduce_: Callable, schema: str) -> DataFrame:
+        distances = self.distances
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    game, part, members, others = (batch.column(c).slice(i, 1) for c in ("game_id", "part", "_members", "_others"))
+                    members, others = members.flatten(), others.flatten()
+                    for out in reduce_(distances(members.field("point"), others.field("point")), members, others):
+                        n = len(out[0])
+                        yield pa.RecordBatch.from_arrays([pa.array(game.to_pylist() * n), pa.array(part.to_pylist() * n, pa.int32()), *out], names)
+
+        kind = f"game_id string, part int, {schema}"
+        names = [c.split()[0] for c in kind.split(", ")]
+        return blocks.join(chunks, PART).select(*PART, "_members", "_others").mapInArrow(run, kind)
+
+
+def _grouped(rows: DataFrame, name: str, most: int, into: str) -> DataFrame:
+    """Rows of a part in groups of about ``most``, each as a list of structs."""
+    counts = rows.groupBy(*PART).agg(F.ceil(F.count("*") / F.lit(most)).alias("_k"))
+    dealt = rows.join(counts, PART).withColumn("_k", F.pmod(F.xxhash64(name), "_k"))
+    fields = F.struct(*[c for c in rows.columns if c not in PART])
+    return dealt.groupBy(*PART, "_k").agg(F.collect_list(fields).alias(into)).drop("_k")
 
-def text_pairs(texts: DataFrame) -> Pairs:
-    """Edit distances of step strings (game_id, profile, text)."""
 
-    def between(left: DataFrame, right: DataFrame) -> DataFrame:
-        a = texts.join(left, ["game_id", "profile"])
-        b = texts.select("game_id", F.col("profile").alias("other"), F.col("text").alias("_text")).join(right, ["game_id", "other"])
-        return a.join(b, PART).select(*PART, "profile", "other", F.levenshtein("text", "_text").cast("double").alias("raw"))
+def _rows(distances: Iterator[np.ndarray], members: pa.StructArray, others: pa.StructArray) -> Iterator[list]:
+    for other, d in zip(others.field("other").to_pylist(), distances):
+        yield [members.field("profile"), pa.array([other] * len(d)), pa.array(d)]
 
-    return between
+
+def _part_totals(distances: Iterator[np.ndarray], members: pa.StructArray, others: pa.StructArray) -> Iterator[list]:
+    weight, size = (members.field(c).to_numpy(zero_copy_only=False) for c in ("weight", "len"))
+    lengths = others.field("_len").to_numpy(zero_copy_only=False)
+    sums = [float((weight * (d / np.maximum(1, np.maximum(size, n)))).sum()) for d, n in zip(distances, lengths)]
+    yield [others.field("other"), pa.array(sums, pa.float64()), pa.array([len(members)] * len(sums), pa.int64())]
+
+
+def _part_lows(distances: Iterator[np.ndarray], members: pa.StructArray, others: pa.StructArray) -> Iterator[list]:
+    low = np.full(len(members), -np.inf)
+    for total, all_, d in zip(others.field("_total").to_pylist(), others.field("_all").to_pylist(), distances):
+        low = np.maximum(low, total - all_ * d)
+    yield [members.field("profile"), pa.array(low)]
+
+
+def vector_pairs(cells: DataFrame, measure: str) -> Pairs:
+    """Distances of vectors (game_id, profile, feature, value)."""
+    points = cells.groupBy("game_id", "profile").agg(F.collect_list(F.struct("feature", "value")).alias("point"))
+    return Pairs(points, partial(_vector_distances, measure))
+
+
+def text_pairs(texts: DataFrame) -> Pairs:
+    """Edit distances of step strings (game_id, profile, text)."""
+    return Pairs(texts.select("game_id", "profile", F.col("text").alias("point")), _edit_distances)
 
 
 def scaled(raw: Column, a: Column, b: Column) -> Column:
@@ -79,6 +228,7 @@ def _bounds(near: DataFrame) -> DataFrame:
 def _searched(members: DataFrame, near: DataFrame, pairs: Pairs) -> DataFrame:
     """(game_id, part, profile, weight, total, compared): totals of all members that can be the best; null for the others."""
     everyone = members.select(*PART, "profile")
+    blocks = durable(pairs.blocks(members.select(*PART, "profile", "weight", "len")))
     state = durable(
         members.join(_bounds(near), [*PART, "profile"]).withColumns({"total": F.lit(None).cast("double"), "compared": F.lit(None).cast("long")})
     )
@@ -93,23 +243,24 @@ def _searched(members: DataFrame, near: DataFrame, pairs: Pairs) -> DataFrame:
         tried = durable(both.groupBy(*PART, F.col("profile").alias("other")).agg(F.max("len").alias("_len"), F.max("all").alias("_all"), F.max("pivot").alias("pivot")))
         if tried.isEmpty():
             return state
-        d = pairs(everyone, tried.select(*PART, "other")).join(members, [*PART, "profile"])
-        totals = durable(
-            d.join(tried, [*PART, "other"]).groupBy(*PART, "other", "_len", "_all").agg(
-                F.sum(F.col("weight") * scaled(F.col("raw"), F.col("len"), F.col("_len"))).alias("_total"), F.count("*").alias("_compared")
-            )
-        )
-        pivots = pairs(everyone, tried.where("pivot").select(*PART, "other")).join(members, [*PART, "profile"])
+        totals = durable(tried.select(*PART, "other", "_all", "_len", "pivot").join(pairs.totals(blocks, tried), [*PART, "other"]))
+        found = totals.select(*PART, F.col("other").alias("profile"), "_total", "_compared")
+        state = state.join(found, [*PART, "profile"], "left")
+        # bounds are only of use in parts with members left that no step has tried
+        open_ = state.where("total IS NULL AND _total IS NULL").select(*PART).distinct()
+        some = durable(totals.join(open_, PART, "left_semi"))
+        if some.isEmpty():
+            return state.select(*members.columns, "low", F.coalesce("total", "_total").alias("total"), F.coalesce("compared", "_compared").alias("compared"))
+        pivots = pairs(everyone, some.where("pivot").select(*PART, "other")).join(members, [*PART, "profile"])
         # of vectors, also: a total differs by no more than the distance times all weights
-        around = d.join(totals, [*PART, "other"]).where("_len = 0").groupBy(*PART, "profile").agg(F.max(F.col("_total") - F.col("_all") * F.col("raw")).alias("low"))
+        around = pairs.around(blocks, some.where("_len = 0"))
         bounds = _bounds(pivots).unionByName(around).groupBy(*PART, "profile").agg(F.max("low").alias("_low"))
-        totals = totals.select(*PART, F.col("other").alias("profile"), "_total", "_compared")
         state = durable(
-            state.join(bounds, [*PART, "profile"], "left").join(totals, [*PART, "profile"], "left").select(
+            state.join(bounds, [*PART, "profile"], "left").select(
                 *members.columns, F.greatest("low", "_low").alias("low"), F.coalesce("total", "_total").alias("total"), F.coalesce("compared", "_compared").alias("compared")
             )
         )
-        batch *= 2
+        batch *= GROWTH
 
 
 def _cosine_totals(members: DataFrame, cells: DataFrame) -> DataFrame:

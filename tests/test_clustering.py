@@ -1,7 +1,9 @@
 import hashlib
 import math
 import random
+from functools import partial
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +215,21 @@ def test_edit_medoids_keep_every_session(make_steps):
     for r in rows:  # everyone is with the nearest medoid of its game
         own = PLAIN["sequence"](sessions[r["game_id"], r["session_id"]], sessions[r["game_id"], r["medoid"]])
         assert own <= min(PLAIN["sequence"](sessions[r["game_id"], r["session_id"]], sessions[m]) for m in text if m[0] == r["game_id"]) + 1e-9
+
+
+@pytest.mark.parametrize("measure", list(PLAIN))
+def test_distances_are_computed_in_blocks(measure):
+    """The arrays of a block against a chunk give every distance once, also of members and others of very unequal length."""
+    rnd = random.Random(measure)
+    if measure == "sequence":
+        points = ["".join(rnd.choice("abc\U00010000") for _ in range(n)) for n in (1, 2, 3, 5, 8, 70, 300)]
+        column, found = pa.array(points), medoids._edit_distances
+    else:
+        points = [{f: rnd.randint(1, 9) / 10 for f in rnd.sample("uvwxyz", n)} for n in (1, 2, 3, 4, 5, 6)]
+        kind = pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64())]))
+        column = pa.array([[{"feature": f, "value": v} for f, v in x.items()] for x in points], kind)
+        found = partial(medoids._vector_distances, measure)
+    got = list(found(column.slice(1), column))
+    assert len(got) == len(points)
+    for other, d in zip(points, got):
+        assert [round(x, 7) for x in d] == [round(edits(x, other) if measure == "sequence" else PLAIN[measure](x, other), 7) for x in points[1:]]
