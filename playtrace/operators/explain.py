@@ -2,27 +2,29 @@
 
 For a leaf, only the features on its path matter, and only whether the run agrees with
 the path on each of them. So the Shapley share of a leaf is a small table indexed by
-that yes/no pattern. The tables are computed once from the trees; explaining a run is
-a table look-up per leaf, done on whole Arrow batches.
+that yes/no pattern. The tables are computed once from the trees. A tree's cuts divide the
+values of its features into cells in which all runs have the same shares, so the leaves of a tree with few cells
+are added up once for each cell; explaining a run is then one look-up per tree and feature, on whole Arrow batches.
 """
 
 from __future__ import annotations
 
-from math import factorial
+from math import factorial, prod
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtrace.functions.scalars import round_half_up
 from playtrace.operators import ordered
 from playtrace.operators.models import Fitted, score
-from playtrace.operators.trees import Ensemble
+from playtrace.operators.trees import Tree
 
 # Lengths of the reported lists.
 BEESWARM_FEATURES = 12
 WATERFALL_FEATURES = 9
+TABLE_NUMBERS = 1 << 24  # in the cell tables of all trees together, which are broadcast
 
 
 def _shares(z: np.ndarray) -> np.ndarray:
@@ -42,43 +44,81 @@ def _shares(z: np.ndarray) -> np.ndarray:
     return out
 
 
-def leaf_tables(model: Ensemble) -> tuple[list[tuple], float]:
+def leaf_tables(tree: Tree, weight: float) -> tuple[list[tuple], float]:
     """Per leaf: path features, the interval each must lie in, and the share table; plus the expected value."""
     leaves, expected = [], 0.0
-    for tree in model.trees:
-        stack = [(0, 1.0, {})]
-        while stack:
-            i, reach, path = stack.pop()
-            f = int(tree.feature[i])
-            if f < 0:
-                value = model.weight * tree.value[i]
-                expected += reach * value
-                if path and value:
-                    feats = np.array(list(path))
-                    lo, hi, z = (np.array([path[f][j] for f in path], dtype=float) for j in range(3))
-                    leaves.append((feats, lo, hi, value * _shares(z)))
-                continue
-            cut = tree.threshold[i]
-            for child, left in ((2 * i + 1, True), (2 * i + 2, False)):
-                share = tree.cover[child] / tree.cover[i]
-                lo, hi, z = path.get(f, (-np.inf, np.inf, 1.0))
-                step = (lo, min(hi, cut), z * share) if left else (max(lo, cut), hi, z * share)
-                stack.append((child, reach * share, {**path, f: step}))
+    stack = [(0, 1.0, {})]
+    while stack:
+        i, reach, path = stack.pop()
+        f = int(tree.feature[i])
+        if f < 0:
+            value = weight * tree.value[i]
+            expected += reach * value
+            if path and value:
+                feats = np.array(list(path))
+                lo, hi, z = (np.array([path[f][j] for f in path], dtype=float) for j in range(3))
+                leaves.append((feats, lo, hi, value * _shares(z)))
+            continue
+        cut = tree.threshold[i]
+        for child, left in ((2 * i + 1, True), (2 * i + 2, False)):
+            share = tree.cover[child] / tree.cover[i]
+            lo, hi, z = path.get(f, (-np.inf, np.inf, 1.0))
+            step = (lo, min(hi, cut), z * share) if left else (max(lo, cut), hi, z * share)
+            stack.append((child, reach * share, {**path, f: step}))
     return leaves, expected
 
 
+def _by_leaf(columns: np.ndarray, leaves: list[tuple], phi: np.ndarray) -> None:
+    """Add the shares of every leaf; columns and phi have a row for each feature."""
+    for feats, lo, hi, table in leaves:
+        own = columns[feats]
+        pattern = (1 << np.arange(len(feats))) @ ((own > lo[:, None]) & (own <= hi[:, None]))
+        phi[feats] += table[pattern].T
+
+
+def _cell_table(tree: Tree, leaves: list[tuple], most: int) -> tuple | None:
+    """All leaves of a tree in one table over the cells that its cuts divide its features into; none if there are over ``most`` numbers in it."""
+    inner = np.flatnonzero(tree.feature >= 0)
+    feats = np.unique(tree.feature[inner])
+    cuts = [np.unique(tree.threshold[inner][tree.feature[inner] == f]) for f in feats]
+    sizes = [len(c) + 1 for c in cuts]
+    if not leaves or prod(sizes) * len(feats) > most:
+        return None
+    at = np.indices(sizes).reshape(len(sizes), -1)
+    points = np.zeros((int(feats.max()) + 1, at.shape[1]))
+    points[feats] = [np.append(c, np.inf)[k] for c, k in zip(cuts, at)]  # the largest value of each cell
+    phi = np.zeros(points.shape)
+    _by_leaf(points, leaves, phi)
+    strides = [prod(sizes[k + 1 :]) for k in range(len(sizes))]
+    return feats, cuts, strides, phi[feats]
+
+
+def _by_cell(columns: np.ndarray, cells: tuple, phi: np.ndarray) -> None:
+    feats, cuts, strides, table = cells
+    at = np.zeros(columns.shape[1], np.int32)
+    for f, own, stride in zip(feats, cuts, strides):
+        for cut in own:
+            at += (columns[f] > cut) * np.int32(stride)
+    for f, shares in zip(feats, table):
+        phi[f] += shares[at]
+
+
 def _tables(fitted: Fitted) -> dict[str, tuple[list[tuple], float]]:
-    """For each game the leaf tables, or for a linear model its one term, and the base value."""
+    """For each game a table of cells or of leaves for each tree (none for a linear model), and the base value."""
     if fitted.linear:
         return {g: ([], m.base) for g, m in fitted.models.items()}
-    tables = {g: leaf_tables(m) for g, m in fitted.models.items()}
-    return {g: (leaves, fitted.models[g].base + expected) for g, (leaves, expected) in tables.items()}
+    trees = {g: [(t, *leaf_tables(t, m.weight)) for t in m.trees] for g, m in fitted.models.items()}
+    most = min(1 << 15, TABLE_NUMBERS // max(1, sum(map(len, trees.values()))))
+    tables = {g: [(_cell_table(t, leaves, most), leaves) for t, leaves, _ in own] for g, own in trees.items()}
+    tables = {g: [(cells, None if cells else leaves) for cells, leaves in own] for g, own in tables.items()}
+    return {g: (tables[g], fitted.models[g].base + sum(expected for _, _, expected in own)) for g, own in trees.items()}
 
 
 def base_values(fitted: Fitted, spark) -> DataFrame:
     """(game_id, base, base_probability): what a model expects of a run it knows nothing of; the probability only for a yes/no target."""
     rows = []
-    for game, (_, base) in sorted(_tables(fitted).items()):
+    for game, model in sorted(fitted.models.items()):
+        base = float(model.base) if fitted.linear else model.base + sum(leaf_tables(t, model.weight)[1] for t in model.trees)
         p = (base if fitted.prob_space else 1 / (1 + np.exp(-base))) if fitted.settings.classify else None
         rows.append((game, float(base), None if p is None else float(p)))
     return spark.createDataFrame(rows, "game_id string, base double, base_probability double")
@@ -99,25 +139,28 @@ def explain(fitted: Fitted, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             if g in linear:
                 phi = (x - linear[g].mean) / linear[g].std * linear[g].weights
             else:
-                phi = np.zeros(x.shape)
-                for feats, lo, hi, table in tables[g][0]:
-                    cols = x[:, feats]
-                    pattern = ((cols > lo) & (cols <= hi)) @ (1 << np.arange(len(feats)))
-                    phi[:, feats] += table[pattern]
+                columns = np.ascontiguousarray(x.T)
+                phi = np.zeros(columns.shape)
+                for cells, leaves in tables[g][0]:
+                    _by_cell(columns, cells, phi) if cells else _by_leaf(columns, leaves, phi)
+                phi = np.ascontiguousarray(phi.T)
             out[own.index] = pd.Series(list(phi), index=own.index)
         return out
 
     return scored.withColumn("phi", shares("game_id", "x")), base_values(fitted, spark)
 
 
-def long(explained: DataFrame, names: dict[str, list[str]], groups: dict[str, str]) -> DataFrame:
-    """One row per run and feature; names by game."""
+def wide(explained: DataFrame, names: dict[str, list[str]], groups: dict[str, str]) -> DataFrame:
+    """One row per run with its features as the array ``cells`` of feature, grp, value and phi; names by game."""
     labels = [(g, [(n, groups[n]) for n in own]) for g, own in sorted(names.items())]
     labels = explained.sparkSession.createDataFrame(labels, "game_id string, f array<struct<feature: string, grp: string>>")  # a row for each game
-    cells = F.arrays_zip("f", "x", "phi")
-    return explained.join(labels, "game_id").select("game_id", "id", F.explode(cells).alias("c")).select(
-        "game_id", "id", "c.f.feature", "c.f.grp", F.col("c.x").alias("value"), F.col("c.phi").alias("phi")
-    )
+    cells = F.transform(F.arrays_zip("f", "x", "phi"), lambda c: F.struct(c["f"]["feature"].alias("feature"), c["f"]["grp"].alias("grp"), c["x"].alias("value"), c["phi"].alias("phi")))
+    return explained.join(F.broadcast(labels), "game_id").select("game_id", "id", cells.alias("cells"))
+
+
+def long(explained: DataFrame, names: dict[str, list[str]], groups: dict[str, str]) -> DataFrame:
+    """One row per run and feature; names by game."""
+    return wide(explained, names, groups).select("game_id", "id", F.inline("cells"))
 
 
 def importance(shap: DataFrame) -> DataFrame:
@@ -161,17 +204,25 @@ def exemplars(explained: DataFrame) -> DataFrame:
     return place.join(size, "game_id").select("game_id", "id", round_half_up("p", 5).alias("predicted"), F.explode(kinds).alias("kind"))
 
 
-def waterfall(shap: DataFrame, base: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Steps from the base value to the margin of chosen runs: nine largest, then the rest together."""
-    mine = shap.join(chosen.select("game_id", "id").distinct(), ["game_id", "id"], "left_semi")
-    w = Window.partitionBy("game_id", "id")  # one row per feature
-    ranked = mine.withColumn("rank", F.row_number().over(w.orderBy(F.desc(F.abs("phi")), "feature")))
-    step = F.least("rank", F.lit(WATERFALL_FEATURES + 1))
-    folded = ranked.groupBy("game_id", "id", step.alias("step")).agg(
-        F.sum("phi").alias("phi"),
-        F.when(F.max("rank") > WATERFALL_FEATURES, F.concat(F.lit("+ "), F.count("*"), F.lit(" other features"))).otherwise(F.max("feature")).alias("feature"),
+def waterfall(shap: DataFrame, base: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Steps from the base value to the margin of chosen runs, or of all: nine largest, then the rest together.
+
+    shap comes from ``long`` or ``wide``; all steps of a run are made within its row.
+    """
+    if "cells" not in shap.columns:
+        shap = shap.groupBy("game_id", "id").agg(F.collect_list(F.struct("feature", "phi")).alias("cells"))
+    mine = shap if chosen is None else shap.join(chosen.select("game_id", "id").distinct(), ["game_id", "id"], "left_semi")
+    ranked = F.array_sort(F.transform("cells", lambda c: F.struct((-F.abs(c["phi"])).alias("key"), c["feature"].alias("feature"), c["phi"].alias("phi"))))
+    total = lambda cells: F.aggregate(cells, F.lit(0.0), lambda t, c: t + c["phi"])
+    rows = mine.select("game_id", "id", ranked.alias("_r")).withColumn("_n", F.size("_r") - WATERFALL_FEATURES)
+    rest = F.struct(
+        F.lit(0.0).alias("key"),
+        F.concat(F.lit("+ "), F.col("_n"), F.lit(" other features")).alias("feature"),
+        total(F.slice("_r", WATERFALL_FEATURES + 1, F.greatest(F.lit(0), "_n"))).alias("phi"),
     )
-    upto = F.sum("phi").over(w.orderBy("step"))
+    steps = F.concat(F.slice("_r", 1, WATERFALL_FEATURES), F.when(F.col("_n") > 0, F.array(rest)).otherwise(F.slice("_r", 1, 0)))
+    upto = lambda c, i: F.struct((i + 1).alias("step"), c["feature"].alias("feature"), c["phi"].alias("phi"), total(F.slice("_s", 1, i + 1)).alias("upto"))
+    folded = rows.select("game_id", "id", steps.alias("_s")).select("game_id", "id", F.inline(F.transform("_s", upto)))
     return folded.join(base, "game_id").select(
-        "game_id", "id", "step", "feature", round_half_up("phi", 5).alias("phi"), round_half_up(F.col("base") + upto, 5).alias("to")
+        "game_id", "id", "step", "feature", round_half_up("phi", 5).alias("phi"), round_half_up(F.col("base") + F.col("upto"), 5).alias("to")
     )

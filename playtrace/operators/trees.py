@@ -31,6 +31,7 @@ GAMES = 200  # games that grow together; more are grown in turns, which bounds w
 HISTOGRAM_BYTES = 64 << 20  # of all trees that one task sums up at once
 TINY, NEAR = 1e-12, 1e-9  # gains up to TINY are none, gains within a share of NEAR are equal
 FLUSH = 10  # rounds of boosting after which margins are stored
+NARROW = 3  # first levels of a tree whose splits, seven at most, are tested on whole columns
 POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
 
 
@@ -50,7 +51,14 @@ class Tree:
         return cls(np.full(n, -1), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n))
 
     def leaf_of(self, columns: np.ndarray, limits: np.ndarray) -> np.ndarray:
-        node, rows = np.zeros(columns.shape[1], np.int64), np.arange(columns.shape[1])
+        """The leaf of each row; columns has a row for each feature. The splits of the first levels are tested on whole columns and their
+        answers looked up together, which is faster than gathering each row's own feature; below, only rows not in a leaf go on."""
+        top = [i for i in range(2**NARROW - 1) if i < len(self.feature) and self.feature[i] >= 0]
+        code = np.zeros(columns.shape[1], np.uint8)
+        for bit, i in enumerate(top):
+            code |= (columns[self.feature[i]] > limits[i].item()).view(np.uint8) << np.uint8(bit)
+        node = self._after(top)[code]
+        rows = np.flatnonzero((self.feature >= 0)[node]) if (self.feature[2**NARROW - 1 :] >= 0).any() else []
         while len(rows):
             at = node[rows]
             f = self.feature[at]
@@ -59,6 +67,16 @@ class Tree:
             node[rows] = 2 * at + 1 + (columns[f, rows] > limits[at])
         return node
 
+    def _after(self, top: list[int]) -> np.ndarray:
+        """The node below the first levels for every combination of answers of their splits, a bit for each."""
+        answers = np.arange(1 << len(top))
+        node, bit = np.zeros(len(answers), np.int64), {i: k for k, i in enumerate(top)}
+        for _ in range(NARROW):
+            for i in set(node.tolist()) & set(top):
+                at = node == i
+                node[at] = 2 * i + 1 + (answers[at] >> bit[i] & 1)
+        return node
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.value[self.leaf_of(x.T, self.threshold)]
 
@@ -166,17 +184,20 @@ def _sums(parts: Iterator[Block], rule: Rule, trees: dict, open_: dict, features
             slot = np.full(len(tree.feature), -1)
             slot[nodes] = np.arange(len(nodes))
             at = slot[tree.leaf_of(b.columns, tree.cut)]
-            weights, keep, size = [g, h, None], at >= 0, len(nodes) * (BINS + 2)
+            weights, keep, size = [g, h if rule.logistic else None, None], at >= 0, len(nodes) * (BINS + 2)
             if not rule.boosted and number >= 0:
                 w = _draws(b.key, number, rule.seed)
-                weights, keep = [w * g, w * h, w], keep & (w > 0)
+                weights, keep = [w * g, w, w], keep & (w > 0)
             keep = np.flatnonzero(keep)
             at, weights = at[keep] * (BINS + 2), [v if v is None else v[keep] for v in weights]
+            once = not rule.logistic  # every Hessian is 1, so its sum is the count
             sums = np.empty((3, len(nodes), len(own), BINS + 2))
             for j, f in enumerate(own):
                 cell = at + (b.columns[f] if len(keep) == len(b.y) else b.columns[f][keep])
-                for v, place in zip(weights, sums):
+                for v, place in list(zip(weights, sums))[: 3 - once]:
                     place[:, j] = np.bincount(cell, weights=v, minlength=size).reshape(len(nodes), -1)
+                if once:
+                    sums[2, :, j] = sums[1, :, j]
             total[game, number] = total[game, number] + sums if (game, number) in total else sums
     yield from total.items()
 

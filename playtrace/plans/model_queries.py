@@ -93,7 +93,7 @@ def prediction_exemplars(spark, d):
 def shap_waterfall(spark, d):
     """The steps of every run's prediction, not only of a selected one."""
     e, base, names, groups = _explained(spark, d, models.Settings(algorithm="tree", target="pass"))
-    return explain.waterfall(explain.long(e, names, groups), base, e)
+    return explain.waterfall(explain.wide(e, names, groups), base)
 
 
 @query("holdout_points")

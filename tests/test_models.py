@@ -216,3 +216,54 @@ def test_registered_queries_use_the_default_number_of_trees(monkeypatch):
     for name in ("gbtree_score_metrics", "gbtree_pass_metrics", "forest_stars_metrics", "shap_importance"):
         registry.QUERIES[name](None, None)
     assert [(s.algorithm, s.target, s.estimators) for s in used] == [("gbtree", "score", 150), ("gbtree", "pass", 150), ("forest", "stars", 150), ("gbtree", "score", 150)]
+
+
+def test_cells_of_a_tree_hold_the_shares_of_all_its_leaves():
+    """One table for a tree gives what its leaves give one by one, also on the cuts; a tree of too many cells has none."""
+    rnd = np.random.default_rng(3)
+    tree = trees.Tree.of_depth(4)
+    for i in range(15):
+        tree.feature[i], tree.threshold[i] = rnd.integers(0, 3), rnd.integers(0, 6)
+    tree.cover[:] = 1
+    for i in reversed(range(15)):
+        tree.cover[i] = tree.cover[2 * i + 1] + tree.cover[2 * i + 2]
+    tree.value[:] = rnd.normal(size=31)
+    leaves, _ = explain.leaf_tables(tree, 0.5)
+    columns = rnd.integers(-1, 8, size=(4, 500)).astype(float)
+    one, other = np.zeros((4, 500)), np.zeros((4, 500))
+    explain._by_leaf(columns, leaves, one)
+    explain._by_cell(columns, explain._cell_table(tree, leaves, 10_000), other)
+    assert np.allclose(one, other, atol=1e-12) and np.abs(one[:3]).max() > 0
+    assert explain._cell_table(tree, leaves, 10) is None
+
+
+def test_leaves_are_found_by_whole_columns(monkeypatch):
+    rnd = np.random.default_rng(4)
+    tree = trees.Tree.of_depth(6)
+    inner = [0]
+    for i in inner:
+        tree.feature[i], tree.threshold[i] = rnd.integers(0, 3), rnd.normal()
+        inner += [c for c in (2 * i + 1, 2 * i + 2) if c < 63 and rnd.random() < 0.8]
+    columns = rnd.normal(size=(3, 400))
+    want = []
+    for row in columns.T:
+        i = 0
+        while tree.feature[i] >= 0:
+            i = 2 * i + 1 + int(row[tree.feature[i]] > tree.threshold[i])
+        want.append(i)
+    for narrow in (0, 1, 2, 3):
+        monkeypatch.setattr(trees, "NARROW", narrow)
+        assert tree.leaf_of(columns, tree.threshold).tolist() == want
+
+
+def test_waterfall_of_every_run_needs_no_exchange(spark):
+    """All steps of a run are made within its row, so no task holds more than its batch."""
+    names = [f"f{i:02}" for i in range(12)]
+    phi = [float(i + 1) * (-1) ** i for i in range(12)]
+    df = spark.createDataFrame([("g", i, [0.0] * 12, phi) for i in range(3)], "game_id string, id long, x array<double>, phi array<double>")
+    base = spark.createDataFrame([("g", 2.0)], "game_id string, base double")
+    found = explain.waterfall(explain.wide(df, {"g": names}, dict.fromkeys(names, "g")), F.broadcast(base))
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    some = explain.waterfall(explain.long(df, {"g": names}, dict.fromkeys(names, "g")), base, df.where("id = 1"))
+    rows = lambda d: sorted(tuple(r) for r in d.where("id = 1").collect())
+    assert rows(found) == rows(some) and found.count() == 30
