@@ -19,6 +19,7 @@ from playtrace.session import shared_dir
 # What a client sends along with an event, so a resent one has the same.
 RESEND_KEY = ("game_id", "player_id", "session_id", "seq", "t_ms")
 FAN = 8  # tables of one level that are merged into one of the next
+BUCKETS = 1 << 10  # of a game's sessions, each with one state
 IDLE_MS = 24 * 3_600_000  # a session silent for so long behind the watermark is over
 
 
@@ -128,40 +129,55 @@ def _pairs(steps: list[tuple]) -> Counter:
 
 
 def _edge_changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Insert new events into the session's recent steps and emit which pairs came and went.
+    """Insert new events into the recent steps of a bucket's sessions and emit which pairs came and went.
 
-    Leading steps older than the watermark are final; of them only the last one is kept,
+    Leading steps of a session older than the watermark are final; of them only the last one is kept,
     to connect to the next step. A session that stays silent for IDLE_MS is forgotten.
     """
-    if state.hasTimedOut:
-        state.remove()
-        return
     final = state.getCurrentWatermarkMs()
-    old = list(zip(*state.get)) if state.exists else []
-    new = [row for pdf in batches for row in zip(*(pdf[c].tolist() for c in ("seq", "id", "type", "at")))]
-    late = 0
-    if old and old[0][3] < final:  # in time, but before a step that is settled
-        late = sum(s[:2] <= old[0][:2] for s in new)
-        new = [s for s in new if s[:2] > old[0][:2]]
-    merged = sorted(old + new)
-    change = _pairs(merged)
-    change.subtract(_pairs(old))
-    rows = [(*key, a, b, n, 0) for (a, b), n in change.items() if n] + [(*key, None, None, 0, late)] * bool(late)
-    settled = next((i for i, s in enumerate(merged) if s[3] >= final), len(merged))
-    state.update(tuple(list(c) for c in zip(*merged[max(0, settled - 1) :])))
-    state.setTimeoutTimestamp(max(final, max(s[3] for s in merged)) + IDLE_MS)
-    yield pd.DataFrame(rows, columns=["game_id", "session_id", "src", "dst", "delta", "late"])
+    kept: dict[str, list[tuple]] = {}
+    until: dict[str, int] = {}
+    for session, end, *step in zip(*state.get) if state.exists else ():
+        kept.setdefault(session, []).append(tuple(step))
+        until[session] = end
+    fresh: dict[str, list[tuple]] = {}
+    for pdf in () if state.hasTimedOut else batches:
+        for session, *step in zip(*(pdf[c].tolist() for c in ("session_id", "seq", "id", "type", "at"))):
+            fresh.setdefault(session, []).append(tuple(step))
+    rows = []
+    for session, new in fresh.items():
+        old, late = kept.get(session, []), 0
+        if old and old[0][3] < final:  # in time, but before a step that is settled
+            late = sum(s[:2] <= old[0][:2] for s in new)
+            new = [s for s in new if s[:2] > old[0][:2]]
+        merged = sorted(old + new)
+        change = _pairs(merged)
+        change.subtract(_pairs(old))
+        rows += [(key[0], session, a, b, n, 0) for (a, b), n in change.items() if n] + [(key[0], session, None, None, 0, late)] * bool(late)
+        settled = next((i for i, s in enumerate(merged) if s[3] >= final), len(merged))
+        kept[session] = merged[max(0, settled - 1) :]
+        until[session] = max(final, max(s[3] for s in merged)) + IDLE_MS
+    steps = [(session, until[session], *s) for session, own in kept.items() if session in fresh or until[session] > final for s in own]
+    if steps:
+        state.update(tuple(list(c) for c in zip(*steps)))
+        state.setTimeoutTimestamp(min(s[1] for s in steps))
+    else:
+        state.remove()
+    if rows:
+        yield pd.DataFrame(rows, columns=["game_id", "session_id", "src", "dst", "delta", "late"])
 
 
 def transition_changes(stream: DataFrame, delay: str) -> DataFrame:
     """Signed changes of directly-follows counts; their sum is the batch result, in any arrival order.
 
+    The state of a game's sessions lies in BUCKETS buckets, as a call for every single session takes longer than its work.
     Steps older than the watermark are left out and counted by ``append_to``; rows without src count steps that came in
     time but belong before a settled one.
     """
     first = F.lit(-(1 << 31)).cast("long")  # events without a sequence number come first
     known = stream.where(F.col("session_id").isNotNull()).select(
         *SESSION,
+        F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).alias("bucket"),
         "created_at",
         F.coalesce(F.col("seq").cast("long"), first).alias("seq"),
         "id",
@@ -170,11 +186,11 @@ def transition_changes(stream: DataFrame, delay: str) -> DataFrame:
     )
     return (
         known.withWatermark("created_at", delay)
-        .groupBy(*SESSION)
+        .groupBy("game_id", "bucket")
         .applyInPandasWithState(
             _edge_changes,
             "game_id string, session_id string, src string, dst string, delta long, late long",
-            "seq array<long>, id array<long>, type array<string>, at array<long>",
+            "session_id array<string>, until array<long>, seq array<long>, id array<long>, type array<string>, at array<long>",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from playtrace.operators import sequences
@@ -89,3 +90,38 @@ def test_batches_are_merged_into_few_tables(spark, tmp_path, monkeypatch):
     tables = feeds._complete_tables(spark, path)
     assert (2, 0) in tables and (2, 9) in tables and (1, 18) not in tables and len(tables) <= 2 + 2 + 2 * 3
     assert feeds._read_merged(spark, str(tmp_path / "none"), newest, schema).count() == 0
+
+
+class _State:
+    """The state of one bucket, without Spark."""
+
+    exists, hasTimedOut, get, watermark, timeout = False, False, None, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.watermark
+        self.timeout = at
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+
+def test_sessions_of_a_bucket_share_a_state():
+    state = _State()
+    rows = lambda *r: iter([pd.DataFrame(r, columns=["session_id", "seq", "id", "type", "at"])])
+    call = lambda new: sorted((r.session_id, r.src, r.dst, r.delta) for pdf in feeds._edge_changes(("g", 7), new, state) for r in pdf.itertuples())
+    assert call(rows(("x", 0, 0, "a", 0), ("y", 0, 1, "a", 5), ("x", 2, 2, "c", 9))) == [("x", "a", "c", 1)]
+    assert call(rows(("x", 1, 3, "b", 7), ("y", 1, 4, "b", 8))) == [("x", "a", "b", 1), ("x", "a", "c", -1), ("x", "b", "c", 1), ("y", "a", "b", 1)]
+    state.watermark = feeds.IDLE_MS + 8  # y is over, x is not
+    assert state.timeout == state.watermark
+    state.hasTimedOut = True
+    assert call(iter([])) == [] and set(state.get[0]) == {"x"} and state.timeout == feeds.IDLE_MS + 9
+    state.hasTimedOut = False
+    assert call(rows(("y", 2, 5, "c", state.watermark))) == [] and set(state.get[0]) == {"x", "y"}
+    state.watermark, state.hasTimedOut = 3 * feeds.IDLE_MS, True
+    assert call(iter([])) == [] and not state.exists
