@@ -6,8 +6,10 @@ restarts go through the same rounds together. A profile is compared with the cen
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +44,11 @@ def readiness(steps: DataFrame, k: int = 3) -> DataFrame:
 def profiles(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(game_id, session_id, profile), the profiles' vectors, and (game_id, profile, weight, n2: squared length)."""
     whole = vectors.groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("v"))
+    whole = durable(whole.withColumn("_h", F.xxhash64("v")))  # read twice; the hash spares most comparisons of lists
     # in two steps, so that a game's most common vector is never one task's work
-    first = whole.groupBy("game_id", "v").agg(F.min("session_id").alias("profile"), F.count("*").alias("weight"))
+    first = whole.groupBy("game_id", "_h", "v").agg(F.min("session_id").alias("profile"), F.count("*").alias("weight"))
     first = durable(first)
-    members = whole.join(first.select("game_id", "v", "profile"), ["game_id", "v"]).select(*SESSION, "profile")
+    members = whole.join(first.select("game_id", "_h", "v", "profile"), ["game_id", "_h", "v"]).select(*SESSION, "profile")
     cells = first.select("game_id", "profile", F.inline("v"))
     size = F.aggregate("v", F.lit(0.0), lambda t, x: t + x["value"] * x["value"])
     return members, cells, first.select("game_id", "profile", "weight", size.alias("n2"))
@@ -90,21 +93,80 @@ def _distances(cells: DataFrame, facts: DataFrame, centres: DataFrame) -> DataFr
     return every.select("game_id", "profile", "weight", "run", "cluster", F.round(d, DIGITS).alias("d"))
 
 
-def _nearest(distances: DataFrame) -> DataFrame:
-    best = distances.groupBy("game_id", "profile", "run").agg(F.max("weight").alias("weight"), F.min(F.struct("d", "cluster")).alias("m"))
-    return best.select("game_id", "profile", "run", "weight", "m.cluster", "m.d")
-
-
-def _means(cells: DataFrame, assigned: DataFrame) -> DataFrame:
-    """The weighted mean vector of each cluster."""
-    total = assigned.groupBy("game_id", "run", "cluster").agg(F.sum("weight").alias("total"))
-    sums = cells.join(assigned, ["game_id", "profile"]).groupBy("game_id", "run", "cluster", "feature").agg(F.sum(F.col("weight") * F.col("value")).alias("s"))
-    return sums.join(total, ["game_id", "run", "cluster"]).select("game_id", "run", "cluster", "feature", (F.col("s") / F.col("total")).alias("value"))
-
-
-def _moved(new: DataFrame, old: DataFrame) -> bool:
-    key = ["game_id", "profile", "run"]
-    return not new.join(old.select(*key, F.col("cluster").alias("old")), key).where("cluster <> old").isEmpty()
+def _joined(blocks: DataFrame, run: Callable, schema: str, **centres: DataFrame) -> DataFrame:
+    """run(members, centres by name) on the Arrow arrays of every block; centres are a row for each game, of at most RESTARTS x 8 vectors."""
+    rows = blocks
+    for name, own in centres.items():
+        vectors = own.groupBy("game_id", "run", "cluster").agg(F.collect_list(F.struct("feature", "value")).alias("point"))
+        rows = rows.join(vectors.groupBy("game_id").agg(F.sort_array(F.collect_list(F.struct("run", "cluster", "point"))).alias(name)), "game_id")
+    kind = f"game_id string, {schema}"
+    names, given = [c.split()[0] for c in kind.split(", ")], list(centres)
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = run(batch.column("_members").slice(i, 1).flatten(), *(batch.column(c).slice(i, 1).flatten() for c in given))
+                game = pa.array(batch.column("game_id").slice(i, 1).to_pylist() * len(out[0]), pa.string())
+                yield pa.RecordBatch.from_arrays([game, *out], names)
+
+    return rows.select("game_id", "_members", *given).mapInArrow(per_batch, kind)
+
+
+def _nearest_of(table: np.ndarray, n2: np.ndarray, place: dict[str, int], centres: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each restart and member: the place of its nearest centre among all centres, and the squared distance; with all centres' restarts and clusters."""
+    runs, clusters = (centres.field(c).to_numpy(zero_copy_only=False) for c in ("run", "cluster"))
+    at, feature, value = medoids.flat_vectors(centres.field("point"), place)
+    dense = np.zeros((len(centres), len(place)))
+    dense[at, feature] = value
+    d = n2 - 2 * (dense[:, : len(table)] @ table) + (dense * dense).sum(1)[:, None]
+    d = np.floor(np.maximum(0.0, d) * 10.0**DIGITS + 0.5) / 10.0**DIGITS
+    own = [np.flatnonzero(runs == r) for r in np.unique(runs)]  # by cluster, so the first of equal distances wins
+    best = np.stack([k[np.argmin(d[k], axis=0)] for k in own])
+    return best, np.take_along_axis(d, best, axis=0), runs, clusters
+
+
+def _members_of(members: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
+    place: dict[str, int] = {}
+    row, feature, value = medoids.flat_vectors(members.field("point"), place)
+    table = np.zeros((len(place), len(members)))
+    table[feature, row] = value
+    return table, *(members.field(c).to_numpy(zero_copy_only=False) for c in ("weight", "n2")), place
+
+
+def _round(members: pa.StructArray, centres: pa.StructArray, before: pa.StructArray) -> list[pa.Array]:
+    """Sums of a block for the next centres: weight times value by restart, cluster and feature; without feature the weight, and how many members moved."""
+    table, weight, n2, place = _members_of(members)
+    names = list(place)
+    best, _, runs, clusters = _nearest_of(table, n2, dict(place), centres)
+    old, _, _, old_clusters = _nearest_of(table, n2, dict(place), before)
+    moved = (clusters[best] != old_clusters[old]).sum(1)
+    out = []
+    for i, own in enumerate(best):
+        for k in np.unique(own):
+            w = np.where(own == k, weight, 0)
+            out.append((runs[k], clusters[k], None, float(w.sum()), int(moved[i])))
+            sums = table @ w
+            out += [(runs[k], clusters[k], names[f], float(sums[f]), 0) for f in np.flatnonzero(sums)]
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int64())
+    return [pa.array([None if x is None else x for x in c], t) for c, t in zip(zip(*out), kinds)]
+
+
+def _assigned(members: pa.StructArray, centres: pa.StructArray) -> list[pa.Array]:
+    table, weight, n2, place = _members_of(members)
+    best, d, runs, clusters = _nearest_of(table, n2, place, centres)
+    n = len(best)
+    return [
+        pa.array(members.field("profile").to_pylist() * n, pa.string()), pa.array(runs[best].ravel(), pa.int32()),
+        pa.array(np.tile(weight, n), pa.int64()), pa.array(clusters[best].ravel(), pa.int32()), pa.array(d.ravel()),
+    ]
+
+
+def _means(sums: DataFrame) -> DataFrame:
+    """The weighted mean vector of each cluster, from the sums of a round."""
+    key = ["game_id", "run", "cluster"]
+    total = sums.where("feature IS NULL").groupBy(*key).agg(F.sum("s").alias("total"))
+    whole = sums.where("feature IS NOT NULL").groupBy(*key, "feature").agg(F.sum("s").alias("s"))
+    return whole.join(total, key).select(*key, "feature", (F.col("s") / F.col("total")).alias("value"))
 
 
 def _best_run(assigned: DataFrame, cost: str) -> DataFrame:
@@ -120,12 +182,17 @@ def kmeans(vectors: DataFrame, k: int = 3, restarts: int = RESTARTS, rounds: int
     cells = durable(cells)
     at = lambda seeds: cells.join(seeds, ["game_id", "profile"]).select("game_id", "run", "cluster", "feature", "value")
     centres = durable(at(_seeds(facts, k, restarts, lambda seeds: _distances(cells, facts, at(seeds)))))
-    assigned = durable(_nearest(_distances(cells, facts, centres)))
+    points = cells.groupBy("game_id", "profile").agg(F.collect_list(F.struct("feature", "value")).alias("point"))
+    whole = facts.join(points, ["game_id", "profile"]).withColumn("part", F.lit(0))
+    blocks = durable(medoids.grouped(whole, "profile", medoids.BLOCK, "_members").drop("part"))
+    step = lambda now, before: durable(_joined(blocks, _round, "run int, cluster int, feature string, s double, moved long", centres=now, before=before))
+    sums = step(centres, centres)
     for _ in range(rounds):
-        before = assigned
-        assigned = durable(_nearest(_distances(cells, facts, _means(cells, before))))
-        if not _moved(assigned, before):
+        before, centres = centres, durable(_means(sums))
+        sums = step(centres, before)
+        if sums.where("moved > 0").isEmpty():
             break
+    assigned = durable(_joined(blocks, _assigned, "profile string, run int, weight long, cluster int, d double", centres=centres))
     assigned = assigned.join(_best_run(assigned, "d"), ["game_id", "run"])
     sse = assigned.groupBy("game_id").agg(round_half_up(F.sum(F.col("weight") * F.col("d")), 3).alias("sse"))
     return members.join(assigned.select("game_id", "profile", "cluster"), ["game_id", "profile"]).select(*SESSION, "cluster"), sse

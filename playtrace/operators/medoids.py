@@ -34,7 +34,7 @@ DIGITS = 9  # means are compared to so many digits, as sums have no fixed order
 PART = ["game_id", "part"]
 
 
-def _vectors(points: pa.Array, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def flat_vectors(points: pa.Array, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Points (lists of feature and value) as three flat arrays: row, feature's number, value."""
     flat = points.flatten()
     codes = flat.field("feature").dictionary_encode()
@@ -50,7 +50,7 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 def _vector_distances(measure: str, members: pa.Array, others: pa.Array) -> Iterator[np.ndarray]:
     """For each other vector its distances to all members; only the features of the other one are looked at."""
     place: dict[str, int] = {}
-    (row, feature, value), (at, own, have) = _vectors(members, place), _vectors(others, place)
+    (row, feature, value), (at, own, have) = flat_vectors(members, place), flat_vectors(others, place)
     table = np.zeros((len(place), len(members)))
     table[feature, row] = value
     total, square = np.bincount(row, value, len(members)), np.bincount(row, value * value, len(members))
@@ -134,11 +134,11 @@ class Pairs:
 
     def blocks(self, members: DataFrame) -> DataFrame:
         """Members of a part in blocks: game_id, part, and a list of their other columns and points."""
-        return _grouped(members.join(self.points, ["game_id", "profile"]), "profile", BLOCK, "_members")
+        return grouped(members.join(self.points, ["game_id", "profile"]), "profile", BLOCK, "_members")
 
     def _chunks(self, others: DataFrame, extra: list[str]) -> DataFrame:
         named = self.points.select("game_id", F.col("profile").alias("other"), "point")
-        return _grouped(others.select(*PART, "other", *extra).join(named, ["game_id", "other"]), "other", CHUNK, "_others")
+        return grouped(others.select(*PART, "other", *extra).join(named, ["game_id", "other"]), "other", CHUNK, "_others")
 
     def totals(self, blocks: DataFrame, others: DataFrame) -> DataFrame:
         """(game_id, part, other, total, compared): the weighted total of the others (game_id, part, other, _len) to all members of their part."""
@@ -167,7 +167,7 @@ class Pairs:
         return blocks.join(chunks, PART).select(*PART, "_members", "_others").mapInArrow(run, kind)
 
 
-def _grouped(rows: DataFrame, name: str, most: int, into: str) -> DataFrame:
+def grouped(rows: DataFrame, name: str, most: int, into: str) -> DataFrame:
     """Rows of a part in groups of about ``most``, each as a list of structs."""
     counts = rows.groupBy(*PART).agg(F.ceil(F.count("*") / F.lit(most)).alias("_k"))
     dealt = rows.join(counts, PART).withColumn("_k", F.pmod(F.xxhash64(name), "_k"))

@@ -233,3 +233,31 @@ def test_distances_are_computed_in_blocks(measure):
     assert len(got) == len(points)
     for other, d in zip(points, got):
         assert [round(x, 7) for x in d] == [round(edits(x, other) if measure == "sequence" else PLAIN[measure](x, other), 7) for x in points[1:]]
+
+
+def test_a_round_adds_up_blocks():
+    """Two blocks give the sums, weights and moves that a plain loop over all members gives."""
+    rnd = random.Random(9)
+    kind = pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64())]))
+    vectors = [{f: rnd.randint(1, 9) / 10 for f in rnd.sample("uvwxyz", rnd.randint(1, 4))} for _ in range(40)]
+    weights = [rnd.randint(1, 5) for _ in vectors]
+    column = lambda some: pa.array([[{"feature": f, "value": v} for f, v in x.items()] for x in some], kind)
+    members = pa.StructArray.from_arrays(
+        [column(vectors), pa.array(weights), pa.array([sum(v * v for v in x.values()) for x in vectors])], ["point", "weight", "n2"]
+    )
+    tables = [[(r, c, {f: rnd.random() for f in "uvwxyzq"}) for r in range(2) for c in range(3)] for _ in range(2)]
+    centres = [pa.StructArray.from_arrays([pa.array([x[0] for x in t], pa.int32()), pa.array([x[1] for x in t], pa.int32()), column([x[2] for x in t])], ["run", "cluster", "point"]) for t in tables]
+    got, want = {}, {}
+    for a, b in ((0, 25), (25, 40)):
+        for run, cluster, feature, s, moved in zip(*(c.to_pylist() for c in clustering._round(members.slice(a, b - a), *centres))):
+            got[run, cluster, feature] = got.get((run, cluster, feature), 0) + s
+            got["moved", run, cluster] = got.get(("moved", run, cluster), 0) + moved
+    for x, w in zip(vectors, weights):
+        for run in (0, 1):
+            now, old = (min((PLAIN["euclidean"](x, v) ** 2, c) for r, c, v in t if r == run)[1] for t in tables)
+            for f, v in [(None, 1), *x.items()]:
+                want[run, now, f] = want.get((run, now, f), 0) + w * v
+            want["moved", run] = want.get(("moved", run), 0) + (now != old)
+    assert {k: round(v, 9) for k, v in got.items() if k[0] != "moved"} == {k: round(v, 9) for k, v in want.items() if k[0] != "moved"}
+    for run in (0, 1):  # every cluster's row says how many of the block moved
+        assert (max(v for k, v in got.items() if k[:2] == ("moved", run)) > 0) == (want["moved", run] > 0)
