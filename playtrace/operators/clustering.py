@@ -219,38 +219,46 @@ def edit_medoids(steps: DataFrame, k: int = 3, rounds: int = MEDOID_ROUNDS) -> D
 
 def _medoids(facts: DataFrame, measure: str, pairs: medoids.Pairs, cells: DataFrame | None, k: int, rounds: int) -> DataFrame:
     """(game_id, profile, cluster, medoid): a profile joins its nearest medoid, then the member of the least total distance becomes the medoid."""
-    whole = facts.select("game_id", F.lit(0).alias("part"), "profile")
     length = facts.select("game_id", F.col("profile").alias("other"), F.col("len").alias("_len"))
+    blocks = durable(pairs.blocks(facts.select("game_id", F.lit(0).alias("part"), "profile", "weight", "len")))
 
-    def near(centres: DataFrame) -> DataFrame:
-        """Distances of every profile to the centres (game_id, run, cluster, profile) of its game."""
-        named = centres.withColumnRenamed("profile", "other").join(length, ["game_id", "other"])
-        d = pairs(whole, named.select("game_id", F.lit(0).alias("part"), "other")).drop("part")
-        d = d.join(facts, ["game_id", "profile"]).join(named, ["game_id", "other"])
-        return d.withColumn("d", F.round(medoids.scaled(F.col("raw"), F.col("len"), F.col("_len")), DIGITS))
+    def few(centres: DataFrame) -> DataFrame:
+        return centres.select("game_id", F.col("profile").alias("other"), F.col("cluster").alias("tag")).join(length, ["game_id", "other"])
+
+    def rounded(x: Column) -> Column:
+        return F.round(medoids.scaled(x["raw"], F.col("len"), x["_len"]), DIGITS)
+
+    def squared(seeds: DataFrame) -> DataFrame:
+        """Of the one seed of every game."""
+        d = rounded(F.col("near")[0])
+        return pairs.to_few(blocks, few(seeds)).select("game_id", "profile", "weight", F.lit(0).alias("run"), (d * d).alias("d"))
+
+    def nearest(after: bool) -> Column:
+        """(d, cluster, raw) of the centres of this round (tag: cluster), or of the round before (tag: -1 - cluster), the nearest first."""
+        own = F.filter("near", lambda x: x["tag"] < 0 if after else x["tag"] >= 0)
+        cluster = lambda x: -1 - x["tag"] if after else x["tag"]
+        return F.array_sort(F.transform(own, lambda x: F.struct(rounded(x).alias("d"), cluster(x).alias("cluster"), x["raw"].alias("raw"))))  # at most eight
 
-    squared = lambda seeds: near(seeds).withColumn("d", F.col("d") * F.col("d"))
     centres, before = _seeds(facts, k, 1, squared), None
     for _ in range(rounds):
-        each = near(centres).groupBy("game_id", "profile", "run").agg(
-            F.max("weight").alias("weight"), F.max("len").alias("len"), F.array_sort(F.collect_list(F.struct("d", "cluster", "raw"))).alias("near")
-        )  # at most eight centres
+        both = few(centres)
+        if before is not None:
+            both = both.unionByName(few(before).withColumn("tag", -1 - F.col("tag")))
+        each = pairs.to_few(blocks, both).withColumns({"old": nearest(True)[0]["cluster"] if before is not None else F.lit(None).cast("int"), "near": nearest(False)})
         assigned = durable(each.withColumn("cluster", F.col("near")[0]["cluster"]))
         own = assigned.withColumn("part", F.col("cluster"))
         if before is not None:  # a cluster with the same members keeps its medoid
-            old = before.select("game_id", "profile", F.col("cluster").alias("old"))
-            moved = assigned.select("game_id", "profile", "cluster").join(old, ["game_id", "profile"]).where("cluster <> old")
-            changed = durable(moved.select("game_id", F.explode(F.array("cluster", "old")).alias("part")).distinct())
+            changed = durable(assigned.where("cluster <> old").select("game_id", F.explode(F.array("cluster", "old")).alias("part")).distinct())
             if changed.isEmpty():
                 break
             own = own.join(changed, ["game_id", "part"], "left_semi")
         rows = own.select("game_id", "part", "profile", "weight", "len")
         pivots = own.select(*rows.columns, F.explode("near").alias("n")).select(*rows.columns, F.col("n.cluster").alias("other"), F.col("n.raw").alias("raw"))
-        least = medoids.best(medoids.totals(rows, pivots, measure, pairs, cells))
+        least = medoids.best(medoids.totals(own.select(*rows.columns, "point"), pivots, measure, pairs, cells))
         new = least.select("game_id", F.lit(0).alias("run"), F.col("part").alias("cluster"), "profile")
         if before is not None:
             new = new.unionByName(centres.join(new, ["game_id", "cluster"], "left_anti"))
-        centres, before = durable(new), assigned
+        centres, before = durable(new), centres
     named = centres.select("game_id", "cluster", F.col("profile").alias("medoid"))
     return assigned.select("game_id", "profile", "cluster").join(named, ["game_id", "cluster"])
 

@@ -7,7 +7,8 @@ Rows named ``profile`` stand for ``weight`` equal sessions; ``part`` is a cluste
 * Euclidean, Jensen-Shannon and edit distance: bounds from pivots. By the triangle inequality a member's total is at least
   the sum over groups of members of |group weight * distance to the pivot - the group's total distance to the pivot|.
   Members of the least bounds and drawn ones are compared with their whole cluster, in numpy, a block of members against a chunk of them at a time. Their totals bound those of the members near
-  them, some of them become pivots, and the search ends when no bound is below the best total. In many dimensions bounds are
+  them, some of them become pivots, and the search ends when no bound is below the best total. Texts of a cluster are all compared in the first step, up to
+  TEXTS times as many as vectors. In many dimensions bounds are
   weak and most members are compared, but never more than a batch at once. Every measure here is a metric, but for the edit distance over the longer length: there the
   plain edit distance makes the bounds, in groups of alike length.
 """
@@ -28,6 +29,9 @@ from playtrace.session import durable
 BATCH = 96  # members of a cluster of least bounds, and as many drawn ones, compared in the first step
 GROWTH = 8  # times as many in each further step
 BLOCK, CHUNK = 2048, 512  # members, and others, whose distances a task computes together
+TEXTS = 256  # times as many texts in the first step: bounds leave few of them out, and a distance costs little
+TEXT_CHUNK = 2048  # texts of a chunk, so that more of them begin alike
+KEPT = 1 << 25  # bytes of columns of edit distances that a task holds
 PIVOTS = 16  # drawn members of a step that become pivots
 BINS = 16  # groups of a pivot's distances in a range of one
 DIGITS = 9  # means are compared to so many digits, as sums have no fixed order
@@ -82,51 +86,97 @@ def _signs(texts: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in texts.to_pylist()]
 
 
-def _edit_distances(members: pa.Array, others: pa.Array) -> Iterator[np.ndarray]:
-    """For each other text its edit distances to all members, a row of the usual table for all of them at once.
+def _next_column(column: list[tuple], masks: list[np.ndarray], top: int) -> list[tuple]:
+    """The next column of the usual table of edit distances, for many texts at once: Myers' bit vectors, in words.
 
-    Members go by length, longest first, so the ones that have ended are left out. Within a row, running minima replace the
-    step from cell to cell: the row's j-th value is j + min over i <= j of (the best of the row before at i) - i.
+    A word holds, for some signs of each member, where the column steps up and where it steps down; what leaves a word at its
+    top goes into the next one. The first row of the table grows by one with every column.
+    """
+    out, plus, minus = [], 1, 0
+    for (up, down), same in zip(column, masks):
+        if out:  # members that have ended are left out
+            plus, minus = plus[: len(up)], minus[: len(up)]
+        vertical = same | down
+        same = same | minus
+        flat = (((same & up) + up) ^ up) | same
+        rise, fall = down | ~(flat | up), up & flat
+        after = rise >> top, fall >> top
+        rise, fall = (rise << 1) | plus, (fall << 1) | minus
+        out.append((fall | ~(vertical | rise), rise & vertical))
+        plus, minus = after
+    return out
+
+
+def edit_distances(members: list[np.ndarray], others: list[np.ndarray]) -> list[np.ndarray]:
+    """For each other text (numbers of signs) its edit distances to all members.
+
+    Members go by length, longest first. Others go in order, so one that begins like the one before starts from the column behind
+    what both share; columns of KEPT bytes at most are held.
     """
-    texts = _signs(members)
-    size = np.array([len(x) for x in texts], np.int64)
+    size = np.array([len(x) for x in members], np.int64)
     order = np.argsort(-size, kind="stable")
-    wide = int(size.max(initial=0))
-    table = np.zeros((wide, len(texts)), np.uint32)  # a column for each member
-    for j, i in enumerate(order):
-        table[: size[i], j] = texts[i]
-    left = np.array([(size > j).sum() for j in range(wide)])
-    kind = np.int16 if wide < 8_000 and max(map(len, _signs(others)), default=0) < 8_000 else np.int64
-    for other in _signs(others):
-        if not len(other):
-            yield size.astype(float)
-            continue
-        n = len(other)
-        steps = np.arange(n + 1, dtype=kind)[:, None]
-        row = np.repeat(steps, len(texts), axis=1)  # cell i: distance of the member's first signs to the other's first i
-        for j in range(wide):
-            k = left[j]
-            before = row[:, :k]
-            fresh = np.empty((n + 1, k), kind)
-            fresh[0] = j + 1
-            np.minimum(before[1:] + kind(1), before[:-1] + (other[:, None] != table[j, :k]), out=fresh[1:])
-            fresh -= steps
-            np.minimum.accumulate(fresh, axis=0, out=fresh)
-            fresh += steps
-            row[:, :k] = fresh
-        out = np.empty(len(texts))
-        out[order] = row[n]
-        yield out
+    wide = max(1, int(size.max(initial=0)))
+    bits = next((b for b in (8, 16, 32) if wide <= b), 64)
+    kind = np.dtype(f"u{bits // 8}")
+    flat = np.concatenate([members[i] for i in order] or [np.zeros(0, np.uint32)])
+    row = np.repeat(np.arange(len(order)), size[order])
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
+    by = np.argsort(flat, kind="stable")
+    signs, first = np.unique(flat[by], return_index=True)
+    places = dict(zip(signs.tolist(), np.split(by, first[1:])))
+    left = [int((size > w).sum()) for w in range(0, wide, bits)]
+
+    def words(some: np.ndarray) -> list[np.ndarray]:
+        """A bit for each of some signs of the members."""
+        table = np.zeros((len(left), len(order)), kind)
+        np.bitwise_or.at(table, (at[some] // bits, row[some]), kind.type(1) << (at[some] % bits).astype(kind))
+        return [t[:n] for t, n in zip(table, left)]
+
+    there = words(np.arange(len(flat)))
+    none = [np.zeros(n, kind) for n in left]
+    held = max(1, KEPT // max(1, 2 * sum(x.nbytes for x in none)))
+    masks: dict[int, list[np.ndarray]] = {}
+    sequences = [tuple(x.tolist()) for x in others]
+    found: list[np.ndarray] = [np.zeros(0)] * len(others)
+    columns, before = [[(~n, n) for n in none]], ()
+    for i in sorted(range(len(others)), key=sequences.__getitem__):
+        own = sequences[i]
+        shared = next((j for j, (a, b) in enumerate(zip(own, before)) if a != b), min(len(own), len(before)))
+        del columns[min(shared, held - 1) + 1 :]
+        column = columns[-1]
+        for j in range(len(columns) - 1, len(own)):
+            mask = masks.get(own[j])
+            if mask is None:
+                mask = words(places[own[j]]) if own[j] in places else none
+                if len(masks) < held:
+                    masks[own[j]] = mask
+            column = _next_column(column, mask, bits - 1)
+            if len(columns) == j + 1 < held:
+                columns.append(column)
+        before = own
+        d = np.full(len(order), len(own), np.int64)
+        for (up, down), bit in zip(column, there):
+            d[: len(up)] += np.bitwise_count(up & bit)
+            d[: len(up)] -= np.bitwise_count(down & bit)
+        found[i] = np.empty(len(order), np.int32)
+        found[i][order] = d
+    return found
+
+
+def _edit_distances(members: pa.Array, others: pa.Array) -> Iterator[np.ndarray]:
+    """For each other text its edit distances to all members."""
+    return (d.astype(float) for d in edit_distances(_signs(members), _signs(others)))
 
 
 class Pairs:
     """Distances within parts, on Arrow batches: blocks of members against chunks of others of the same part, so no task holds a whole part.
 
     points: game_id, profile, point; distances: members' points, others' points -> for each other, its distances to the members.
+    chunk: others of a chunk; first: times BATCH, members compared in a search's first step.
     """
 
-    def __init__(self, points: DataFrame, distances: Callable[[pa.Array, pa.Array], Iterator[np.ndarray]]):
-        self.points, self.distances = points, distances
+    def __init__(self, points: DataFrame, distances: Callable[[pa.Array, pa.Array], Iterator[np.ndarray]], chunk: int = CHUNK, first: int = 1):
+        self.points, self.distances, self.chunk, self.first = points, distances, chunk, first
 
     def __call__(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """(game_id, part, profile), (game_id, part, other) -> (game_id, part, profile, other, raw) for all pairs of one part."""
@@ -134,11 +184,34 @@ class Pairs:
 
     def blocks(self, members: DataFrame) -> DataFrame:
         """Members of a part in blocks: game_id, part, and a list of their other columns and points."""
-        return grouped(members.join(self.points, ["game_id", "profile"]), "profile", BLOCK, "_members")
+        if "point" not in members.columns:
+            members = members.join(self.points, ["game_id", "profile"])
+        return grouped(members, "profile", BLOCK, "_members")
+
+    def to_few(self, blocks: DataFrame, few: DataFrame) -> DataFrame:
+        """(game_id, profile, weight, len, point, near) for all members of blocks; near: tag, _len and raw, its distance to each of the few (game_id, other, tag, _len) of its game."""
+        named = self.points.select("game_id", F.col("profile").alias("other"), "point")
+        each = few.join(named, ["game_id", "other"]).groupBy("game_id").agg(F.collect_list(F.struct("tag", "_len", "point")).alias("_few"))
+        distances, kind = self.distances, self.points.schema["point"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    members, others = (batch.column(c).slice(i, 1).flatten() for c in ("_members", "_few"))
+                    n, k = len(members), len(others)
+                    raw = np.stack(list(distances(members.field("point"), others.field("point")))).T.ravel()
+                    tag, size = (np.tile(others.field(c).to_numpy(zero_copy_only=False), n) for c in ("tag", "_len"))
+                    near = pa.StructArray.from_arrays([pa.array(tag, pa.int32()), pa.array(size, pa.int32()), pa.array(raw, pa.float64())], ["tag", "_len", "raw"])
+                    near = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), near)
+                    own = [members.field(c) for c in ("profile", "weight", "len", "point")]
+                    yield pa.RecordBatch.from_arrays([pa.array(batch.column("game_id").slice(i, 1).to_pylist() * n, pa.string()), *own, near], ["game_id", "profile", "weight", "len", "point", "near"])
+
+        schema = f"game_id string, profile string, weight long, len int, point {kind}, near array<struct<tag: int, _len: int, raw: double>>"
+        return blocks.join(each, "game_id").select("game_id", "_members", "_few").mapInArrow(run, schema)
 
     def _chunks(self, others: DataFrame, extra: list[str]) -> DataFrame:
         named = self.points.select("game_id", F.col("profile").alias("other"), "point")
-        return grouped(others.select(*PART, "other", *extra).join(named, ["game_id", "other"]), "other", CHUNK, "_others")
+        return grouped(others.select(*PART, "other", *extra).join(named, ["game_id", "other"]), "other", self.chunk, "_others")
 
     def totals(self, blocks: DataFrame, others: DataFrame) -> DataFrame:
         """(game_id, part, other, total, compared): the weighted total of the others (game_id, part, other, _len) to all members of their part."""
@@ -164,15 +237,18 @@ class Pairs:
 
         kind = f"game_id string, part int, {schema}"
         names = [c.split()[0] for c in kind.split(", ")]
-        return blocks.join(chunks, PART).select(*PART, "_members", "_others").mapInArrow(run, kind)
+        rows = blocks.join(chunks.withColumnRenamed("_k", "_c"), PART)
+        # a part is one key of the join, so its blocks and chunks are dealt out anew
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(tasks, *PART, "_k", "_c").select(*PART, "_members", "_others").mapInArrow(run, kind)
 
 
 def grouped(rows: DataFrame, name: str, most: int, into: str) -> DataFrame:
-    """Rows of a part in groups of about ``most``, each as a list of structs."""
+    """Rows of a part in groups of about ``most``, each as a list of structs, numbered _k."""
     counts = rows.groupBy(*PART).agg(F.ceil(F.count("*") / F.lit(most)).alias("_k"))
     dealt = rows.join(counts, PART).withColumn("_k", F.pmod(F.xxhash64(name), "_k"))
     fields = F.struct(*[c for c in rows.columns if c not in PART])
-    return dealt.groupBy(*PART, "_k").agg(F.collect_list(fields).alias(into)).drop("_k")
+    return dealt.groupBy(*PART, "_k").agg(F.collect_list(fields).alias(into))
 
 
 def _rows(distances: Iterator[np.ndarray], members: pa.StructArray, others: pa.StructArray) -> Iterator[list]:
@@ -202,7 +278,7 @@ def vector_pairs(cells: DataFrame, measure: str) -> Pairs:
 
 def text_pairs(texts: DataFrame) -> Pairs:
     """Edit distances of step strings (game_id, profile, text)."""
-    return Pairs(texts.select("game_id", "profile", F.col("text").alias("point")), _edit_distances)
+    return Pairs(texts.select("game_id", "profile", F.col("text").alias("point")), _edit_distances, TEXT_CHUNK, TEXTS)
 
 
 def scaled(raw: Column, a: Column, b: Column) -> Column:
@@ -228,11 +304,15 @@ def _bounds(near: DataFrame) -> DataFrame:
 def _searched(members: DataFrame, near: DataFrame, pairs: Pairs) -> DataFrame:
     """(game_id, part, profile, weight, total, compared): totals of all members that can be the best; null for the others."""
     everyone = members.select(*PART, "profile")
-    blocks = durable(pairs.blocks(members.select(*PART, "profile", "weight", "len")))
+    blocks = durable(pairs.blocks(members))
+    members, batch = members.drop("point"), BATCH * pairs.first
+    if pairs.first > 1 and members.groupBy(*PART).agg(F.count("*").alias("n")).where(F.col("n") > batch).isEmpty():  # one step is enough for all parts
+        every = pairs.totals(blocks, members.select(*PART, F.col("profile").alias("other"), F.col("len").alias("_len")))
+        found = every.select(*PART, F.col("other").alias("profile"), F.col("_total").alias("total"), F.col("_compared").alias("compared"))
+        return members.withColumn("low", F.lit(0.0)).join(found, [*PART, "profile"])
     state = durable(
         members.join(_bounds(near), [*PART, "profile"]).withColumns({"total": F.lit(None).cast("double"), "compared": F.lit(None).cast("long")})
     )
-    batch = BATCH
     while True:
         best = state.groupBy(*PART).agg(F.min("total").alias("best"), F.sum("weight").alias("all"))
         able = F.col("total").isNull() & (F.col("best").isNull() | (F.col("low") <= F.col("best") + F.col("all") * 10.0 ** (1 - DIGITS)))
@@ -293,7 +373,7 @@ def _manhattan_totals(members: DataFrame, cells: DataFrame) -> DataFrame:
 def totals(members: DataFrame, near: DataFrame, measure: str, pairs: Pairs, cells: DataFrame | None = None) -> DataFrame:
     """Total distance of the members that can have the least one, and with how many others each was compared.
 
-    members: game_id, part, profile, weight, len; near: members with other and raw, their distances to some pivots;
+    members: game_id, part, profile, weight, len, and maybe point; near: members with other and raw, their distances to some pivots;
     cells: the vectors, for measures that are one.
     """
     if measure == "cosine":

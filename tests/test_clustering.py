@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 from functools import partial
 
 import pyarrow as pa
@@ -261,3 +262,50 @@ def test_a_round_adds_up_blocks():
     assert {k: round(v, 9) for k, v in got.items() if k[0] != "moved"} == {k: round(v, 9) for k, v in want.items() if k[0] != "moved"}
     for run in (0, 1):  # every cluster's row says how many of the block moved
         assert (max(v for k, v in got.items() if k[:2] == ("moved", run)) > 0) == (want["moved", run] > 0)
+
+
+@pytest.mark.parametrize("kept", [1, 5_000, medoids.KEPT])
+def test_edit_distances_by_bit_vectors(monkeypatch, kept):
+    """Texts of no, one and several words of signs, in any order, with columns held and not held."""
+    monkeypatch.setattr(medoids, "KEPT", kept)
+    rnd = random.Random(kept)
+    text = lambda: "".join(rnd.choice("ab\U00010000") for _ in range(rnd.choice([0, 1, 7, 8, 9, 16, 17, 63, 64, 65, 130])))
+    members, others = [text() for _ in range(12)], [text() for _ in range(12)]
+    for own in (members, ["", "a", "b"], [""]):
+        got = medoids._edit_distances(pa.array(own), pa.array(others))
+        assert [d.tolist() for d in got] == [[edits(x, other) for x in own] for other in others]
+
+
+def test_edit_distances_cost_little():
+    """A million distances of sessions of 100 steps: under 20 s by words of bits, over a minute cell by cell."""
+    rnd = random.Random(6)
+    texts = pa.array(["".join(rnd.choice("abcde") for _ in range(100)) for _ in range(2048)])
+    started = time.process_time()
+    assert len(list(medoids._edit_distances(texts, texts.slice(0, 512)))) == 512
+    assert time.process_time() - started < 20
+
+
+def test_one_part_is_many_tasks(spark):
+    """The blocks and chunks of a single part are not compared in one task."""
+    texts = spark.createDataFrame([("g", f"p{i}", f"{i:b}") for i in range(4000)], "game_id string, profile string, text string")
+    members = texts.select("game_id", F.lit(0).alias("part"), "profile", F.lit(1).cast("long").alias("weight"), F.length("text").alias("len"))
+    pairs = medoids.Pairs(texts.select("game_id", "profile", F.col("text").alias("point")), medoids._edit_distances, 250)
+    others = members.select("game_id", "part", F.col("profile").alias("other"), F.col("len").alias("_len"))
+    rows = pairs._run(pairs.blocks(members), pairs._chunks(others, ["_len"]), medoids._part_totals, "other string, _t double, _n long")
+    assert rows.select(F.spark_partition_id().alias("t")).distinct().count() > 1
+    assert rows.agg(F.sum("_n")).first()[0] == 4000 * 4000
+
+
+def test_texts_are_searched_in_steps_too(spark, monkeypatch):
+    """A cluster above the first step's size goes through bounds, a smaller one is compared whole; both find the same medoid."""
+    monkeypatch.setattr(medoids, "BATCH", 10)
+    monkeypatch.setattr(medoids, "PIVOTS", 4)
+    rnd = random.Random(12)
+    texts = {f"p{i:03}": "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 12))) for i in range(150)}
+    members = spark.createDataFrame([("g", 0, p, 1 + i % 3, len(x)) for i, (p, x) in enumerate(texts.items())], "game_id string, part int, profile string, weight long, len int")
+    pairs = medoids.text_pairs(spark.createDataFrame([("g", p, x) for p, x in texts.items()], "game_id string, profile string, text string"))
+    near = pairs(members.select("game_id", "part", "profile"), spark.createDataFrame([("g", 0, "p001")], "game_id string, part int, other string"))
+    near = near.join(members, ["game_id", "part", "profile"])
+    whole = medoids.best(medoids.totals(members, near, "sequence", pairs)).first()
+    pairs.first = 1
+    assert medoids.best(medoids.totals(members, near, "sequence", pairs)).first() == whole
