@@ -309,3 +309,32 @@ def test_texts_are_searched_in_steps_too(spark, monkeypatch):
     whole = medoids.best(medoids.totals(members, near, "sequence", pairs)).first()
     pairs.first = 1
     assert medoids.best(medoids.totals(members, near, "sequence", pairs)).first() == whole
+
+
+def test_all_dissimilarities_from_texts(monkeypatch, make_steps, spark):
+    """Against the definitions, for several games with medoids of their own, in one batch cut into small pieces."""
+    rnd = random.Random(15)
+    sessions = {(g, f"s{i}"): "".join(rnd.choice("abcd" if g == "g" else "xyza") for _ in range(rnd.randint(1, 40))) for g in "gh" for i in range(30)}
+    chosen = {"g": ["s3", "s4"], "h": ["s7"]}
+    names = spark.createDataFrame([(g, s) for g, own in chosen.items() for s in own], "game_id string, medoid string")
+    monkeypatch.setattr(distance, "STEPS", 50)
+    got = {(r["game_id"], r["session_id"], r["medoid"]): r for r in distance.to_medoids(make_steps(sessions), names).collect()}
+    assert set(got) == {(g, s, m) for g, s in sessions for m in chosen[g]}
+
+    def vector(x):
+        moves = [x[i : i + 2] for i in range(len(x) - 1)]
+        return {a: x.count(a) / len(x) for a in x} | {a: moves.count(a) / len(moves) for a in moves}
+
+    for (g, s, m), r in got.items():
+        a, b = sessions[g, s], sessions[g, m]
+        for measure, plain in PLAIN.items():
+            want = plain(a, b) if measure == "sequence" else plain(vector(a), vector(b))
+            assert abs(r[measure] - want) < 1e-7, (measure, a, b)
+
+
+def test_medoid_distances_shuffle_sessions_not_features(make_steps, spark):
+    """One row for each session goes through the plan: features are neither exploded nor joined."""
+    steps = make_steps({("g", f"s{i}"): "ab" * (1 + i) for i in range(5)})
+    found = distance.to_medoids(steps, spark.createDataFrame([("g", "s1")], "game_id string, medoid string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "feature" not in plan and len(found.collect()) == 5
