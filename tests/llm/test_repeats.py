@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import random
+import string
 from collections import Counter, defaultdict
 
 import pytest
@@ -81,6 +82,24 @@ def test_bytes_against_plain_version(spark, crowd):
         assert spans(d, length=length, gram=gram, crowd=crowd) == plain_bytes(docs, length)
 
 
+def test_bytes_when_a_join_becomes_a_broadcast_at_run_time(spark):
+    """As on large tables: a join planned as a sort-merge one, of which the counts turn out to fit into a broadcast; adaptive execution leaves the other rows where they were read."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "12KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    core = [text(420) for _ in range(100)]
+    docs = [(i, text(30) + core[i // 2] + text(30)) for i in range(200)]
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        d = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+        assert spans(d) == plain_bytes(docs, suffixes.LENGTH)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_bytes_of_texts_longer_than_a_block(monkeypatch):
     monkeypatch.setattr(suffixes, "_BLOCK", 1 << 9)
     r = random.Random(8)
